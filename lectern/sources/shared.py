@@ -36,7 +36,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as parquet to the shared folder and read back."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
