@@ -25,7 +25,7 @@ from lectern.sources import table
 COVERAGE_LIMITS = {5: 0.45, 6: 0.42, 7: 0.39, 8: 0.36, 10: 0.33}
 LINE_COVERAGE_LIMIT = 0.5
 #: Symbols a word.
-SYMBOL_LIMIT = 0.5
+SYMBOL_LIMIT = 0.3
 BASE_GRAM, BASE_PERCENT, LEAST_WORDS = 8, 30, 20
 
 _SPACE = np.zeros(256, bool)

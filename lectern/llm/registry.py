@@ -1,9 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
+from lectern.llm.bpe import op8_byte_bpe
+from lectern.llm.langid import op7_language
 from lectern.llm.quality import op4_quality
 
 QUERIES = {
     "op4_quality": op4_quality,
+    "op7_language": op7_language,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
