@@ -2,12 +2,16 @@
 
 from lectern.llm.bpe import op8_byte_bpe
 from lectern.llm.langid import op7_language
+from lectern.llm.packing import op1_packing
 from lectern.llm.quality import op4_quality
+from lectern.llm.tokenfile import op10_token_files
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op4_quality": op4_quality,
     "op7_language": op7_language,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
