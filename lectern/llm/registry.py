@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
+from lectern.llm import licenses, topk
 from lectern.llm.bpe import op8_byte_bpe
 from lectern.llm.langid import op7_language
 from lectern.llm.packing import op1_packing
@@ -9,9 +10,14 @@ from lectern.llm.tokenfile import op10_token_files
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_quality": op4_quality,
+    "op5_topk": topk.op5_topk,
+    "op6_licenses": licenses.op6_licenses,
     "op7_language": op7_language,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_topk": topk.ORACLE,
+    "op6_licenses": licenses.oracle(),
+}
