@@ -5,10 +5,14 @@ from lectern.llm.bpe import op8_byte_bpe
 from lectern.llm.langid import op7_language
 from lectern.llm.packing import op1_packing
 from lectern.llm.quality import op4_quality
+from lectern.llm.substrings import op3_substrings
 from lectern.llm.tokenfile import op10_token_files
+from lectern.llm.urls import op2_urls
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_urls": op2_urls,
+    "op3_substrings": op3_substrings,
     "op4_quality": op4_quality,
     "op5_topk": topk.op5_topk,
     "op6_licenses": licenses.op6_licenses,
