@@ -2,6 +2,7 @@
 
 from lectern.llm import licenses, topk
 from lectern.llm.bpe import op8_byte_bpe
+from lectern.llm.jaccard import op9_near_duplicates
 from lectern.llm.langid import op7_language
 from lectern.llm.packing import op1_packing
 from lectern.llm.quality import op4_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_licenses": licenses.op6_licenses,
     "op7_language": op7_language,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_token_files": op10_token_files,
 }
 
