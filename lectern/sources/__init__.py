@@ -1,4 +1,4 @@
-from lectern.sources.shared import shared_dir, stored
+from lectern.sources.shared import collected, discard, fresh_path, remove, shared_dir, stored
 from lectern.sources.tables import table
 
-__all__ = ["shared_dir", "stored", "table"]
+__all__ = ["collected", "discard", "fresh_path", "remove", "shared_dir", "stored", "table"]

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,7 +39,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -45,11 +49,26 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _written[:] = [x for x in _written if x[1] != path]
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing will read again."""
+    remove(df.sparkSession, df.stored_path)
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """Afterwards, the paths that were written within and are still there."""
+    before = {path for _, path in _written}
+    found: list[str] = []
+    yield found
+    found += [path for _, path in _written if path not in before]
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for spark, path in list(_written):
         if spark.sparkContext._jsc is not None:
             remove(spark, path)
     _written.clear()
