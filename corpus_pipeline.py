@@ -6,11 +6,33 @@ Each stage takes the documents that its predecessor kept, as read from parquet;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm import jaccard, langid, packing, quality, substrings
-from lectern.sources import stored, table
+from lectern.sources import collected, remove, stored, table
+
+
+_scratch: list[str] = []
+
+
+def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage's result is written before the next stage begins: what the former one left for it can go."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _scratch:
+            remove(spark, _scratch.pop())
+        with collected() as paths:
+            out = stage(spark, docs, sf_dir)
+        _scratch.extend(paths)
+        return out
+
+    return run_stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +53,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that repeat; documents of which nothing is left go.
 
-    ``n_chars`` stays that of the document as it came.
+    ``n_chars`` follows the text.
     """
-    return substrings.without_repeats(docs)
+    return substrings.without_repeats(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +65,11 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("quality", quality_stage),
-    ("language", language_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("passages", passage_stage),
-    ("packing", packing_stage),
+    ("quality", _tidy(quality_stage)),
+    ("language", _tidy(language_stage)),
+    ("near_duplicates", _tidy(near_duplicate_stage)),
+    ("passages", _tidy(passage_stage)),
+    ("packing", _tidy(packing_stage)),
 ]
 
 #: Trees of suffixes, profiles and tokenizers are beyond SQL; tests hold every stage against plain Python.

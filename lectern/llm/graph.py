@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.sources import stored
+from lectern.sources import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:

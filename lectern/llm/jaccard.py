@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lectern.llm.graph import components
 from lectern.llm.substrings import narrowed, row_key
 from lectern.llm.text import gram_hashes, mixed, owners, range_hashes, slices, spans, utf8
-from lectern.sources import stored, table
+from lectern.sources import discard, stored, table
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 HOT, BLOCK = 4_096, 1_024
@@ -287,6 +287,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     wanted = stored(sized.join(classes.select(F.col("class").alias("node"), F.col("one.doc").alias("doc")), "node").select(F.col("node").alias("class"), "label", "size", "doc"), "candidates")
     texts = narrowed(keyed.select("doc", "text"), wanted.select("doc"), "left_semi").join(wanted, "doc").drop("doc")
     found = stored(verified(texts, words, threshold, block), "verified")
+    discard(wanted)
     final = components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     named = classes.select("class", "one", "rows").join(final.withColumnRenamed("node", "class"), "class", "left").join(counts, "class", "left")
@@ -299,9 +300,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, one of each near-duplicate group (that of the least key), with all their columns."""
-    found = near_duplicates(docs, key, text, **options)
-    heads = found.where(F.col("doc") == F.col("head")).select(F.col("doc").alias("_nj_doc"))
-    return docs.withColumn("_nj_doc", row_key(F.col(key), F.col(text))).dropDuplicates(["_nj_doc"]).join(heads.distinct(), "_nj_doc").select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = near_duplicates(docs, key, text, **options).select(F.col("doc").alias("_nj_doc"), (F.col("doc") == F.col("head")).alias("stays"))
+    counts = stored(found.groupBy("_nj_doc").agg(F.bool_and("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "kept-documents")
+    keyed = docs.withColumn("_nj_doc", row_key(F.col(key), F.col(text)))
+    kept = narrowed(keyed, counts.where("NOT stays").select("_nj_doc"), "left_anti", on="_nj_doc")
+    # Rows of equal key and text share a hash: of those one stays.
+    twice = counts.where("stays AND n > 1").select("_nj_doc")
+    if twice.limit(1).count():
+        kept = narrowed(kept, twice, "left_anti", on="_nj_doc").unionByName(narrowed(kept, twice, "left_semi", on="_nj_doc").dropDuplicates(["_nj_doc"]))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:

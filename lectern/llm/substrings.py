@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.suffixes import PrefixHashes, permuted_common_prefixes, suffix_array
 from lectern.llm.text import range_hashes, slices, utf8
-from lectern.sources import stored, table
+from lectern.sources import discard, stored, table
 
 LENGTH, GRAM = 200, 32
 HOT = 2_000
@@ -110,11 +110,11 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return docs.join(lists, "doc").select("text", "cuts").mapInArrow(run, "h bigint, f bigint, c bigint, hot boolean, passage binary")
 
 
-def narrowed(docs: DataFrame, keys: DataFrame, how: str, most: int = BROADCAST_KEYS) -> DataFrame:
+def narrowed(docs: DataFrame, keys: DataFrame, how: str, most: int = BROADCAST_KEYS, on: str = "doc") -> DataFrame:
     """The documents with (``left_semi``) or without (``left_anti``) a key in ``keys``. Up to ``most`` keys
     are sent to the executors, so that texts stay where they are; more are joined by shuffling."""
     n = keys.limit(most + 1).count()
-    return docs.join(F.broadcast(keys) if n <= most else keys, "doc", how)
+    return docs.join(F.broadcast(keys) if n <= most else keys, on, how)
 
 
 def _runs(marks: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -222,6 +222,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     found = stored(_all_segments(docs, length), "segments")
     repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), (F.min("f") != F.max("f")).alias("differ")).where("c > 1").select("h", "differ")
     met = stored(found.join(repeated, "h"), "repeated-segments")
+    discard(found)
     kinds = met.where("differ").groupBy("h", "f").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "at", "n")).alias("one"))
     kinds = stored(kinds.select("h", "f", "c", "one.doc", "one.at", "one.n"), "segment-kinds")
     common = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("h", F.lit(True).alias("hot"))
@@ -232,13 +233,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     if n_hot:
         runs = runs.unionByName(_by_window(passages.where("hot"), n_hot, length))
     runs = stored(runs.where(F.size("runs") > 0).groupBy("h", "f").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    discard(passages)
     judged = kinds.join(runs, ["h", "f"], "left").select("h", "f", "c", "runs").where("c > 1 OR runs IS NOT NULL")
     pack = lambda a, b: F.shiftleft(F.col("at").cast("bigint") + a, 31) + F.col("at") + b + length
     last = F.col("n") - 1
     whole = met.where(~F.col("differ")).select("doc", F.array(pack(F.lit(0), last)).alias("spans"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda k: pack(F.get("runs", k), F.get("runs", k + 1)))
     part = met.where("differ").join(judged, ["h", "f"]).select("doc", F.when(F.col("c") > 1, F.array(pack(F.lit(0), last))).otherwise(pairs).alias("spans"))
-    return stored(whole.unionByName(part).select("doc", F.explode("spans").alias("span")).groupBy("doc").agg(F.collect_set("span").alias("spans")), "spans")
+    spans = stored(whole.unionByName(part).select("doc", F.explode("spans").alias("span")).groupBy("doc").agg(F.collect_set("span").alias("spans")), "spans")
+    for used in (met, kinds, runs):
+        discard(used)
+    return spans
 
 
 def cut_repeats(docs: DataFrame, spans: DataFrame, columns: str) -> DataFrame:
