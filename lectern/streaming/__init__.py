@@ -1 +1 @@
-
+"""Structured Streaming forms of the engagement and arrival operators."""
