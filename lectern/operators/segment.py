@@ -104,7 +104,8 @@ def regrouped(parts: DataFrame, replies: DataFrame, key: str = "doc_id", size: i
     fresh = F.when(F.col("window") == 0, 0).otherwise(F.col("window") * step + overlap)
     groups = replies.select(key, "window", F.posexplode("groups").alias("nth", "members")).where(F.element_at("members", -1) >= fresh).select(key, "window", "nth", F.filter("members", lambda i: i >= fresh).alias("members"))
     number = F.row_number().over(Window.partitionBy(key).orderBy("window", "nth"))
-    named = groups.select(key, (number - 1).cast("bigint").alias("chunk_index"), F.posexplode("members").alias("place", "segment_index"))
+    numbered = groups.withColumn("chunk_index", (number - 1).cast("bigint"))
+    named = numbered.select(key, "chunk_index", F.posexplode("members").alias("place", "segment_index"))
     rows = named.join(parts, [key, "segment_index"])
     return rows.groupBy(key, "chunk_index").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "content"))), lambda x: x["content"]), "\n\n").alias("content"),

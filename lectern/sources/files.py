@@ -164,12 +164,16 @@ def listed_images(lines: DataFrame, line: str = "value") -> DataFrame:
     return rows.select(number(0).alias("page"), number(1).alias("nth"), F.get(words, F.lit(2)).alias("type"), number(3).alias("width"), number(4).alias("height"), F.get(words, F.lit(5)).alias("color"), parsed_size(F.get(words, F.lit(14))).alias("n_bytes"))
 
 
-@F.arrow_udf("struct<jpeg:bigint,png:bigint,gif:bigint>")
-def marked_images(content: pa.Array) -> pa.Array:
-    """How often each kind of image begins in a binary, by the bytes that it starts with."""
+def marked_images(content: Column) -> Column:
+    """How often each kind of image begins in a binary: (jpeg, png, gif), by the bytes that it starts with."""
     marks = {"jpeg": (b"\xff\xd8\xff",), "png": (b"\x89PNG\r\n\x1a\n",), "gif": (b"GIF87a", b"GIF89a")}
-    found = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in content]
-    return pa.StructArray.from_arrays([pa.array([sum(map(x.count, m)) for x in found], pa.int64()) for m in marks.values()], list(marks))
+
+    @F.arrow_udf("struct<jpeg:bigint,png:bigint,gif:bigint>")
+    def count(binaries: pa.Array) -> pa.Array:
+        found = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in binaries]
+        return pa.StructArray.from_arrays([pa.array([sum(map(x.count, m)) for x in found], pa.int64()) for m in marks.values()], list(marks))
+
+    return count(content)
 
 
 def arriving(spark: SparkSession, path: str, ext: str = "txt") -> DataFrame:
