@@ -59,34 +59,29 @@ def _pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n_blocks = -(-len(ids) // BLOCK)
     values = np.zeros((n_blocks, BLOCK), np.uint64)
     values.reshape(-1)[: len(ids)] = ids
-    left = np.full(n_blocks, BLOCK, np.int64)
-    left[-1] = len(ids) - BLOCK * (n_blocks - 1)
-    total = left.copy()
-    # too_wide[s][block, i]: how many of the block's first i ids don't fit selector s.
-    too_wide = []
-    for width in WIDTHS:
-        x = np.zeros((n_blocks, BLOCK + 1), np.int16)
-        np.cumsum(values >= (np.uint64(1) << np.uint64(width)), axis=1, out=x[:, 1:])
-        too_wide.append(x)
+    total = np.full(n_blocks, BLOCK, np.int64)
+    total[-1] = len(ids) - BLOCK * (n_blocks - 1)
+    # What stands after a block's end counts as zeros, which fit everywhere.
+    widest = np.zeros((n_blocks, BLOCK + int(COUNTS[0])), np.uint8)
+    widest[:, :BLOCK] = np.frexp(values.astype(np.float64))[1]
+    # The best selector for a word that would start at each place: the one of most ids that all fit.
+    best = np.full((n_blocks, BLOCK), 15, np.uint8)
+    size = 1
+    for s in range(14, -1, -1):
+        while size < COUNTS[s]:  # widest[:, k]: the bits that the ``size`` ids from k on need
+            step = min(size, int(COUNTS[s]) - size)
+            np.maximum(widest[:, :-step], widest[:, step:], out=widest[:, :-step])
+            size += step
+        best[widest[:, :BLOCK] <= WIDTHS[s]] = s
     steps = []
     live = np.arange(n_blocks)
     at = np.zeros(n_blocks, np.int64)
     while len(live):
-        here = at[live]
-        selector = np.full(len(live), 15, np.int64)
-        open_ = np.ones(len(live), bool)
-        for s in range(15):  # the selector with the most ids that all fit
-            k = np.flatnonzero(open_)
-            rows = live[k]
-            end = np.minimum(here[k] + COUNTS[s], total[rows])
-            fits = too_wide[s][rows, end] == too_wide[s][rows, here[k]]
-            selector[k[fits]] = s
-            open_[k[fits]] = False
-            if not open_.any():
-                break
-        steps.append((live, here, selector))
-        at[live] = np.minimum(here + COUNTS[selector], total[live])
-        live = live[at[live] < total[live]]
+        selector = best[live, at].astype(np.int64)
+        steps.append((live, at, selector))
+        at = at + COUNTS[selector]
+        more = at < total[live]
+        live, at = live[more], at[more]
     block = np.concatenate([x[0] for x in steps])
     place = np.concatenate([x[1] for x in steps])
     selector = np.concatenate([x[2] for x in steps])
