@@ -3,11 +3,12 @@
 Bands and rows come from a target recall at the threshold. Texts with one multiset of n-grams are one
 class; a class is signed once. Band hashes are counted by shuffle; those that two classes or more share
 become buckets, and buckets with the same members are done once. Within a bucket, signatures (a byte a
-hash) sort members to leaders: a member starts a new leader unless one is surely near, and is linked to
-every leader near enough that, by the triangle inequality, no pair over the threshold can fall apart.
-Links make groups, and groups are verified: all pairs of a group are compared by their full n-gram sets,
-in blocks of ``BLOCK`` classes, by counting in matrices. Only numbers of links and the links that hold a
-group together leave a task, never all pairs.
+hash) sort members to leaders: a member starts a new leader unless one is surely near, and is joined to
+every leader near enough that, by the triangle inequality, no pair over the threshold can fall apart. What
+leaves a bucket is one link for each member joined to another, and, after the first bands, only links
+between what was not joined before. Links make groups, and groups are verified: all pairs of a group are
+compared by their full n-gram sets, in blocks of ``BLOCK`` classes, by counting in matrices. Only numbers of
+links and the links that hold a group together leave a task, never all pairs.
 
 Buckets beyond ``HOT`` members are salted, and the leaders of the parts are linked in a second step; groups
 beyond ``BLOCK`` are compared block by block. Neither leaves a pair out.
@@ -36,6 +37,8 @@ from lectern.sources import discard, stored, table
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 HOT, BLOCK = 4_096, 1_024
+#: Bands that are looked at before the others; results are the same for any number.
+FIRST_BANDS = 4
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -112,48 +115,78 @@ def _estimated(low: np.ndarray, others: np.ndarray) -> np.ndarray:
     return ((low == others).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def leaders(low: np.ndarray, near: float, linked: float) -> tuple[list[int], list[tuple[int, int]]]:
-    """(leaders, links to leaders) among the rows of signatures."""
+def joined_labels(low: np.ndarray, label: np.ndarray, near: float, linked: float) -> tuple[list[int], np.ndarray]:
+    """(leaders, for each label number the least label number that it is joined to), among rows of signatures."""
+    root = np.arange(label.max() + 1)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
     heads = [0]
-    links = []
     held = low[:1]
     for k in range(1, len(low)):
         share = _estimated(held, low[k])
-        links += [(heads[j], k) for j in np.flatnonzero(share >= linked)]
+        own = find(label[k])
+        for other in {find(label[heads[j]]) for j in np.flatnonzero(share >= linked)}:
+            own, other = min(own, other), max(own, other)
+            root[other] = own
         if share.max() < near:
             heads.append(k)
             held = low[heads]
-    return heads, links
+    return heads, np.array([find(x) for x in range(len(root))])
+
 
+def candidate_links(classes: DataFrame, threshold: float, hot: int, first_bands: int = FIRST_BANDS) -> DataFrame:
+    """(a, b): links that put any two classes of at least the threshold into one group.
 
-def candidate_links(classes: DataFrame, threshold: float, hot: int) -> DataFrame:
-    """(a, b): links that put any two classes of at least the threshold into one group."""
-    banded = classes.select("class", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("members"), F.min("class").alias("least")).where("n > 1")
-    once = buckets.groupBy("n", "members", "least").agg(F.min("band").alias("band"))
+    The first bands join most of a group. In the other bands only buckets whose members are not all in one
+    group yet are looked at, and only what joins groups is a link. So a group has no more links than members in
+    the first bands, and few after, however many pairs it has.
+    """
+    signs = classes.select("class", "low")
+    first = _bucket_links(classes.select("class", F.col("class").alias("label"), F.slice("bands", 1, first_bands).alias("bands")), signs, threshold, hot, "first-links")
+    groups = components(first).withColumnRenamed("node", "class")
+    labelled = classes.join(groups, "class", "left").select("class", F.coalesce("label", "class").alias("label"), F.slice("bands", first_bands + 1, 1 << 20).alias("bands"))
+    rest = _bucket_links(stored(labelled, "labelled-classes"), signs, threshold, hot, "more-links")
+    return first.unionByName(rest)
+
+
+def _bucket_links(classes: DataFrame, signs: DataFrame, threshold: float, hot: int, name: str) -> DataFrame:
+    """(a, b): links between labels of ``classes`` (class, label, bands) that share a band hash; ``signs``: class, low."""
+    banded = classes.select("class", "label", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("members"), F.min("class").alias("least"), F.min("label").alias("low_label"), F.max("label").alias("high_label"))
+    once = buckets.where("low_label <> high_label").groupBy("n", "members", "least").agg(F.min("band").alias("band"))
     salt = F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / hot)).cast("int")
-    members = banded.join(once.select("band", "n"), "band").select("class", "band", F.when(F.col("n") > hot, salt).otherwise(F.lit(-1)).alias("salt"))
-    rows = members.join(classes.select("class", "low"), "class")
+    members = banded.join(once.select("band", "n"), "band").select("class", "label", "band", F.when(F.col("n") > hot, salt).otherwise(F.lit(-1)).alias("salt"))
+    rows = members.join(signs, "class").select("band", "salt", "label", "low")
     near, linked = threshold - 0.1, max(0.0, threshold - 0.1 - (1 - threshold) - 0.2)
 
+    def links_of(labels: pa.Array, low: np.ndarray, near: float, linked: float) -> tuple[list[int], pa.Array, pa.Array]:
+        coded = labels.dictionary_encode()
+        heads, root = joined_labels(low, np.asarray(coded.indices), near, linked)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return heads, coded.dictionary.take(pa.array(root[moved])), coded.dictionary.take(pa.array(moved))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for band, salt, names, low in _groups(batches, ["band", "salt"]):
-            heads, links = leaders(low, near, linked)
-            a, b = (names.take(pa.array([x[k] for x in links], pa.int64())) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([a, b, pa.nulls(len(links), pa.int64()), pa.nulls(len(links), pa.binary())], ["a", "b", "band", "low"])
+        for band, salt, labels, low in _groups(batches, ["band", "salt"]):
+            heads, a, b = links_of(labels, low, near, linked)
+            yield pa.RecordBatch.from_arrays([a, b, pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())], ["a", "b", "band", "low"])
             if salt >= 0:
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(heads)), names.take(pa.array(heads)), pa.array([band] * len(heads), pa.int64()), _binary(low[heads])], ["a", "b", "band", "low"])
+                own = labels.take(pa.array(heads))
+                yield pa.RecordBatch.from_arrays([own, own, pa.array([band] * len(heads), pa.int64()), _binary(low[heads])], ["a", "b", "band", "low"])
 
     schema = "a binary, b binary, band bigint, low binary"
-    first = stored(rows.select("band", "salt", "class", "low").repartition("band", "salt").sortWithinPartitions("band", "salt").mapInArrow(run, schema), "near-classes")
-    heads = first.where("band IS NOT NULL").select("band", F.lit(-1).alias("salt"), F.col("a").alias("class"), "low")
+    first = stored(rows.repartition("band", "salt").sortWithinPartitions("band", "salt").mapInArrow(run, schema), name)
+    heads = first.where("band IS NOT NULL").select("band", F.lit(-1).alias("salt"), F.col("a").alias("label"), "low")
     # Two leaders of parts whose members are over the threshold are at most this far apart.
     apart = max(0.0, 1 - 2 * (1 - near + 0.1) - (1 - threshold))
 
     def join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, names, low in _groups(batches, ["band", "salt"]):
-            _, links = leaders(low, 2.0, apart)
-            a, b = (names.take(pa.array([x[k] for x in links], pa.int64())) for k in (0, 1))
+        for _, _, labels, low in _groups(batches, ["band", "salt"]):
+            _, a, b = links_of(labels, low, 2.0, apart)
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
     across = heads.repartition("band").sortWithinPartitions("band").mapInArrow(join_parts, "a binary, b binary")
@@ -161,14 +194,14 @@ def candidate_links(classes: DataFrame, threshold: float, hot: int) -> DataFrame
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple]:
-    """(keys..., classes, signatures) of each group of sorted rows (keys, class, low)."""
+    """(keys..., labels, signatures) of each group of sorted rows (keys, label, low)."""
     held: list[pa.RecordBatch] = []
 
     def out(parts: list[pa.RecordBatch]) -> tuple:
         whole = pa.Table.from_batches(parts).combine_chunks()
         data, at = utf8(whole["low"].combine_chunks() if whole["low"].num_chunks != 1 else whole["low"].chunk(0))
-        names = whole["class"].chunk(0)
-        return (*(whole[k][0].as_py() for k in keys), names, data.reshape(len(names), -1))
+        labels = whole["label"].chunk(0)
+        return (*(whole[k][0].as_py() for k in keys), labels, data.reshape(len(labels), -1))
 
     last = None
     for batch in batches:
