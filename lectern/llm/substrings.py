@@ -221,8 +221,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     """(doc, spans): for each document (``doc``, ``text``) with repeats its spans of bytes, packed as start * 2^31 + end."""
     found = stored(_all_segments(docs, length), "segments")
     repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), (F.min("f") != F.max("f")).alias("differ")).where("c > 1").select("h", "differ")
+    # Written first, so that the joins below meet two plain shuffles: Spark then splits the part of a very common key.
+    repeated = stored(repeated, "repeated-anchors")
     met = stored(found.join(repeated, "h"), "repeated-segments")
     discard(found)
+    discard(repeated)
     kinds = met.where("differ").groupBy("h", "f").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "at", "n")).alias("one"))
     kinds = stored(kinds.select("h", "f", "c", "one.doc", "one.at", "one.n"), "segment-kinds")
     common = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("h", F.lit(True).alias("hot"))
@@ -234,14 +237,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
         runs = runs.unionByName(_by_window(passages.where("hot"), n_hot, length))
     runs = stored(runs.where(F.size("runs") > 0).groupBy("h", "f").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
     discard(passages)
-    judged = kinds.join(runs, ["h", "f"], "left").select("h", "f", "c", "runs").where("c > 1 OR runs IS NOT NULL")
+    judged = stored(kinds.join(runs, ["h", "f"], "left").select("h", "f", "c", "runs").where("c > 1 OR runs IS NOT NULL"), "judged-kinds")
     pack = lambda a, b: F.shiftleft(F.col("at").cast("bigint") + a, 31) + F.col("at") + b + length
     last = F.col("n") - 1
     whole = met.where(~F.col("differ")).select("doc", F.array(pack(F.lit(0), last)).alias("spans"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda k: pack(F.get("runs", k), F.get("runs", k + 1)))
     part = met.where("differ").join(judged, ["h", "f"]).select("doc", F.when(F.col("c") > 1, F.array(pack(F.lit(0), last))).otherwise(pairs).alias("spans"))
     spans = stored(whole.unionByName(part).select("doc", F.explode("spans").alias("span")).groupBy("doc").agg(F.collect_set("span").alias("spans")), "spans")
-    for used in (met, kinds, runs):
+    for used in (met, kinds, runs, judged):
         discard(used)
     return spans
 
