@@ -182,8 +182,9 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int, drops_space: bool =
         fs.move(draft, f"{base}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard, f"{folder}/{name}", sum(map(len, keys)), sum(map(len, ids)))], ["shard", "path", "n_rows", "n_ids"])
 
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key", F.xxhash64("text"))
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    # Ranges end within a key too, however many rows it has.
+    ordered = rows.repartitionByRange("key", "hash", "row").sortWithinPartitions("key", "hash").select("key", "text")
     return stored(ordered.mapInArrow(run, "shard bigint, path string, n_rows bigint, n_ids bigint"), "manifest")
 
 
