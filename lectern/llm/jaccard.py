@@ -150,14 +150,18 @@ def candidate_links(classes: DataFrame, threshold: float, hot: int, first_bands:
     first = _bucket_links(classes.select("class", F.col("class").alias("label"), F.slice("bands", 1, first_bands).alias("bands")), signs, threshold, hot, "first-links")
     groups = components(first).withColumnRenamed("node", "class")
     labelled = classes.join(groups, "class", "left").select("class", F.coalesce("label", "class").alias("label"), F.slice("bands", first_bands + 1, 1 << 20).alias("bands"))
-    rest = _bucket_links(stored(labelled, "labelled-classes"), signs, threshold, hot, "more-links")
+    labelled = stored(labelled, "labelled-classes")
+    rest = _bucket_links(labelled, signs, threshold, hot, "more-links")
+    discard(labelled)
     return first.unionByName(rest)
 
 
 def _bucket_links(classes: DataFrame, signs: DataFrame, threshold: float, hot: int, name: str) -> DataFrame:
     """(a, b): links between labels of ``classes`` (class, label, bands) that share a band hash; ``signs``: class, low."""
     banded = classes.select("class", "label", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("members"), F.min("class").alias("least"), F.min("label").alias("low_label"), F.max("label").alias("high_label"))
+    # Buckets are told apart, and labels within one, by 64-bit hashes: that halves what is shuffled.
+    member, label = F.xxhash64("class"), F.xxhash64("label")
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(member).alias("members"), F.min(member).alias("least"), F.min(label).alias("low_label"), F.max(label).alias("high_label"))
     once = buckets.where("low_label <> high_label").groupBy("n", "members", "least").agg(F.min("band").alias("band"))
     salt = F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / hot)).cast("int")
     members = banded.join(once.select("band", "n"), "band").select("class", "label", "band", F.when(F.col("n") > hot, salt).otherwise(F.lit(-1)).alias("salt"))
