@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.text import utf8
+from lectern.llm.text import releases, utf8
 from lectern.llm.tokens import PieceMemory, encoded_slices, id_columns, leading_space_pieces
 from lectern.sources import table
 
@@ -122,6 +122,9 @@ def replay_memory(path: str, pattern: str) -> PieceMemory:
     return PieceMemory(leading_space_pieces, encode)
 
 
+releases.append(replay_memory.cache_clear)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids: the ids of each whole text as little-endian unsigned 32-bit integers."""
 

@@ -32,7 +32,7 @@ TEXT_GRAMS = 300
 LEAST_SCORE = 0.2
 _GAP = 0
 _SALTS = 64
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -104,10 +104,10 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size
                 mine = group == k
                 kept.setdefault(name, []).append((gram[mine], n[mine]))
                 held += int(mine.sum())
-            if held > 2_000_000:
+            if held > 600_000:
                 kept = {name: [_summed(x)] for name, x in kept.items()}
                 held = sum(len(x[0][0]) for x in kept.values())
-                if held > 1_000_000:  # more kinds of n-grams than expected: hand them on
+                if held > 400_000:  # more kinds of n-grams than expected: hand them on
                     yield from _counts_out(kept)
                     kept, held = {}, 0
         yield from _counts_out({name: [_summed(x)] for name, x in kept.items()})

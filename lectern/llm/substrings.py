@@ -35,10 +35,10 @@ from lectern.sources import discard, stored, table
 
 LENGTH, GRAM = 200, 32
 HOT = 2_000
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Document keys that may be sent to all executors (8 bytes each); beyond, they are joined.
 BROADCAST_KEYS = 500_000
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 
 
 def row_key(key: Column, text: Column) -> Column:

@@ -6,12 +6,14 @@ working arrays of a task stay small however many rows or bytes Spark hands over
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Frees what a Python worker keeps between the tasks of one operator.
+releases: list[Callable[[], None]] = []
 _MUL = 0x9E3779B97F4A7C15
 
 
@@ -30,8 +32,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[first : at[-1]], at - first
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that each holds about ``limit`` bytes of ``column`` (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, keeps: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that each holds about ``limit`` bytes of ``column`` (one row at least).
+
+    Workers outlive stages: unless ``keeps`` holds, what earlier operators kept in this one is freed.
+    """
+    if not keeps:
+        for release in releases:
+            release()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -66,7 +74,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             x = np.full(size, base, np.uint64)
             x[0] = 1
             out.append(np.cumprod(x))
-        if n > 4 * SLICE_BYTES:  # one very long text: not kept
+        if n > 16 * SLICE_BYTES:  # one very long text: not kept
             return out[0][: n + 1], out[1][: n + 1]
         _powers[:] = out
     return _powers[0][: n + 1], _powers[1][: n + 1]

@@ -17,9 +17,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from lectern.llm.text import slices
+from lectern.llm.text import releases, slices
 
 MEMORY_PIECES = 1_200_000
+_SLICE = 2 << 20
 
 _RUNS = re.compile(r"\s\s\s|\s\s\Z")
 #: White space beside the blank and the line feed; and characters that a library's rules for white space may see otherwise.
@@ -68,8 +69,8 @@ class PieceMemory:
     def _reset(self) -> None:
         self.place = _Places()
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
+        self.start = np.zeros(1 << 16, np.int32)  # a few ids a piece: far from 2^31
+        self.count = np.zeros(1 << 16, np.int32)
         self.size = 0
 
     def _learn(self) -> None:
@@ -94,7 +95,7 @@ class PieceMemory:
         cuts = [c if (c := self.cut(t)) is not None else [t] for t in texts]
         flat = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cuts)), np.int64)
         self._learn()
-        n = self.count[flat]
+        n = self.count[flat].astype(np.int64)
         ends = np.append(0, np.cumsum(n))
         ids = self.ids[np.repeat(self.start[flat] - ends[:-1], n) + np.arange(ends[-1])]
         return ids, ends[np.append(0, np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts))))]
@@ -110,30 +111,34 @@ def library_memory(path: str, drops_space: bool) -> PieceMemory:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    plain, marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    library = Tokenizer.from_file(path)
     mark = "<|endoftext|>"
-    mark_id = plain.token_to_id(mark)
+    mark_id = library.token_to_id(mark)
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         single = np.array([len(p) > 1000 or "<|" in p or "|>" in p or p[0] == ">" or p[-1] == "<" for p in pieces], bool)
         joined, apart = np.flatnonzero(~single), np.flatnonzero(single)
         ids, counts = [], []
+        library.encode_special_tokens = False
         for first in range(0, len(joined), 4000):
             group = [pieces[k] for k in joined[first : first + 4000]]
-            found = np.array(marked.encode_batch_fast([mark.join(group)], add_special_tokens=False)[0].ids, np.uint32)
+            found = np.array(library.encode_batch_fast([mark.join(group)], add_special_tokens=False)[0].ids, np.uint32)
             breaks = found == mark_id
             ids.append(found[~breaks])
             counts.append(np.diff(np.flatnonzero(breaks), prepend=-1, append=len(found)) - 1)
             assert len(counts[-1]) == len(group)
+        library.encode_special_tokens = True
         for k in apart:
-            ids.append(np.array(plain.encode_batch_fast([pieces[k]], add_special_tokens=False)[0].ids, np.uint32))
+            ids.append(np.array(library.encode_batch_fast([pieces[k]], add_special_tokens=False)[0].ids, np.uint32))
             counts.append(np.array([len(ids[-1])]))
         return np.concatenate([joined, apart]), np.concatenate(ids), np.concatenate(counts)
 
     return PieceMemory(blank_pieces if drops_space else leading_space_pieces, encode)
 
 
+releases.append(library_memory.cache_clear)
+
+
 def id_columns(ids: np.ndarray, at: np.ndarray) -> pa.Array:
     """Runs of ids as a binary column of little-endian unsigned 32-bit integers."""
     if at[-1] * 4 >= 1 << 31:
@@ -150,6 +155,6 @@ def with_end(ids: np.ndarray, at: np.ndarray, end: int | None) -> tuple[np.ndarr
 
 def encoded_slices(batches: Iterator[pa.RecordBatch], memory: PieceMemory, end: int | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, ids, offsets) of slices of batches that have a column ``text``; a null text is empty."""
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", _SLICE, keeps=True):
         texts = part.column(part.schema.get_field_index("text")).fill_null("").to_pylist()
         yield part, *with_end(*memory.encode_texts(texts), end)
