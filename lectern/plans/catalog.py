@@ -1,6 +1,6 @@
 """All queries but those of the subpackage for training data."""
 
-from lectern.plans import engagement, feed, library, streams, texts  # noqa: F401  (they register their queries)
+from lectern.plans import engagement, feed, library, streams, texts, whole  # noqa: F401  (they register their queries)
 from lectern.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

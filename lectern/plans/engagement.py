@@ -80,9 +80,9 @@ SELECT user_id, card_id, saved_at, nth, card_type, book_id, actions FROM (
     JOIN (SELECT user_id, card_id, card_type, book_id FROM placed_cards) USING (user_id, card_id) WHERE saved_at IS NOT NULL)
 WHERE nth BETWEEN 6 AND 15
 """))
-def saved_cards(spark: SparkSession, folder: str, limit: int = 10, offset: int = 5) -> DataFrame:
+def saved_cards(spark: SparkSession, folder: str, limit: int = 10, offset: int = 5, views: type[Views] = Views) -> DataFrame:
     """Every user's page of liked or bookmarked cards, the latest first, each with all its actions."""
-    v = Views(spark, folder)
+    v = views(spark, folder)
     saving = F.when(F.col("action").isin("like", "bookmark"), F.col("created_at"))
     saved = v.card_actions().groupBy("user_id", "card_id").agg(F.max(saving).alias("saved_at"), F.array_join(F.array_sort(F.collect_list("action")), ",").alias("actions")).where("saved_at IS NOT NULL")
     rows = saved.join(v.placed_cards().select("user_id", "card_id", "card_type", "book_id"), ["user_id", "card_id"])
@@ -126,9 +126,9 @@ def sm2_state(spark: SparkSession, folder: str) -> DataFrame:
 SELECT p.user_id, p.card_id, p.card_type FROM placed_cards p WHERE (p.reading_goal IS NULL OR p.reading_goal <> 'casual') AND p.card_type IN ('flashcard', 'quiz')
 AND EXISTS (SELECT 1 FROM card_scores s WHERE s.user_id = p.user_id AND s.card_id = p.card_id AND s.sr_due_at <= {as_of})
 """))
-def sr_due(spark: SparkSession, folder: str) -> DataFrame:
+def sr_due(spark: SparkSession, folder: str, views: type[Views] = Views) -> DataFrame:
     """Review cards that are due, but for books read casually."""
-    v = Views(spark, folder)
+    v = views(spark, folder)
     due = v.scores().where(F.col("sr_due_at") <= as_of()).select("user_id", "card_id")
     cards = v.placed_cards().where(gates.is_review() & (F.col("reading_goal").isNull() | (F.col("reading_goal") != "casual")))
     return cards.join(due, ["user_id", "card_id"], "left_semi").select("user_id", "card_id", "card_type")
@@ -188,17 +188,17 @@ def cooldown_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(with_views("SELECT user_id, card_id, document_type FROM placed_cards WHERE reading_goal IS DISTINCT FROM 'casual' OR card_type NOT IN ('flashcard', 'quiz')"))
-def casual_filter(spark: SparkSession, folder: str) -> DataFrame:
+def casual_filter(spark: SparkSession, folder: str, views: type[Views] = Views) -> DataFrame:
     """Cards without the review cards of books read casually."""
-    return gates.suits_goal(Views(spark, folder).placed_cards()).select("user_id", "card_id", "document_type")
+    return gates.suits_goal(views(spark, folder).placed_cards()).select("user_id", "card_id", "document_type")
 
 
 @query(with_views("""
 SELECT user_id, card_id FROM placed_cards p WHERE book_id IN (SELECT m.book_id FROM collection_books m JOIN collections o ON o.collection_id = m.collection_id WHERE o.user_id = p.user_id AND o.name IN ('list 0', 'list 1'))
 """, MANY))
-def collection_filter(spark: SparkSession, folder: str) -> DataFrame:
+def collection_filter(spark: SparkSession, folder: str, views: type[Views] = Views) -> DataFrame:
     """Cards of books in two of their user's collections."""
-    v = Views(spark, folder, MANY)
+    v = views(spark, folder, MANY)
     collections, members = v.collections()
     rows = v.placed_cards().withColumnRenamed("book_id", "document_id")
     return gates.in_collections(rows, members.withColumnRenamed("book_id", "document_id"), collections, ["list 0", "list 1"]).select("user_id", "card_id")
@@ -219,9 +219,9 @@ def engagement_mastered(spark: SparkSession, folder: str) -> DataFrame:
 @query(with_views("""
 SELECT p.user_id, p.book_id, count(DISTINCT chunk_id) AS chunks_read FROM feed_events f JOIN placed_cards p ON p.user_id = f.user_id AND p.card_id = f.card_id WHERE f.event_type <> 'scrolled_past' GROUP BY ALL
 """))
-def reading_progress(spark: SparkSession, folder: str) -> DataFrame:
+def reading_progress(spark: SparkSession, folder: str, views: type[Views] = Views) -> DataFrame:
     """Chunks of each book that a user has looked at."""
-    v = Views(spark, folder)
+    v = views(spark, folder)
     seen = v.feed_events().where("event_type <> 'scrolled_past'").select("user_id", "card_id").distinct()
     return v.placed_cards().select("user_id", "card_id", "book_id", "chunk_id").join(seen, ["user_id", "card_id"], "left_semi").groupBy("user_id", "book_id").agg(F.count_distinct("chunk_id").alias("chunks_read"))
 
@@ -285,9 +285,9 @@ SELECT c.user_id, c.chunk_id, array_to_string(list_sort(list_filter(CASE WHEN b.
     ELSE CASE coalesce(b.reading_goal, 'reflective') WHEN 'study' THEN ['discover', 'raw_commentary', 'flashcard', 'glossary', 'contrast'] ELSE ['discover', 'raw_commentary', 'flashcard'] END END, lambda t: NOT list_contains(c.have, t))), ',') AS missing
 FROM (SELECT user_id, chunk_id, book_id, list(DISTINCT card_type) AS have FROM placed_cards GROUP BY ALL) c JOIN books b USING (book_id) WHERE missing <> ''
 """, MANY))
-def missing_card_types(spark: SparkSession, folder: str) -> DataFrame:
+def missing_card_types(spark: SparkSession, folder: str, views: type[Views] = Views) -> DataFrame:
     """Card types that a book's strategy asks for and a chunk has no card of."""
-    v = Views(spark, folder, MANY)
+    v = views(spark, folder, MANY)
     placed = v.placed_cards()
     wanted = placed.groupBy("user_id", "chunk_id").agg(F.any_value("document_type").alias("document_type"), F.any_value("reading_goal").alias("reading_goal"))
     chunks = wanted.select("user_id", "chunk_id", strategy(F.col("document_type"), F.col("reading_goal"))["card_types"].alias("card_types"))

@@ -135,9 +135,9 @@ SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY section, o1, o2
 
 
 @query(with_views(_FEED_SQL, MANY))
-def feed_page(spark: SparkSession, folder: str) -> DataFrame:
+def feed_page(spark: SparkSession, folder: str, views: type[Views] = Views) -> DataFrame:
     """The next page of every user."""
-    return feed(Views(spark, folder, MANY))
+    return feed(views(spark, folder, MANY))
 
 
 @query(with_views("""

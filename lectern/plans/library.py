@@ -24,9 +24,9 @@ def doc_type_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(with_views("SELECT book_id, count(DISTINCT chunk_id) AS chunks, count(*) AS cards FROM placed_cards GROUP BY ALL"))
-def chunks_with_cards(spark: SparkSession, folder: str) -> DataFrame:
+def chunks_with_cards(spark: SparkSession, folder: str, views: type[Views] = Views) -> DataFrame:
     """Chunks of each book that have cards, and the cards."""
-    return Views(spark, folder).placed_cards().groupBy("book_id").agg(F.count_distinct("chunk_id").alias("chunks"), F.count(F.lit(1)).alias("cards"))
+    return views(spark, folder).placed_cards().groupBy("book_id").agg(F.count_distinct("chunk_id").alias("chunks"), F.count(F.lit(1)).alias("cards"))
 
 
 @query(with_views("SELECT source, count(*) AS n, coalesce(sum(strlen(content)), 0)::BIGINT AS n_bytes, sum(strlen(content)) > 100000 AS over FROM chunks GROUP BY ALL"))

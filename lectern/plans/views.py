@@ -7,9 +7,10 @@ by 3 have no review cards.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.scores import jitter
 from lectern.functions.text import count_words
 from lectern.operators import events as ev
 from lectern.sources import table
@@ -40,10 +41,18 @@ class Views:
     def _events(self) -> DataFrame:
         return table(self.spark, self.folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
+    def _card(self):
+        """The card of an event."""
+        return F.col("k") % self.n_cards
+
+    def _owned(self) -> DataFrame:
+        """(user_id, card_id) of every card."""
+        return self.users().select("user_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(self.n_cards - 1).cast("bigint"))).alias("card_id"))
+
     def impressions(self) -> DataFrame:
         kind = F.col("event_type")
         return self._events().select(
-            "event_id", "user_id", (F.col("k") % self.n_cards).alias("card_id"), F.col("ts").alias("created_at"), F.round(F.col("value") * 100).cast("bigint").alias("dwell_ms"),
+            "event_id", "user_id", self._card().alias("card_id"), F.col("ts").alias("created_at"), F.round(F.col("value") * 100).cast("bigint").alias("dwell_ms"),
             (kind == "view").alias("was_sr_due"), F.when(kind == "purchase", F.col("k") % 8).alias("self_grade"), F.when(kind == "click", F.col("k") % 4).alias("quiz_selected_index"),
         )
 
@@ -56,8 +65,7 @@ class Views:
         return ids.select("user_id", F.when(F.col("user_id") % 4 == 0, "plus").otherwise("free").alias("tier"))
 
     def cards(self) -> DataFrame:
-        every = self.users().select("user_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(self.n_cards - 1).cast("bigint"))).alias("card_id"))
-        rows = every.withColumn("chunk_id", F.expr("card_id div 5"))
+        rows = self._owned().withColumn("chunk_id", F.expr("card_id div 5"))
         kind = F.when(F.col("chunk_id") % 3 == 1, _pick(_PLAIN_TYPES, F.col("card_id") % 5)).otherwise(_pick(_TYPES, (F.col("card_id") * 3 + F.col("chunk_id")) % 7))
         return rows.select("user_id", "card_id", "chunk_id", kind.alias("card_type"), (F.col("card_id") % 4).alias("right_choice"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("card_id").cast("int"))).alias("created_at"))
 
@@ -81,7 +89,7 @@ class Views:
 
     def actions(self) -> DataFrame:
         kind = F.coalesce(*(F.when(F.col("event_type") == e, F.lit(a)) for e, a in (("click", "like"), ("purchase", "bookmark"), ("error", "dismiss"))))
-        return self._events().select("event_id", "user_id", (F.col("k") % self.n_cards).alias("card_id"), kind.alias("action"), F.col("ts").alias("created_at")).where("action IS NOT NULL")
+        return self._events().select("event_id", "user_id", self._card().alias("card_id"), kind.alias("action"), F.col("ts").alias("created_at")).where("action IS NOT NULL")
 
     def card_actions(self) -> DataFrame:
         return ev.active_actions(self.actions())
@@ -103,24 +111,72 @@ class Views:
         return collections, members
 
 
+class WholeViews(Views):
+    """The same tables with cards over all documents: they grow with users, events and documents.
+
+    An event's ``k`` is the card ``k % 5`` of a chunk that the digest of user and ``k div 5`` picks among
+    all documents; each document also has one user, picked by its own digest, so that none is without
+    cards. A user has the five cards of each of these chunks, and three collections of the books of them,
+    by number. Numbers are picked from the range of the ids; those that no row has get no cards.
+    """
+
+    def _picked(self, name: str, column: str, *by) -> tuple[DataFrame, Column]:
+        """One row (_lo, _n) with the range of a table's ids, and the id in it that a digest picks."""
+        ids = table(self.spark, self.folder, name).agg(F.min(column).alias("_lo"), (F.max(column) - F.min(column) + 1).alias("_n"))
+        return F.broadcast(ids), F.col("_lo") + F.floor(jitter(F.lit(name), *(b.cast("string") for b in by)) * F.col("_n"))
+
+    def _events(self) -> DataFrame:
+        ids, chunk = self._picked("documents", "doc_id", F.col("user_id"), F.expr("k div 5"))
+        return super()._events().join(ids).withColumn("card_id", chunk * 5 + F.col("k") % 5).drop("_lo", "_n")
+
+    def _card(self):
+        return F.col("card_id")
+
+    def _owned(self) -> DataFrame:
+        ids, user = self._picked("events", "user_id", F.col("doc_id"))
+        given = table(self.spark, self.folder, "documents").select("doc_id").join(ids).select(user.alias("user_id"), F.col("doc_id").alias("chunk_id")).join(self.users().select("user_id"), "user_id", "left_semi")
+        met = self._events().where("card_id IS NOT NULL").select("user_id", F.expr("card_id div 5").alias("chunk_id"))
+        five = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint")))
+        return given.unionByName(met).distinct().select("user_id", "chunk_id", five.alias("j")).select("user_id", (F.col("chunk_id") * 5 + F.col("j")).alias("card_id"))
+
+    def collections(self) -> tuple[DataFrame, DataFrame]:
+        collections, _ = super().collections()
+        return collections, self.placed_cards().select((F.col("user_id") * 3 + F.col("book_id") % 3).alias("collection_id"), "book_id").distinct()
+
+
 def views_sql(n_cards: int = FEW) -> str:
     """The same tables as common table expressions, to stand before a query: ``WITH RECURSIVE`` included."""
+    return _views_sql("e AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events)", f"k % {n_cards} AS card_id", f"users, range({n_cards}) r(card_id)", "SELECT user_id * 3 + n AS collection_id, unnest([n, n + 2]) AS book_id FROM users, range(3) r(n)")
+
+
+def whole_views_sql() -> str:
+    """The tables of ``WholeViews``."""
+    picked = lambda name, column, by: f"(SELECT min({column}) FROM {name}) + CAST(floor(CAST(('0x' || substr(md5('{name}:' || {by}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE * (SELECT max({column}) - min({column}) + 1 FROM {name})) AS BIGINT)"
+    return _views_sql(
+        f"""n AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events),
+e AS MATERIALIZED (SELECT *, ({picked("documents", "doc_id", "user_id || ':' || (k // 5)")}) * 5 + k % 5 AS card_id FROM n),
+owned AS MATERIALIZED (SELECT {picked("events", "user_id", "doc_id")} AS user_id, doc_id AS chunk_id FROM documents WHERE user_id IN (SELECT user_id FROM events) UNION SELECT user_id, card_id // 5 FROM e WHERE card_id IS NOT NULL)""",
+        "card_id", "(SELECT user_id, chunk_id * 5 + j AS card_id FROM owned, range(5) r(j))", "SELECT DISTINCT user_id * 3 + book_id % 3 AS collection_id, book_id FROM placed_cards",
+    )
+
+
+def _views_sql(events: str, card: str, owned: str, members: str) -> str:
     listed = lambda values: "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
     return f"""
-WITH RECURSIVE e AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events),
-impressions AS (SELECT event_id, user_id, k % {n_cards} AS card_id, ts AS created_at, CAST(round(value * 100) AS BIGINT) AS dwell_ms, event_type = 'view' AS was_sr_due,
+WITH RECURSIVE {events},
+impressions AS (SELECT event_id, user_id, {card}, ts AS created_at, CAST(round(value * 100) AS BIGINT) AS dwell_ms, event_type = 'view' AS was_sr_due,
     CASE WHEN event_type = 'purchase' THEN k % 8 END AS self_grade, CASE WHEN event_type = 'click' THEN k % 4 END AS quiz_selected_index FROM e),
 feed_events AS (SELECT event_id, user_id, card_id, created_at, dwell_ms, CASE WHEN dwell_ms < 1500 THEN 'scrolled_past' WHEN dwell_ms < 4000 THEN 'glanced' ELSE 'engaged' END AS event_type,
     CAST(CASE WHEN self_grade BETWEEN 0 AND 5 THEN self_grade END AS INTEGER) AS self_grade, CAST(hour(created_at) AS INTEGER) AS time_of_day, CAST(dayofweek(created_at) AS INTEGER) AS day_of_week FROM impressions),
 users AS (SELECT DISTINCT user_id, CASE WHEN user_id % 4 = 0 THEN 'plus' ELSE 'free' END AS tier FROM events),
 cards AS (SELECT user_id, card_id, card_id // 5 AS chunk_id,
     CASE WHEN (card_id // 5) % 3 = 1 THEN {listed(_PLAIN_TYPES)}[card_id % 5 + 1] ELSE {listed(_TYPES)}[(card_id * 3 + card_id // 5) % 7 + 1] END AS card_type,
-    card_id % 4 AS right_choice, TIMESTAMP '2024-01-01' + to_minutes(CAST(card_id AS INTEGER)) AS created_at FROM users, range({n_cards}) r(card_id)),
+    card_id % 4 AS right_choice, TIMESTAMP '2024-01-01' + to_minutes(CAST(card_id AS INTEGER)) AS created_at FROM {owned}),
 chunks AS (SELECT doc_id AS chunk_id, doc_id // 4 AS book_id, doc_id % 4 AS chunk_index, text AS content, CAST(len(list_filter(regexp_split_to_array(text, '[\\t-\\r \\x{{85}}\\p{{Z}}]+'), lambda w: w <> '')) AS BIGINT) AS word_count,
     CASE WHEN doc_id % 11 = 0 THEN 'code' WHEN doc_id % 13 = 0 THEN 'image' ELSE 'text' END AS chunk_type, lang AS language, source FROM documents),
 books AS (SELECT DISTINCT book_id, 'Book ' || book_id AS title, {listed(_BOOK_TYPES)}[book_id % 8 + 1] AS document_type, {listed(_GOALS)}[book_id % 4 + 1] AS reading_goal FROM (SELECT doc_id // 4 AS book_id FROM documents)),
 placed_cards AS (SELECT c.*, h.book_id, b.title, b.document_type, b.reading_goal FROM cards c JOIN chunks h USING (chunk_id) JOIN books b USING (book_id)),
-actions AS (SELECT event_id, user_id, k % {n_cards} AS card_id, CASE event_type WHEN 'click' THEN 'like' WHEN 'purchase' THEN 'bookmark' WHEN 'error' THEN 'dismiss' END AS action, ts AS created_at FROM e WHERE event_type IN ('click', 'purchase', 'error')),
+actions AS (SELECT event_id, user_id, {card}, CASE event_type WHEN 'click' THEN 'like' WHEN 'purchase' THEN 'bookmark' WHEN 'error' THEN 'dismiss' END AS action, ts AS created_at FROM e WHERE event_type IN ('click', 'purchase', 'error')),
 card_actions AS (SELECT user_id, card_id, action, max(created_at) AS created_at FROM actions GROUP BY ALL HAVING count(*) % 2 = 1),
 graded AS (SELECT i.user_id, i.card_id, i.created_at, row_number() OVER (PARTITION BY i.user_id, i.card_id ORDER BY i.created_at, i.event_id) AS nth,
     CASE WHEN self_grade BETWEEN 0 AND 5 THEN self_grade WHEN card_type = 'quiz' AND quiz_selected_index IS NOT NULL THEN CASE WHEN quiz_selected_index = right_choice THEN 5 ELSE 1 END
@@ -139,7 +195,7 @@ counters AS (SELECT user_id, card_id, count(*) AS times_shown, count(*) FILTER (
 card_scores AS (SELECT c.*, coalesce(r.sr_repetition, 0) AS sr_repetition, r.sr_interval_days, r.sr_ease_factor, r.sr_due_at FROM counters c LEFT JOIN review_states r ON r.user_id = c.user_id AND r.card_id = c.card_id),
 usage_events AS (SELECT user_id, 'cards_generated' AS event_type, k AS quantity, ts AS occurred_at FROM e WHERE event_type = 'signup'),
 collections AS (SELECT user_id * 3 + n AS collection_id, user_id, 'list ' || n AS name FROM users, range(3) r(n)),
-collection_books AS (SELECT user_id * 3 + n AS collection_id, unnest([n, n + 2]) AS book_id FROM users, range(3) r(n))
+collection_books AS ({members})
 """
 
 
