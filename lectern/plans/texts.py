@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
@@ -276,12 +276,35 @@ def chosen_by_toc(spark: SparkSession, folder: str) -> DataFrame:
 SELECT conv_id, turn, nth, card_type, left(text, 10) AS body FROM (SELECT conv_id, turn, replace(replace(text, chr(10), ' '), '"', '') AS text FROM conversations), (VALUES (0, 'discover'), (1, 'quiz')) t(nth, card_type)
 """)
 def parsed_replies(spark: SparkSession, folder: str) -> DataFrame:
-    """Cards from replies: turns of conversations wrapped as a model would reply, with a fence, a formula and cards that do not count."""
-    text = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit(""))
-    card = lambda kind: F.concat(F.lit('{"type": "' + kind + '", "content": {"body": "'), F.substring(F.regexp_replace(text, r"\\", ""), 1, 10), F.lit(r' $\\frac{1}{2}$ \theta"}}'))
+    """The first characters of cards from replies: turns of conversations wrapped as a model would reply."""
+    turns = table(spark, folder, "conversations").withColumn("text", F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit("")))
+    return _from_replies(turns).select("conv_id", "turn", "nth", "card_type", F.substring("body", 1, 10).alias("body"))
+
+
+@query("""
+SELECT conv_id, turn, nth, card_type, length(text) AS n_chars, md5(text || ' $\\frac{1}{2}$ \\theta') AS body FROM conversations, (VALUES (0, 'discover'), (1, 'quiz')) t(nth, card_type) WHERE text IS NOT NULL
+""")
+def whole_parsed_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """Length and digest of the whole texts of the same cards, the turns as they are."""
+    rows = _from_replies(table(spark, folder, "conversations"))
+    return rows.select("conv_id", "turn", "nth", "card_type", F.length("body").cast("bigint").alias("n_chars"), F.md5(F.concat("body", "note")).alias("body"))
+
+
+def _quoted(text: Column) -> Column:
+    """A text within a JSON string. Control characters and backticks are ``\\uXXXX``: parsing a reply keeps only such, and drops fences."""
+    text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for c in (*map(chr, range(32)), "`"):
+        text = F.replace(text, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    return text
+
+
+def _from_replies(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, nth, card_type, body, note: from replies with each whole turn, a fence, a formula and cards that do not count."""
+    card = lambda kind: F.concat(F.lit('{"type": "' + kind + '", "content": {"body": "'), _quoted(F.col("text")), F.lit(r'", "note": " $\\frac{1}{2}$ \theta"}}'))
     reply = F.concat(F.lit("Here they are:\n```json\n["), card("discover"), F.lit(","), card("quiz"), F.lit(', {"type": "song", "content": {}}, {"type": "quiz", "content": 3}, 4]\n```'))
-    rows = table(spark, folder, "conversations").select("conv_id", "turn", F.posexplode(reply_cards(reply, F.array(F.lit("discover"), F.lit("quiz")))).alias("nth", "c"))
-    return rows.select("conv_id", "turn", "nth", "c.card_type", F.substring(F.get_json_object("c.content", "$.body"), 1, 10).alias("body"))
+    rows = turns.select("conv_id", "turn", F.posexplode(reply_cards(reply, F.array(F.lit("discover"), F.lit("quiz")))).alias("nth", "c"))
+    field = lambda name: F.get_json_object("c.content", f"$.{name}").alias(name)
+    return rows.select("conv_id", "turn", "nth", "c.card_type", field("body"), field("note"))
 
 
 @query("""
