@@ -8,14 +8,16 @@ members that could reach the k-th best exact score so far, those alone are resco
 the block's answer. Blocks meet blocks of queries; best lists of all blocks are merged by query.
 
 Defined cases: vectors that are null, empty, or hold a null or a non-finite component take no part; vectors of
-other lengths are padded with zeros; components beyond +-2^27 after scaling are held at that bound, so
-that integer scores are exact; ties go to the smaller id, and among rows of one id to either; a query's own row is
+other lengths are padded with zeros; components are whole numbers of any size and scores
+exact: rows or products that 64 bits might not hold are scored in Python's integers, and a score among the k
+best that is no bigint is an error (as in SQL); ties go to the smaller id, and among rows of one id to either; a query's own row is
 no candidate, other rows of its id are; fewer candidates than k are all returned; an empty table gives an
 empty result; only id and vector are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,8 @@ from lectern.sources import stored, table
 LEVELS = 16
 BLOCK_ROWS, QUERY_ROWS = 16_384, 512
 SCALE = 1024
-_BOUND = 1 << 27
+#: Components that an int holds; and the bound on sums of products below which 64 bits hold all that the index adds.
+_INT, _SAFE = (1 << 31) - 1, 1 << 60
 #: Segments between two looks at the bound, as a share of all; and the members, times k, that are few enough.
 _LOOKS, _FEW = 12, 8
 
@@ -97,32 +100,72 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
     # Exact size bounds a block; the row number tells rows of one id apart.
     raw = vectors.select(F.col(key).alias("id"), is_query.alias("is_query"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
     fine = raw.where(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    whole = F.transform("v", lambda x: F.greatest(F.least(F.floor(x * scale), F.lit(_BOUND)), F.lit(-_BOUND)).cast("int"))
-    rows = stored(fine.select("id", "is_query", whole.alias("v"), F.monotonically_increasing_id().alias("row")), "vectors")
+    # Few rows have larger components: those keep their doubles, and are whole numbers in Python alone.
+    is_wide = F.exists("v", lambda x: F.abs(x * scale) > _INT)
+    whole = F.transform("v", lambda x: F.when(is_wide, 0).otherwise(F.floor(x * scale)).cast("int"))
+    rows = stored(fine.select("id", "is_query", whole.alias("v"), F.when(is_wide, F.col("v")).alias("wide"), F.monotonically_increasing_id().alias("row")), "vectors")
     n, n_queries, dims = rows.agg(F.count(F.lit(1)), F.count_if("is_query"), F.max(F.size("v"))).head()
     blocks, query_blocks, dims = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n_queries // QUERY_ROWS)), dims or 1
     dealt = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
-    as_member = rows.select("id", "v", "row", F.lit(False).alias("asks"), dealt.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
+    as_member = rows.select("id", "v", "wide", "row", F.lit(False).alias("asks"), dealt.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
     query_dealt = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks)).cast("int")
-    as_query = rows.where("is_query").select("id", "v", "row", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), query_dealt.alias("query_block"))
+    as_query = rows.where("is_query").select("id", "v", "wide", "row", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), query_dealt.alias("query_block"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = pdf["asks"].to_numpy()
         members, queries = pdf[~asks].sort_values("row"), pdf[asks]
         ids, at = members["id"].to_numpy(), members["row"].to_numpy()
-        index = ImpactIndex(_matrix(members["v"], dims))
+        is_wide = members["wide"].notna().to_numpy()
+        small = np.flatnonzero(~is_wide)
+        vectors = _matrix(members["v"], dims)
+        index, largest = ImpactIndex(vectors[small]), int(np.abs(vectors).max(initial=0))
+        wide = _exact(members["wide"][is_wide], dims, scale)
+        all_exact = None
         out = []
-        for query, row, vec in zip(queries["id"], queries["row"], _matrix(queries["v"], dims), strict=True):
+        for query, row, vec, far in zip(queries["id"], queries["row"], _matrix(queries["v"], dims), queries["wide"], strict=True):
             place = int(np.searchsorted(at, row))
             own = place if place < len(at) and at[place] == row else -1
-            found, scores = index.search(vec, ids, own, k)
-            out.append(pd.DataFrame({"query_id": query, "query_row": row, "id": ids[found], "row": at[found], "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "query_row", "id", "row", "score")})
-
-    near = as_member.unionByName(as_query).groupBy("block", "query_block").applyInPandas(search, "query_id bigint, query_row bigint, id bigint, row bigint, score bigint")
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc("id"), F.asc("row"))
+            big = _exact([far], dims, scale)[0] if far is not None else vec.astype(object)
+            if len(small) and int(sum(map(abs, big))) * max(largest, 1) < _SAFE:
+                near = int(np.searchsorted(small, own)) if own >= 0 and not is_wide[own] else -1
+                found, scores = index.search(big.astype(np.int64), ids[small], near, k)
+                found, scores = small[found], scores.astype(object)
+                others = np.flatnonzero(is_wide)
+                found, scores = np.concatenate([found, others]), np.concatenate([scores, wide @ big])
+            else:
+                if all_exact is None:
+                    all_exact = vectors.astype(object)
+                    all_exact[is_wide] = wide
+                found, scores = np.arange(len(ids)), all_exact @ big
+            best = sorted((i for i in range(len(found)) if found[i] != own), key=lambda i: (-scores[i], ids[found[i]]))[:k]
+            found, scores = found[best], [int(scores[i]) for i in best]
+            held = [min(max(x, -(1 << 63)), (1 << 63) - 1) for x in scores]
+            out.append(pd.DataFrame({"query_id": query, "query_row": row, "id": ids[found], "row": at[found], "score": np.array(held, np.int64), "beyond": [_sortable(x) for x in scores]}))
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="str" if c == "beyond" else "int64") for c in ("query_id", "query_row", "id", "row", "score", "beyond")})
+
+    near = as_member.unionByName(as_query).groupBy("block", "query_block").applyInPandas(search, "query_id bigint, query_row bigint, id bigint, row bigint, score bigint, beyond string")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.desc("beyond"), F.asc("id"), F.asc("row"))
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
+    return ranked.select("query_id", "rank", F.col("id").alias(key), F.when(F.col("beyond") == "", F.col("score")).otherwise(F.raise_error(F.lit("a score among the best is no bigint")).cast("bigint")).alias("score"))
+
+
+def _exact(column, dims: int, scale: int) -> np.ndarray:
+    """Rows of Python's integers: floor(scale * x) of doubles."""
+    out = np.zeros((len(column), dims), object)
+    for k, v in enumerate(column):
+        # A double of 2^53 or more is whole.
+        out[k, : len(v)] = [int(x) * scale if abs(x) >= 2.0**53 else math.floor(x * scale) for x in map(float, v)]
+    return out
+
+
+def _sortable(score: int) -> str:
+    """Empty for a bigint; else a text that sorts as the score does among those held at the same end."""
+    if -(1 << 63) < score < 1 << 63:
+        return ""
+    digits = str(abs(score))
+    if score > 0:
+        return f"{len(digits):06d}{digits}"
+    return f"{999_999 - len(digits):06d}" + "".join(str(9 - int(d)) for d in digits)
 
 
 def _matrix(column: pd.Series, dims: int) -> np.ndarray:
