@@ -6,15 +6,38 @@ working arrays of a task stay small however many rows or bytes Spark hands over
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 SLICE_BYTES = 1 << 19
-#: Frees what a Python worker keeps between the tasks of one operator.
+#: Frees what operators remember in a Python worker.
 releases: list[Callable[[], None]] = []
 _MUL = 0x9E3779B97F4A7C15
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+_task: list[int] = []
+
+
+def give_back(keeps: bool = False) -> None:
+    """At a task's start, returns freed memory to the machine, and unless ``keeps`` holds what operators remember.
+
+    Workers outlive tasks and stages: an executor's memory is the sum of what its workers hold on to.
+    """
+    task = TaskContext.get()
+    now = [task.taskAttemptId()] if task else []
+    if now == _task:
+        return
+    _task[:] = now
+    if not keeps:
+        for release in releases:
+            release()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -35,11 +58,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, keeps: bool = False) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that each holds about ``limit`` bytes of ``column`` (one row at least).
 
-    Workers outlive stages: unless ``keeps`` holds, what earlier operators kept in this one is freed.
+    What earlier tasks left in this worker is freed first, but for the memories of operators if ``keeps`` holds.
     """
-    if not keeps:
-        for release in releases:
-            release()
+    give_back(keeps)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -65,6 +86,9 @@ _BASE = 0xD6E8FEB86659FD93
 _powers: list[np.ndarray] = []
 
 
+releases.append(_powers.clear)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers 0..n of the rolling base modulo 2^64, and their inverses; kept for the next call."""
     if not _powers or len(_powers[0]) <= n:

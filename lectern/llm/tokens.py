@@ -1,9 +1,10 @@
 """Token ids of whole texts by the installed tokenizer libraries, with a memory for repeated pieces.
 
 A text is cut where the vocabulary's own pre-tokenization always cuts, so that the ids of the whole
-are the ids of its pieces in order. Each task remembers pieces that it has met (at most
-``MEMORY_PIECES``; then it starts anew) and hands only new ones to the library, many in one call.
-Texts in which a cut could change the result go to the library whole.
+are the ids of its pieces in order. Each worker remembers short pieces that it has met (about
+``MEMORY_BYTES``; then it starts anew) and hands only new ones to the library, many in one call.
+Texts in which a cut could change the result go to the library whole; neither they nor pieces of more
+than ``LONGEST`` characters are remembered.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ import pyarrow as pa
 
 from lectern.llm.text import releases, slices
 
-MEMORY_PIECES = 1_200_000
+#: Pieces are counted with ``_PIECE_BYTES`` for their entries besides their characters and ids.
+MEMORY_BYTES, LONGEST = 64 << 20, 64
+_PIECE_BYTES = 160
 _SLICE = 2 << 20
 
 _RUNS = re.compile(r"\s\s\s|\s\s\Z")
@@ -31,8 +34,11 @@ def leading_space_pieces(text: str) -> list[str] | None:
     """Pieces for vocabularies whose words carry one leading blank; None where the text must stay whole.
 
     White space of up to two characters between words never spans a cut before a blank, before a line
-    feed or after one; longer runs, runs at the end and rarer white space do not follow that rule.
+    feed or after one; longer runs, runs at the end and rarer white space do not follow that rule, nor
+    does white space beside a special token.
     """
+    if "<|" in text:
+        return None
     if ("  " in text or "\n\n" in text or "\n " in text or " \n" in text) and _RUNS.search(text):
         return None
     if any(c in text for c in _ODD):
@@ -46,67 +52,86 @@ def blank_pieces(text: str) -> list[str] | None:
 
 
 class _Places(dict):
-    """Numbers each new key in order of its first look-up, and lists the new ones."""
+    """Numbers each new key in order of its first look-up, and lists the new ones.
+
+    Long keys are not kept: each look-up lists them again, numbered downwards from -1.
+    """
 
     def __init__(self):
         super().__init__({"": 0})
         self.new: list[str] = []
+        self.long: list[str] = []
 
     def __missing__(self, piece: str) -> int:
+        if len(piece) > LONGEST:
+            self.long.append(piece)
+            return -len(self.long)
         self[piece] = place = len(self)
         self.new.append(piece)
         return place
 
 
+def _doubled(x: np.ndarray, need: int) -> np.ndarray:
+    while len(x) < need:
+        x = np.concatenate([x, np.zeros_like(x)])
+    return x
+
+
 class PieceMemory:
     """Ids of texts: ``cut`` gives a text's pieces, ``encode`` turns new pieces into (the places of the
     pieces in an order of its own, all their ids in that order, how many each has)."""
 
-    def __init__(self, cut: Callable[[str], list[str] | None], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = MEMORY_PIECES):
+    def __init__(self, cut: Callable[[str], list[str] | None], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = MEMORY_BYTES):
         self.cut, self.encode, self.most = cut, encode, most
         self._reset()
 
     def _reset(self) -> None:
         self.place = _Places()
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 16, np.int32)  # a few ids a piece: far from 2^31
-        self.count = np.zeros(1 << 16, np.int32)
-        self.size = 0
+        self.ids = np.zeros(1 << 14, np.uint32)
+        self.start = np.zeros(1 << 14, np.int32)  # ``most`` bounds the ids: far from 2^31
+        self.count = np.zeros(1 << 14, np.int32)
+        self.size = self.held = 0
 
     def _learn(self) -> None:
         if not self.place.new:
             return
         order, ids, counts = self.encode(self.place.new)
-        first, need, total = len(self.place) - len(counts), len(self.place), self.size + len(ids)
-        while len(self.start) < need:
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-        while len(self.ids) < total:
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        first, total = len(self.place) - len(counts), self.size + len(ids)
+        self.start, self.count = _doubled(self.start, len(self.place)), _doubled(self.count, len(self.place))
+        self.ids = _doubled(self.ids, total)
         self.ids[self.size : total] = ids
         self.start[first + order] = self.size + np.cumsum(counts) - counts
         self.count[first + order] = counts
         self.size = total
+        self.held += sum(map(len, self.place.new)) + _PIECE_BYTES * len(counts) + 4 * len(ids)
         self.place.new = []
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets of each text's ids)."""
-        if len(self.place) > self.most:
+        if self.held > self.most:
             self._reset()
         cuts = [c if (c := self.cut(t)) is not None else [t] for t in texts]
         flat = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cuts)), np.int64)
         self._learn()
-        n = self.count[flat].astype(np.int64)
+        start, count, ids = self.start[: len(self.place)], self.count[: len(self.place)], self.ids[: self.size]
+        if self.place.long:  # behind the others, last first, so that numbers below 0 find them
+            order, more, counts = self.encode(self.place.long)
+            at = len(ids) + np.cumsum(counts) - counts
+            back = np.argsort(order)[::-1]
+            start, count, ids = np.append(start, at[back]), np.append(count, counts[back]), np.append(ids, more)
+            self.place.long = []
+        n = count[flat].astype(np.int64)
         ends = np.append(0, np.cumsum(n))
-        ids = self.ids[np.repeat(self.start[flat] - ends[:-1], n) + np.arange(ends[-1])]
-        return ids, ends[np.append(0, np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts))))]
+        found = ids[np.repeat(start[flat] - ends[:-1], n) + np.arange(ends[-1])]
+        return found, ends[np.append(0, np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts))))]
 
 
 @lru_cache(maxsize=4)
 def library_memory(path: str, drops_space: bool) -> PieceMemory:
     """A memory over the ``tokenizers`` library for the vocabulary file at ``path``; one a Python worker.
 
-    Special tokens' strings in a text are ordinary text. New pieces go to the library joined by a
-    special token, which no other piece can give; pieces that look like one, or are long, go singly.
+    Special tokens' strings in a text give those tokens, as the library does by itself. New pieces go to
+    it joined by a special token; pieces that could hold or make one, or are long, go singly.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -119,7 +144,6 @@ def library_memory(path: str, drops_space: bool) -> PieceMemory:
         single = np.array([len(p) > 1000 or "<|" in p or "|>" in p or p[0] == ">" or p[-1] == "<" for p in pieces], bool)
         joined, apart = np.flatnonzero(~single), np.flatnonzero(single)
         ids, counts = [], []
-        library.encode_special_tokens = False
         for first in range(0, len(joined), 4000):
             group = [pieces[k] for k in joined[first : first + 4000]]
             found = np.array(library.encode_batch_fast([mark.join(group)], add_special_tokens=False)[0].ids, np.uint32)
@@ -127,7 +151,6 @@ def library_memory(path: str, drops_space: bool) -> PieceMemory:
             ids.append(found[~breaks])
             counts.append(np.diff(np.flatnonzero(breaks), prepend=-1, append=len(found)) - 1)
             assert len(counts[-1]) == len(group)
-        library.encode_special_tokens = True
         for k in apart:
             ids.append(np.array(library.encode_batch_fast([pieces[k]], add_special_tokens=False)[0].ids, np.uint32))
             counts.append(np.array([len(ids[-1])]))

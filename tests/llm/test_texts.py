@@ -12,7 +12,7 @@ from brute import quality as plain_quality
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectern.llm import bpe, langid, licenses, packing, quality, tokenfile
+from lectern.llm import bpe, langid, licenses, packing, quality, tokenfile, tokens
 from lectern.sources import table
 
 SF = "/root/testdata/sf0.001"
@@ -127,6 +127,18 @@ def test_merge_replay_falls_back_on_lower_ranks():
         assert replay.encode([word]) == [own.encode_ordinary(word.decode())]
 
 
+def test_memory_is_bounded_by_bytes():
+    memory = tokens.PieceMemory(tokens.leading_space_pieces, tokens.library_memory(public_tokenizers.path("byte_bpe_50k.json"), False).encode, most=1 << 20)
+    own = _library("byte_bpe_50k.json")
+    for k in range(40):
+        texts = [f"row\t{k} {j}" + f" word{k * 997 + j}" * 3 + "-".join(map(str, range(j))) for j in range(200)] + [f"{k}" * 200 + "\u00a0" + "y" * 5000]
+        ids, at = memory.encode_texts(texts)
+        assert memory.held <= 2 << 20 and not memory.place.long
+        if k % 13 == 0:
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(map(len, memory.place)) <= tokens.LONGEST
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60_000), st.integers(0, 2**64 - 1)), max_size=900))
 def test_simple8b_round_trip(ids):
@@ -146,13 +158,11 @@ def test_simple8b_is_small():
 def _library(name):
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(public_tokenizers.path(name))
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def test_token_files_hold_all_ids_in_order(spark, folder_of, texts):
-    odd = ["<|endoftext|> a", "  b", "c  ", "d\n\n e", "f\u2003g", ">a <", "<", "|>x<|"]
+    odd = ["<|endoftext|> a", "hello <|endoftext|> world", "x  <|endoftext|>  y\n<|endoftext|>", "  b", "c  ", "d\n\n e", "f\u2003g", ">a <", "<", "|>x<|"]
     all_ = [*EDGES, *odd, *list(texts.values())[:80]]
     ids = [*range(len(all_) - 2), 5, None]
     rows = sorted(tokenfile.op10_token_files(spark, folder_of(all_, ids=ids)).collect(), key=lambda r: r.start)
@@ -175,7 +185,7 @@ def test_token_files_of_an_empty_table(spark, folder_of):
 
 def test_pieces_are_the_library_ids(spark, docs_of, texts):
     own = _library("word_bpe_49k.json")
-    odd = ["A<|endoftext|>B", "Ünï CÖDÉ ß", "don't we'll", "x" * 1500, "a\u00a0b\tc\u2028d", "İstanbul ΑΣ", "e\u0301 a\u0301", "x\u200bz", "한국어 日本語", "word " * 9000]
+    odd = ["A<|endoftext|>B", "hello <|endoftext|> world <|startoftext|>", "Ünï CÖDÉ ß", "don't we'll", "x" * 1500, "a\u00a0b\tc\u2028d", "İstanbul ΑΣ", "e\u0301 a\u0301", "x\u200bz", "한국어 日本語", "word " * 9000]
     all_ = [*EDGES, *odd, *list(texts.values())[:80]]
     rows = packing.token_pieces(docs_of(all_), public_tokenizers.path("word_bpe_49k.json"), True, 1).orderBy("doc_id", "piece").collect()
     by_doc = {}
