@@ -1,13 +1,17 @@
-"""Byte-level BPE encoding and decoding by merge replay.
+"""Byte-level BPE over a whole corpus: each distinct word is merged once, by replaying the merges in rank order.
 
-New words of a block of the corpus are merged together: an inverted index leads from each mergeable
-token pair to the places in the words where it stands, every merge that occurs is applied in order of
-rank at all its places, and only the touched neighbours get new index entries. Each word's ids are kept
-for the rest of the task (``tokens.PieceMemory``), so a word is merged once however often it occurs.
+Texts are split once. A slice of texts keeps its distinct words and, for every word of its texts in turn,
+which of them it is; slices go to a stored table. A shuffle makes the corpus's distinct words of the slices'
+words. Those are merged ``BLOCK_WORDS`` at a time: an inverted index leads from each mergeable token pair to
+the places in the words where it stands, every merge that occurs is applied in order of rank at all its
+places, and only the touched neighbours get new index entries. The words' ids go back to the slices by joins
+on the word and on the slice. What moves is a row for each distinct word of a slice and one for each slice,
+never one for each word of a text; a word of every slice is a common key of a join of two plain shuffles,
+whose large parts Spark splits.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; equal texts get equal ids;
-texts are never cut short; an empty table gives an empty result; only key and text are read, so further
-columns cannot clash.
+texts are never cut short; null keys and repeated rows are encoded one by one; an empty table gives an empty
+result; only key and text are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -16,17 +20,22 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.text import releases, utf8
-from lectern.llm.tokens import PieceMemory, encoded_slices, id_columns, leading_space_pieces
-from lectern.sources import table
+from lectern.llm.text import releases, slices, utf8
+from lectern.llm.tokens import id_columns, leading_space_pieces
+from lectern.sources import stored, table
+
+#: Bytes of text in a slice (one text at least), and distinct words that are merged together.
+SLICE_BYTES, BLOCK_WORDS = 2 << 20, 20_000
 
 
 @lru_cache(maxsize=2)
@@ -106,34 +115,97 @@ class MergeReplay:
 
 
 @lru_cache(maxsize=2)
-def replay_memory(path: str, pattern: str) -> PieceMemory:
-    """A memory whose new pieces are split by ``pattern`` and merged together; one a Python worker."""
-    replay = MergeReplay(read_ranks(path))
-    words = regex.compile(pattern)
+def _replay(path: str) -> MergeReplay:
+    return MergeReplay(read_ranks(path))
+
+
+releases += [_replay.cache_clear, read_ranks.cache_clear]
+
+
+class _Numbers(dict):
+    """Numbers each new key in order of its first look-up."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(sizes)).astype(np.int64)
+
+
+def _gathered(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places begin[0] .. begin[0] + n[0] - 1, begin[1] .., one run after the other."""
+    ends = _offsets(n)
+    return np.repeat(begin - ends[:-1], n) + np.arange(ends[-1])
 
-    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = [words.findall(p) for p in pieces]
-        new = list({w for x in found for w in x})
-        ids = dict(zip(new, replay.encode([w.encode("utf-8") for w in new]), strict=True))
-        flat = [i for x in found for w in x for i in ids[w]]
-        counts = np.fromiter((sum(len(ids[w]) for w in x) for x in found), np.int64, len(found))
-        return np.arange(len(pieces)), np.array(flat, np.uint32), counts
 
-    return PieceMemory(leading_space_pieces, encode)
+def split_texts(texts: list[str], pattern: regex.Pattern) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, the number of each word of all texts in turn, words of each text).
 
+    Pieces that the pattern never joins are split once each; other texts are split whole.
+    """
+    pieces, words = _Numbers(), _Numbers()
+    cuts = [c if (c := leading_space_pieces(t)) is not None else pattern.findall(t) for t in texts]
+    flat = np.fromiter(map(pieces.__getitem__, chain.from_iterable(cuts)), np.int64)
+    found = [pattern.findall(p) for p in pieces]
+    numbers = np.fromiter(map(words.__getitem__, chain.from_iterable(found)), np.int64)
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    in_text = np.append(0, np.cumsum(n[flat]))[_offsets(np.fromiter(map(len, cuts), np.int64, len(cuts)))]
+    return list(words), numbers[_gathered(_offsets(n)[:-1][flat], n[flat])], np.diff(in_text)
+
+
+def split_slices(docs: DataFrame, pattern: str, key: str, text: str) -> DataFrame:
+    """The stored slices: slice, keys, counts (words of each text), codes (unsigned 32-bit), words."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = regex.compile(pattern)
+        first = TaskContext.get().partitionId() << 32
+        for k, part in enumerate(slices(batches, "text", SLICE_BYTES)):
+            words, codes, counts = split_texts(part.column(1).fill_null("").to_pylist(), compiled)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (part.column(0), pa.array(counts), pa.array(words, pa.string()))]
+            yield pa.RecordBatch.from_arrays([pa.array([first + k]), lists[0], lists[1], id_columns(codes, np.array([0, len(codes)])), lists[2]], ["slice", "keys", "counts", "codes", "words"])
+
+    split = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"slice bigint, keys array<{kind}>, counts array<bigint>, codes binary, words array<string>")
+    return stored(split, "word-slices")
+
+
+def merge_words(words: DataFrame, ranks_path: str) -> DataFrame:
+    """word, ids: the ids of each row's distinct ``word`` as little-endian unsigned 32-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "word", 8 * BLOCK_WORDS):
+            ids = _replay(ranks_path).encode([w.encode("utf-8") for w in batch.column(0).to_pylist()])
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), id_columns(flat, _offsets(np.fromiter(map(len, ids), np.int64, len(ids))))], ["word", "ids"])
 
-releases.append(replay_memory.cache_clear)
+    return words.select("word").mapInArrow(run, "word string, ids binary")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids: the ids of each whole text as little-endian unsigned 32-bit integers."""
+    split = split_slices(docs, pattern, key, text)
+    words = split.select("slice", F.posexplode("words").alias("place", "word"))
+    merged = merge_words(words.select("word").distinct(), ranks_path)
+    # A slice's words are bounded by its bytes.
+    of_slice = words.join(merged, "word").groupBy("slice").agg(F.collect_list(F.struct("place", "ids")).alias("known"))
+    whole = split.select("slice", "keys", "counts", "codes").join(of_slice, "slice", "left").select("keys", "counts", "codes", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, at in encoded_slices(batches, replay_memory(ranks_path, pattern), None):
-            yield pa.RecordBatch.from_arrays([part.column(0), id_columns(ids, at)], [key, "ids"])
+        for row in (batch.slice(k, 1) for batch in batches for k in range(batch.num_rows)):
+            keys, counts, codes = row.column(0).flatten(), np.asarray(row.column(1).flatten()), np.frombuffer(row.column(2)[0].as_buffer(), "<u4")
+            known = row.column(3).flatten()
+            place = np.asarray(known.field(0))
+            data, at = utf8(known.field(1))
+            begin, n = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+            begin[place], n[place] = at[:-1] // 4, np.diff(at) // 4
+            ids = np.frombuffer(data.tobytes(), "<u4")[_gathered(begin[codes], n[codes])]
+            ends = _offsets(n[codes])[_offsets(counts)]
+            yield pa.RecordBatch.from_arrays([keys, id_columns(ids, ends)], [key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, ids binary")
+    return whole.mapInArrow(run, f"`{key}` {kind}, ids binary")
 
 
 @lru_cache(maxsize=2)
@@ -143,6 +215,7 @@ def _vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
     for token, rank in ranks.items():
         size[rank] = len(token)
     by_rank = b"".join(token for token, _ in sorted(ranks.items(), key=lambda x: x[1]))
+    read_ranks.cache_clear()
     return np.frombuffer(by_rank, np.uint8), np.append(0, np.cumsum(size))
 
 
@@ -150,21 +223,18 @@ def decode_ids(ids: np.ndarray, at: np.ndarray, ranks_path: str) -> tuple[np.nda
     """(all bytes, offsets of each run's bytes)."""
     data, begin = _vocabulary(ranks_path)
     n = begin[ids + 1] - begin[ids]
-    ends = np.append(0, np.cumsum(n))
-    return data[np.repeat(begin[ids] - ends[:-1], n) + np.arange(ends[-1])], ends[at]
+    return data[_gathered(begin[ids], n)], _offsets(n)[at]
 
 
 def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFrame:
     """key, ids, decoded: the bytes that each row's ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            step = max(1, batch.num_rows * (4 << 20) // max(1, batch.nbytes))
-            for part in (batch.slice(k, step) for k in range(0, batch.num_rows, step)):
-                data, at = utf8(part.column(1))
-                out, ends = decode_ids(np.frombuffer(data.tobytes(), "<u4").astype(np.int64), at // 4, ranks_path)
-                decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(out)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), decoded.cast(pa.binary())], [key, "ids", "decoded"])
+        for part in slices(batches, "ids", SLICE_BYTES):
+            data, at = utf8(part.column(1))
+            out, ends = decode_ids(np.frombuffer(data.tobytes(), "<u4").astype(np.int64), at // 4, ranks_path)
+            decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), decoded.cast(pa.binary())], [key, "ids", "decoded"])
 
     kind = encoded.schema[key].dataType.simpleString()
     return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, ids binary, decoded binary")
