@@ -7,11 +7,12 @@ one-id word of all ones says that the next word is the id itself.
 
 Layout, all little-endian: magic ``SIMPLE8B``, rows, ids, blocks, words (int64 each); row keys (int64), row
 key is-null (uint8), ids a row (int64), word offset of each block (int64, one more than blocks), words
-(uint64).
+(uint64), a line feed.
 
-Files are written by the tasks to the shared folder under a temporary name and then renamed, so a task
-that runs again replaces its file by an equal one; only files named in the manifest, a stored table, are
-read.
+A task writes the range of keys that it has as shards of about ``SHARD_IDS`` ids, one after the other, and holds
+one shard at a time. The files are written by Spark (a text file of one record each), so that they can lie in
+any store that Spark writes to, and a task that fails or runs twice leaves no file of its own. Their names
+hold the task's range and the shard's number in it, which is the order of the ids.
 
 Defined cases: a null or empty text has the end id alone; a null key comes first; rows of equal key stand
 in order of their text's hash; no rows give no files and an empty result; further columns cannot clash,
@@ -26,15 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.tokens import encoded_slices, library_memory
+from lectern.llm.tokens import encoded_slices, id_columns, library_memory
 from lectern.sources import stored, table
 from lectern.sources.shared import fresh_path
 
+#: Ids after which a shard ends, with the row that reaches them.
+SHARD_IDS = 1 << 20
+
 BLOCK = 256
 MAGIC = b"SIMPLE8B"
 #: Ids a word and bits an id, by selector.
@@ -146,9 +148,9 @@ def shard_bytes(keys: np.ndarray, missing: np.ndarray, counts: np.ndarray, ids:
     return b"".join([head, keys.astype("<i8").tobytes(), missing.astype(np.uint8).tobytes(), counts.astype("<i8").tobytes(), offsets.astype("<i8").tobytes(), words.astype("<u8").tobytes()])
 
 
-def read_shard(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def read_shard(content: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys, is null, ids a row, ids) of a shard file."""
-    if content[:8] != MAGIC:
+    if bytes(content[:8]) != MAGIC:
         raise ValueError("not a token shard")
     rows, n, blocks, n_words = struct.unpack_from("<4q", content, 8)
     out, at = [], 40
@@ -159,61 +161,71 @@ def read_shard(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return keys, missing.astype(bool), counts, unpack_ids(words, offsets, n)
 
 
-def write_shards(docs: DataFrame, vocabulary: str, end: int, drops_space: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the ids of all texts in order of the key; returns the manifest: shard, path, rows, ids."""
+def write_shards(docs: DataFrame, vocabulary: str, end: int, drops_space: bool = False, key: str = "doc_id", text: str = "text", most: int = SHARD_IDS) -> str:
+    """Writes the ids of all texts in order of the key; returns the folder of the shards."""
     folder = fresh_path(docs.sparkSession, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
-        keys, missing, counts, ids = [], [], [], []
-        for part, found, at in encoded_slices(batches, library_memory(vocabulary, drops_space), end):
-            keys.append(np.asarray(part.column(0).fill_null(0)))
-            missing.append(np.asarray(part.column(0).is_null()))
-            counts.append(np.diff(at))
-            ids.append(found)
-        if not keys:
-            return
-        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
-        fs.create_dir(base, recursive=True)
-        name = f"shard-{shard:06d}.s8b"
-        draft = f"{base}/_{name}.{TaskContext.get().taskAttemptId()}"
-        with fs.open_output_stream(draft) as out:
-            out.write(shard_bytes(*map(np.concatenate, (keys, missing, counts, ids))))
-        fs.move(draft, f"{base}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard, f"{folder}/{name}", sum(map(len, keys)), sum(map(len, ids)))], ["shard", "path", "n_rows", "n_ids"])
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def shard() -> pa.RecordBatch:
+            content = shard_bytes(*map(np.concatenate, zip(*held, strict=True)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["content"])
+
+        for part, ids, at in encoded_slices(batches, library_memory(vocabulary, drops_space), end):
+            keys, missing = np.asarray(part.column(0).fill_null(0)), np.asarray(part.column(0).is_null())
+            first = 0
+            while first < len(keys):
+                last = max(first + 1, int(np.searchsorted(at, at[first] + most - size, "right")) - 1)
+                held.append((keys[first:last], missing[first:last], np.diff(at[first : last + 1]), ids[at[first] : at[last]]))
+                size += int(at[last] - at[first])
+                first = last
+                if size >= most or first < len(keys):
+                    yield shard()
+                    size = 0
+        if held:
+            yield shard()
 
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"))
     # Ranges end within a key too, however many rows it has.
     ordered = rows.repartitionByRange("key", "hash", "row").sortWithinPartitions("key", "hash").select("key", "text")
-    return stored(ordered.mapInArrow(run, "shard bigint, path string, n_rows bigint, n_ids bigint"), "manifest")
-
-
-def read_shards(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, start, n_tokens, ids of every row of the files that a manifest names."""
-    spark = manifest.sparkSession
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
-    base = manifest.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("_before"))
-    first = manifest.select("path").head()
-    if first is None:
-        return spark.createDataFrame([], f"`{key}` bigint, start bigint, n_tokens bigint, ids binary")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.s8b").load(first["path"].rpartition("/")[0])
+    shards = ordered.mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value"))
+    shards.write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+def read_shards(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
+    """key, start, n_tokens, ids of every row of the shards in a folder."""
+    name = F.regexp_extract("path", r"part-(\d+)-.*-c(\d+)[^/]*$", 1), F.regexp_extract("path", r"part-(\d+)-.*-c(\d+)[^/]*$", 2)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    files = files.where("length > 0").select(*(x.cast("bigint").alias(c) for c, x in zip(("range", "nth"), name, strict=True)), "content")
+    n_ids = F.conv(F.hex(F.reverse(F.substring("content", 17, 8))), 16, 10).cast("bigint")
+    sizes = stored(files.select("range", "nth", n_ids.alias("n_ids")), "shard-sizes")
+    # A row a shard: ids before a range by the ranges' sums, and before a shard within its range.
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sizes.groupBy("range").agg(F.sum("n_ids").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    within = Window.partitionBy("range").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.join(ranges, "range").select(F.col("range").alias("_range"), F.col("nth").alias("_nth"), (F.col("earlier") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).alias("_before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, missing, counts, ids = read_shard(content.as_buffer().to_pybytes())
-                shard = int(path.rpartition("shard-")[2].partition(".")[0])
+            for range_, nth, content in zip(*(batch.column(k) for k in range(3)), strict=True):
+                keys, missing, counts, ids = read_shard(content.as_buffer())
                 at = np.append(0, np.cumsum(counts))
                 low = ids.astype("<u4")
                 for k in range(0, len(keys), 2000):
                     rows = slice(k, min(k + 2000, len(keys)))
-                    own = [low[a:b].tobytes() for a, b in zip(at[rows], at[rows.start + 1 : rows.stop + 1], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[rows], mask=missing[rows]), pa.array(np.full(len(own), shard)), pa.array(at[rows]), pa.array(counts[rows]), pa.array(own, pa.binary())], [key, "shard", "start", "n_tokens", "ids"])
+                    own = id_columns(low[at[rows.start] : at[rows.stop]], at[rows.start : rows.stop + 1] - at[rows.start])
+                    n = rows.stop - rows.start
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[rows], mask=missing[rows]), *(pa.array(np.full(n, x.as_py())) for x in (range_, nth)), pa.array(at[rows]), pa.array(counts[rows]), own], [key, "range", "nth", "start", "n_tokens", "ids"])
 
-    read = files.select("path", "content").mapInArrow(run, f"`{key}` bigint, shard bigint, start bigint, n_tokens bigint, ids binary")
-    return read.join(base, F.col("shard") == F.col("_shard")).select(key, (F.col("start") + F.col("_before")).alias("start"), "n_tokens", "ids")
+    read = files.mapInArrow(run, f"`{key}` bigint, range bigint, nth bigint, start bigint, n_tokens bigint, ids binary")
+    placed = read.join(base, (F.col("range") == F.col("_range")) & (F.col("nth") == F.col("_nth")))
+    return placed.select(key, (F.col("start") + F.col("_before")).alias("start"), "n_tokens", "ids")
 
 
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    manifest = write_shards(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
-    return read_shards(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    shards = write_shards(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return read_shards(spark, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
