@@ -1,11 +1,12 @@
 """Exact top-k by inner product over an impact-ordered index, a score at a time.
 
-Vectors are dealt into blocks of bounded size. Each block keeps, for every dimension, posting segments: the
-vectors whose component falls in one of ``LEVELS`` quantised steps. A query turns a segment into an
+Vectors are dealt into blocks of bounded size, each once. A block keeps, for every dimension, posting segments:
+the vectors whose component falls in one of ``LEVELS`` quantised steps. A query turns a segment into an
 impact, the most that its members can gain there, and processes segments from the highest impact down,
 adding to accumulators. What is still to come bounds every member's score; once that bound leaves few
 members that could reach the k-th best exact score so far, those alone are rescored exactly, which proves
-the block's answer. Blocks meet blocks of queries; best lists of all blocks are merged by query.
+the block's answer. A block's index is built once; then the queries stream by, a few thousand at a time.
+Best lists of all blocks are merged by query.
 
 Defined cases: vectors that are null, empty, or hold a null or a non-finite component take no part; vectors of
 other lengths are padded with zeros; components are whole numbers of any size and scores
@@ -18,21 +19,24 @@ empty result; only id and vector are read, so further columns cannot clash.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.sources import stored, table
 
 LEVELS = 16
-BLOCK_ROWS, QUERY_ROWS = 16_384, 512
+#: Vectors in a block: at most, and at least where there are enough for every core to have a block.
+BLOCK_ROWS, LEAST_ROWS = 65_536, 4_096
 SCALE = 1024
 #: Components that an int holds; and the bound on sums of products below which 64 bits hold all that the index adds.
 _INT, _SAFE = (1 << 31) - 1, 1 << 60
 #: Segments between two looks at the bound, as a share of all; and the members, times k, that are few enough.
 _LOOKS, _FEW = 12, 8
+_MOST_TASKS = 10_000
 
 
 class ImpactIndex:
@@ -94,7 +98,45 @@ class ImpactIndex:
         return found[top], scores[top]
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
+class _Block:
+    """The members of one block, to be searched for one query after the other."""
+
+    def __init__(self, members: pa.Table, dims: int, scale: int):
+        self.dims, self.scale = dims, scale
+        self.ids, self.at = members["id"].to_numpy(), members["row"].to_numpy()
+        self.is_wide = ~np.asarray(members["wide"].combine_chunks().is_null())
+        self.vectors = _matrix(members["v"].combine_chunks(), dims)
+        self.small, self.others = np.flatnonzero(~self.is_wide), np.flatnonzero(self.is_wide)
+        self.index, self.largest = ImpactIndex(self.vectors[self.small]), int(np.abs(self.vectors).max(initial=0))
+        self.wide = _exact(members["wide"].combine_chunks().drop_null().to_pylist(), dims, scale)
+        self.all_exact: np.ndarray | None = None
+
+    def search(self, row: int, vec: np.ndarray, far: list | None, k: int) -> tuple[np.ndarray, list[int]]:
+        """(places, scores) of the k best for a query; its own row is no candidate."""
+        place = int(np.searchsorted(self.at, row))
+        own = place if place < len(self.at) and self.at[place] == row else -1
+        big = vec.astype(object) if far is None else _exact([far], self.dims, self.scale)[0]
+        if len(self.small) and int(sum(map(abs, big))) * max(self.largest, 1) < _SAFE:
+            near = int(np.searchsorted(self.small, own)) if own >= 0 and not self.is_wide[own] else -1
+            found, scores = self.index.search(big.astype(np.int64), self.ids[self.small], near, k)
+            found = self.small[found]
+            if len(self.others):
+                found, scores = np.concatenate([found, self.others]), np.concatenate([scores.astype(object), self.wide @ big])
+        else:
+            if self.all_exact is None:
+                self.all_exact = self.vectors.astype(object)
+                self.all_exact[self.is_wide] = self.wide
+            found, scores = np.arange(len(self.ids)), self.all_exact @ big
+        best = sorted((i for i in range(len(found)) if found[i] != own), key=lambda i: (-scores[i], self.ids[found[i]]))[:k]
+        return found[best], [int(scores[i]) for i in best]
+
+
+def _held(score: int) -> int:
+    """The score, or the bigint next to it."""
+    return min(max(score, -(1 << 63)), (1 << 63) - 1)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, key, score: for each row for which ``is_query`` holds, its k best other rows."""
     spark = vectors.sparkSession
     # Exact size bounds a block; the row number tells rows of one id apart.
@@ -104,46 +146,42 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
     is_wide = F.exists("v", lambda x: F.abs(x * scale) > _INT)
     whole = F.transform("v", lambda x: F.when(is_wide, 0).otherwise(F.floor(x * scale)).cast("int"))
     rows = stored(fine.select("id", "is_query", whole.alias("v"), F.when(is_wide, F.col("v")).alias("wide"), F.monotonically_increasing_id().alias("row")), "vectors")
-    n, n_queries, dims = rows.agg(F.count(F.lit(1)), F.count_if("is_query"), F.max(F.size("v"))).head()
-    blocks, query_blocks, dims = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n_queries // QUERY_ROWS)), dims or 1
+    n, dims = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).head()
+    blocks = max(-(-n // block_rows), min(-(-n // LEAST_ROWS), spark.sparkContext.defaultParallelism), 1)
+    dims = dims or 1
+    # The stated queries meet every block: a copy of a query a block, and no copy of a vector.
     dealt = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
-    as_member = rows.select("id", "v", "wide", "row", F.lit(False).alias("asks"), dealt.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
-    query_dealt = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks)).cast("int")
-    as_query = rows.where("is_query").select("id", "v", "wide", "row", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), query_dealt.alias("query_block"))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy()
-        members, queries = pdf[~asks].sort_values("row"), pdf[asks]
-        ids, at = members["id"].to_numpy(), members["row"].to_numpy()
-        is_wide = members["wide"].notna().to_numpy()
-        small = np.flatnonzero(~is_wide)
-        vectors = _matrix(members["v"], dims)
-        index, largest = ImpactIndex(vectors[small]), int(np.abs(vectors).max(initial=0))
-        wide = _exact(members["wide"][is_wide], dims, scale)
-        all_exact = None
-        out = []
-        for query, row, vec, far in zip(queries["id"], queries["row"], _matrix(queries["v"], dims), queries["wide"], strict=True):
-            place = int(np.searchsorted(at, row))
-            own = place if place < len(at) and at[place] == row else -1
-            big = _exact([far], dims, scale)[0] if far is not None else vec.astype(object)
-            if len(small) and int(sum(map(abs, big))) * max(largest, 1) < _SAFE:
-                near = int(np.searchsorted(small, own)) if own >= 0 and not is_wide[own] else -1
-                found, scores = index.search(big.astype(np.int64), ids[small], near, k)
-                found, scores = small[found], scores.astype(object)
-                others = np.flatnonzero(is_wide)
-                found, scores = np.concatenate([found, others]), np.concatenate([scores, wide @ big])
-            else:
-                if all_exact is None:
-                    all_exact = vectors.astype(object)
-                    all_exact[is_wide] = wide
-                found, scores = np.arange(len(ids)), all_exact @ big
-            best = sorted((i for i in range(len(found)) if found[i] != own), key=lambda i: (-scores[i], ids[found[i]]))[:k]
-            found, scores = found[best], [int(scores[i]) for i in best]
-            held = [min(max(x, -(1 << 63)), (1 << 63) - 1) for x in scores]
-            out.append(pd.DataFrame({"query_id": query, "query_row": row, "id": ids[found], "row": at[found], "score": np.array(held, np.int64), "beyond": [_sortable(x) for x in scores]}))
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="str" if c == "beyond" else "int64") for c in ("query_id", "query_row", "id", "row", "score", "beyond")})
-
-    near = as_member.unionByName(as_query).groupBy("block", "query_block").applyInPandas(search, "query_id bigint, query_row bigint, id bigint, row bigint, score bigint, beyond string")
+    members = rows.select("id", "v", "wide", "row", F.lit(False).alias("asks"), dealt.alias("block"))
+    queries = rows.where("is_query").select("id", "v", "wide", "row", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        block = now = None
+        for batch in batches:
+            own, asks = np.asarray(batch.column(5)), np.asarray(batch.column(4).cast(pa.int8()))
+            cuts = np.flatnonzero((own[1:] != own[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if own[a] != now:
+                    held, block, now = [], None, own[a]
+                part = batch.slice(a, b - a)
+                if not asks[a]:
+                    held.append(part)
+                    continue
+                if block is None:
+                    block = _Block(pa.Table.from_batches(held, batch.schema), dims, scale)
+                    held = []
+                ids, at = np.asarray(part.column(0)), np.asarray(part.column(3))
+                found = [block.search(int(row), vec, far, k) for row, vec, far in zip(at, _matrix(part.column(1), dims), part.column(2).to_pylist(), strict=True)]
+                sizes = [len(scores) for _, scores in found]
+                places = np.concatenate([x for x, _ in found]).astype(np.int64)
+                scores = [x for _, own_scores in found for x in own_scores]
+                columns = [np.repeat(ids, sizes), np.repeat(at, sizes), block.ids[places], block.at[places], np.array([_held(x) for x in scores], np.int64), pa.array([_sortable(x) for x in scores], pa.string())]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["query_id", "query_row", "id", "row", "score", "beyond"])
+
+    met = members.unionByName(queries).repartitionById(min(blocks, _MOST_TASKS), F.col("block") % _MOST_TASKS)
+    near = met.sortWithinPartitions("block", "asks", "row").mapInArrow(run, "query_id bigint, query_row bigint, id bigint, row bigint, score bigint, beyond string")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.desc("beyond"), F.asc("id"), F.asc("row"))
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(key), F.when(F.col("beyond") == "", F.col("score")).otherwise(F.raise_error(F.lit("a score among the best is no bigint")).cast("bigint")).alias("score"))
@@ -168,10 +206,11 @@ def _sortable(score: int) -> str:
     return f"{999_999 - len(digits):06d}" + "".join(str(9 - int(d)) for d in digits)
 
 
-def _matrix(column: pd.Series, dims: int) -> np.ndarray:
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """The rows of a list column, padded with zeros."""
+    sizes = np.asarray(column.value_lengths())
     out = np.zeros((len(column), dims), np.int64)
-    for k, v in enumerate(column):
-        out[k, : len(v)] = v
+    out[np.arange(dims) < sizes[:, None]] = np.asarray(column.flatten())
     return out
 
 

@@ -212,9 +212,7 @@ def test_top_k_edges(spark, monkeypatch):
     vectors = [[float(x) for x in rng.integers(-3, 4, 6) / 2] for _ in range(150)]
     rows = [(i, v, "c") for i, v in enumerate(vectors)] + [(100, vectors[0], "again"), (500, None, None), (600, [], None), (700, [1.0, nan], None), (800, [inf, 1.0], None), (900, [1.0, None], None), (None, [1.0], None), (1000, [1.0, 2.0], "short")]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score string").withColumn("row", F.lit(1))
-    monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(table, F.col("vec_id") % 100 == 0, 10).collect())
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(table, F.col("vec_id") % 100 == 0, 10, block_rows=40).collect())
     fine = [(i, np.array([np.floor(1024 * x) for x in v] + [0] * (6 - len(v)), np.int64)) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for q, (qi, qv) in enumerate(fine):

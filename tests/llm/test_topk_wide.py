@@ -20,11 +20,10 @@ def _plain(rows, k):
 
 def _got(spark, rows, k):
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(table, F.col("vec_id") % 100 == 0, k).collect())
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(table, F.col("vec_id") % 100 == 0, k, block_rows=150).collect())
 
 
 def test_wide_components(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK_ROWS", 150)
     rnd = random.Random(5)
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(400)]
     for i, x in ((7, 150_000.5), (8, 150_000.25), (9, -2e6), (100, 140_000.0), (11, 3e6), (200, 2_500_000.125)):
