@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import jaccard, langid, packing, quality, substrings
+from lectern.llm.text import small_batches
 from lectern.sources import collected, remove, stored, table
 
 
@@ -23,6 +24,7 @@ _scratch: list[str] = []
 def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     """A stage's result is written before the next stage begins: what the former one left for it can go."""
 
+    @small_batches
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         while _scratch:

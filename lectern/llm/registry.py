@@ -7,6 +7,7 @@ from lectern.llm.langid import op7_language
 from lectern.llm.packing import op1_packing
 from lectern.llm.quality import op4_quality
 from lectern.llm.substrings import op3_substrings
+from lectern.llm.text import small_batches
 from lectern.llm.tokenfile import op10_token_files
 from lectern.llm.urls import op2_urls
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_files": op10_token_files,
 }
+QUERIES = {name: small_batches(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_topk": topk.ORACLE,

@@ -313,6 +313,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             out += [left[a:b].tobytes().decode("utf-8", "ignore") for a, b in zip(at[:-1], at[1:], strict=True)]
         return pa.array(out, pa.string())
 
+    kept = kept.asNondeterministic()  # else the filter below would run it a second time
     named = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     new = cut.select("row", kept("text", "spans").alias("text")).where(F.length("text") > 0)
     new = new.select(*(F.col("text").alias(c) if c == text else x for c, x in zip(docs.columns, named, strict=True)))

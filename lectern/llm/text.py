@@ -9,10 +9,12 @@ from __future__ import annotations
 import ctypes
 import sys
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 1 << 19
 #: Frees what operators remember in a Python worker.
@@ -20,6 +22,22 @@ releases: list[Callable[[], None]] = []
 _MUL = 0x9E3779B97F4A7C15
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 _task: list[int] = []
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def small_batches(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``query(spark, ...)`` with texts going to Python a few MB at a time, unless the session says otherwise.
+
+    Spark's own bound, 64 MB a batch, is held twice by the executor and once by the worker.
+    """
+
+    @wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        if spark.conf.get(_BATCH, "") == "":
+            spark.conf.set(_BATCH, _BATCH_BYTES)
+        return query(spark, *args)
+
+    return run
 
 
 def give_back(keeps: bool = False) -> None:
