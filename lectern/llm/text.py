@@ -33,7 +33,7 @@ def small_batches(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @wraps(query)
     def run(spark: SparkSession, *args) -> DataFrame:
-        if spark.conf.get(_BATCH, "") == "":
+        if spark.conf.get(_BATCH, None) is None:
             spark.conf.set(_BATCH, _BATCH_BYTES)
         return query(spark, *args)
 
