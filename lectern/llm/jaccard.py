@@ -1,17 +1,19 @@
 """Joins of near-duplicate texts: Jaccard similarity of word n-gram sets, by MinHash banding.
 
-Bands and rows come from a target recall at the threshold. Texts with one multiset of n-grams are one
-class; a class is signed once. Band hashes are counted by shuffle; those that two classes or more share
-become buckets, and buckets with the same members are done once. Within a bucket, signatures (a byte a
-hash) sort members to leaders: a member starts a new leader unless one is surely near, and is joined to
-every leader near enough that, by the triangle inequality, no pair over the threshold can fall apart. What
-leaves a bucket is one link for each member joined to another, and, after the first bands, only links
-between what was not joined before. Links make groups, and groups are verified: all pairs of a group are
-compared by their full n-gram sets, in blocks of ``BLOCK`` classes, by counting in matrices. Only numbers of
-links and the links that hold a group together leave a task, never all pairs.
-
-Buckets beyond ``HOT`` members are salted, and the leaders of the parts are linked in a second step; groups
-beyond ``BLOCK`` are compared block by block. Neither leaves a pair out.
+Bands and rows come from a target recall at the threshold and a bound on the hashes of a text. Texts with one
+multiset of n-grams are one class; a class is signed once. Band hashes are counted by shuffle; those that two
+classes or more share become buckets, and buckets with the same members are done once.
+
+A bucket's members are compared by their signatures (a byte a hash). Those of a large bucket are dealt into
+parts and the parts meet in pairs, so that no task holds a bucket. Members whose signatures agree less than a
+pair at the threshold would (``MARGIN`` standard deviations below) are no candidates. A pair of parts gives one
+link for each group joined to another, never all pairs, and after the first bands only buckets that could
+still join groups are looked at.
+
+Groups of candidates are verified by their full n-gram sets: members are dealt into blocks of at most
+``BLOCK`` classes and about ``BLOCK_GRAMS`` n-grams, which meet block by block, by counting in matrices. Final
+groups come from verified links alone. Numbers of links, and the links that hold a group together, leave a
+task, never all pairs. No step leaves a pair of a bucket out.
 
 Defined cases: words are runs of letters and digits, A-Z lower-cased; a text of fewer words than the n-gram
 has one n-gram, all its words; texts without words (null, empty) are copies of one another and linked to
@@ -27,7 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.graph import components
@@ -36,7 +39,12 @@ from lectern.llm.text import gram_hashes, mixed, owners, range_hashes, slices, s
 from lectern.sources import discard, stored, table
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
-HOT, BLOCK = 4_096, 1_024
+#: Hashes of a signature at most: they bound the rows of a band.
+MOST_HASHES = 192
+#: Standard deviations that a signature may fall short of the threshold by (of a pair at the threshold, 1 in 300,000 does).
+MARGIN = 4.5
+#: Members of a part at least, and classes and n-grams of a block at most (a text is never divided).
+PART, BLOCK, BLOCK_GRAMS = 256, 512, 1 << 19
 #: Bands that are looked at before the others; results are the same for any number.
 FIRST_BANDS = 4
 _WORD = np.zeros(256, bool)
@@ -45,9 +53,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def choose_bands(threshold: float, recall: float, rows: int = 6) -> int:
-    """The number of bands of ``rows`` hashes that finds a pair at the threshold with probability ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+def choose_bands(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
+    """(bands, rows): the most selective bands that find a pair at the threshold with probability ``recall`` by ``most`` hashes."""
+    found = 1, 1
+    for rows in range(1, most + 1):
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))
+        if bands * rows > most:
+            break
+        found = bands, rows
+    return found
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,118 +124,111 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select("key", "doc", "text").mapInArrow(run, f"key {kind}, doc bigint, class binary, n_grams bigint, bands array<bigint>, low binary")
 
 
-def _estimated(low: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Similarity by signature bytes, corrected for bytes that agree by chance."""
-    return ((low == others).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+def least_estimate(threshold: float, hashes: int) -> float:
+    """The least share of agreeing bytes with which a pair may be at the threshold."""
+    agree = threshold + (1 - threshold) / 256
+    return max(0.0, agree - MARGIN * math.sqrt(agree * (1 - agree) / hashes))
 
 
-def joined_labels(low: np.ndarray, label: np.ndarray, near: float, linked: float) -> tuple[list[int], np.ndarray]:
-    """(leaders, for each label number the least label number that it is joined to), among rows of signatures."""
-    root = np.arange(label.max() + 1)
+def joining_pairs(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Pairs (a, b) of labels that hold together what near signatures of ``left`` and ``right`` join; a forest."""
+    found = [np.zeros((0, 2), np.int64)]
+    step = max(1, (8 << 20) // max(1, right.size))
+    for k in range(0, len(left), step):
+        near = (left[k : k + step, None, :] == right[None, :, :]).mean(axis=2, dtype=np.float32) >= least
+        i, j = np.nonzero(near & (a[k : k + step, None] != b[None, :]))
+        if len(i):
+            found.append(np.unique(np.sort(np.stack([a[k + i], b[j]], axis=1), axis=1), axis=0))
+    root: dict[int, int] = {}
 
     def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
         return x
 
-    heads = [0]
-    held = low[:1]
-    for k in range(1, len(low)):
-        share = _estimated(held, low[k])
-        own = find(label[k])
-        for other in {find(label[heads[j]]) for j in np.flatnonzero(share >= linked)}:
-            own, other = min(own, other), max(own, other)
-            root[other] = own
-        if share.max() < near:
-            heads.append(k)
-            held = low[heads]
-    return heads, np.array([find(x) for x in range(len(root))])
-
-
-def candidate_links(classes: DataFrame, threshold: float, hot: int, first_bands: int = FIRST_BANDS) -> DataFrame:
+    out = []
+    for x, y in np.concatenate(found).tolist():
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((x, y))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _met(members: DataFrame, parts: Column) -> DataFrame:
+    """``members`` (class, others) dealt into ``parts`` parts, once for each part that theirs meets: with own, i and j."""
+    own = F.when(parts > 1, F.pmod(F.xxhash64("class"), parts)).otherwise(F.lit(0)).cast("int")
+    placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+
+
+def candidate_links(classes: DataFrame, threshold: float, hashes: int, part: int = PART, first_bands: int = FIRST_BANDS) -> DataFrame:
     """(a, b): links that put any two classes of at least the threshold into one group.
 
     The first bands join most of a group. In the other bands only buckets whose members are not all in one
-    group yet are looked at, and only what joins groups is a link. So a group has no more links than members in
+    group yet are looked at, and only what joins groups is a link. So a group has few more links than members in
     the first bands, and few after, however many pairs it has.
     """
     signs = classes.select("class", "low")
-    first = _bucket_links(classes.select("class", F.col("class").alias("label"), F.slice("bands", 1, first_bands).alias("bands")), signs, threshold, hot, "first-links")
-    groups = components(first).withColumnRenamed("node", "class")
-    labelled = classes.join(groups, "class", "left").select("class", F.coalesce("label", "class").alias("label"), F.slice("bands", first_bands + 1, 1 << 20).alias("bands"))
+    first = _bucket_links(classes.select("class", F.col("class").alias("label"), F.slice("bands", 1, first_bands).alias("bands")), signs, threshold, hashes, part, "first-links")
+    groups = components(first)
+    labelled = classes.join(groups.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("label", "class").alias("label"), F.slice("bands", first_bands + 1, 1 << 20).alias("bands"))
     labelled = stored(labelled, "labelled-classes")
-    rest = _bucket_links(labelled, signs, threshold, hot, "more-links")
+    discard(groups)
+    rest = _bucket_links(labelled, signs, threshold, hashes, part, "more-links")
     discard(labelled)
     return first.unionByName(rest)
 
 
-def _bucket_links(classes: DataFrame, signs: DataFrame, threshold: float, hot: int, name: str) -> DataFrame:
-    """(a, b): links between labels of ``classes`` (class, label, bands) that share a band hash; ``signs``: class, low."""
+def _bucket_links(classes: DataFrame, signs: DataFrame, threshold: float, hashes: int, part: int, name: str) -> DataFrame:
+    """(a, b), stored: links between labels of ``classes`` (class, label, bands) that share a band hash; ``signs``: class, low."""
     banded = classes.select("class", "label", F.explode("bands").alias("band"))
     # Buckets are told apart, and labels within one, by 64-bit hashes: that halves what is shuffled.
     member, label = F.xxhash64("class"), F.xxhash64("label")
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(member).alias("members"), F.min(member).alias("least"), F.min(label).alias("low_label"), F.max(label).alias("high_label"))
     once = buckets.where("low_label <> high_label").groupBy("n", "members", "least").agg(F.min("band").alias("band"))
-    salt = F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / hot)).cast("int")
-    members = banded.join(once.select("band", "n"), "band").select("class", "label", "band", F.when(F.col("n") > hot, salt).otherwise(F.lit(-1)).alias("salt"))
-    rows = members.join(signs, "class").select("band", "salt", "label", "low")
-    near, linked = threshold - 0.1, max(0.0, threshold - 0.1 - (1 - threshold) - 0.2)
-
-    def links_of(labels: pa.Array, low: np.ndarray, near: float, linked: float) -> tuple[list[int], pa.Array, pa.Array]:
-        coded = labels.dictionary_encode()
-        heads, root = joined_labels(low, np.asarray(coded.indices), near, linked)
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return heads, coded.dictionary.take(pa.array(root[moved])), coded.dictionary.take(pa.array(moved))
+    # Parts grow with the root of the bucket, so that a member is copied about as often as a part has members.
+    parts = F.ceil(F.col("n") / F.greatest(F.lit(part), F.ceil(2 * F.sqrt("n")))).cast("int")
+    members = banded.join(once.select("band", parts.alias("parts")), "band")
+    rows = _met(members.join(signs, "class"), F.col("parts")).select("band", "i", "j", "own", "label", "low")
+    least = least_estimate(threshold, hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for band, salt, labels, low in _groups(batches, ["band", "salt"]):
-            heads, a, b = links_of(labels, low, near, linked)
-            yield pa.RecordBatch.from_arrays([a, b, pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())], ["a", "b", "band", "low"])
-            if salt >= 0:
-                own = labels.take(pa.array(heads))
-                yield pa.RecordBatch.from_arrays([own, own, pa.array([band] * len(heads), pa.int64()), _binary(low[heads])], ["a", "b", "band", "low"])
-
-    schema = "a binary, b binary, band bigint, low binary"
-    first = stored(rows.repartition("band", "salt").sortWithinPartitions("band", "salt").mapInArrow(run, schema), name)
-    heads = first.where("band IS NOT NULL").select("band", F.lit(-1).alias("salt"), F.col("a").alias("label"), "low")
-    # Two leaders of parts whose members are over the threshold are at most this far apart.
-    apart = max(0.0, 1 - 2 * (1 - near + 0.1) - (1 - threshold))
-
-    def join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, labels, low in _groups(batches, ["band", "salt"]):
-            _, a, b = links_of(labels, low, 2.0, apart)
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
-
-    across = heads.repartition("band").sortWithinPartitions("band").mapInArrow(join_parts, "a binary, b binary")
-    return first.where("band IS NULL").select("a", "b").unionByName(across).distinct()
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple]:
-    """(keys..., labels, signatures) of each group of sorted rows (keys, label, low)."""
+        for whole in _groups(batches, ["band", "i", "j"]):
+            labels = whole["label"].combine_chunks().dictionary_encode()
+            data, at = utf8(whole["low"].combine_chunks())
+            low, code, own = data.reshape(len(at) - 1, -1), np.asarray(labels.indices), whole["own"].to_numpy()
+            one = own == whole["i"][0].as_py()
+            two = one if whole["i"][0] == whole["j"][0] else ~one
+            pairs = joining_pairs(low[one], low[two], code[one], code[two], least)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([labels.dictionary.take(pa.array(pairs[:, k])) for k in (0, 1)], ["a", "b"])
+
+    found = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a binary, b binary")
+    return stored(found.distinct(), name)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each group of sorted rows."""
     held: list[pa.RecordBatch] = []
-
-    def out(parts: list[pa.RecordBatch]) -> tuple:
-        whole = pa.Table.from_batches(parts).combine_chunks()
-        data, at = utf8(whole["low"].combine_chunks() if whole["low"].num_chunks != 1 else whole["low"].chunk(0))
-        labels = whole["label"].chunk(0)
-        return (*(whole[k][0].as_py() for k in keys), labels, data.reshape(len(labels), -1))
-
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [np.asarray(batch.column(batch.schema.get_field_index(k))) for k in keys]
-        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            column = batch.column(batch.schema.get_field_index(k))
+            new[1:] |= np.asarray(pc.not_equal(column[1:], column[:-1]))
+        cuts = np.flatnonzero(new)
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            now = tuple(c[a] for c in columns)
+            now = tuple(batch.column(batch.schema.get_field_index(k))[int(a)].as_py() for k in keys)
             if held and now != last:
-                yield out(held)
+                yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(a, b - a))
             last = now
     if held:
-        yield out(held)
+        yield pa.Table.from_batches(held)
 
 
 def compare(grams: list[np.ndarray], split: int | None, threshold: float) -> np.ndarray:
@@ -249,86 +256,84 @@ def compare(grams: list[np.ndarray], split: int | None, threshold: float) -> np.
 def verified(members: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
     """(a, b, links): for each class with links its number of links (b null), and links that hold groups together.
 
-    ``members``: label, class, size (of the group), text.
+    ``members``: label, class, size and grams (of the group), text.
     """
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.when(blocks > 1, F.pmod(F.xxhash64("class"), blocks)).otherwise(F.lit(0)).cast("int")
-    placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    pairs = placed.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "text")
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    pairs = _met(members, blocks).select("label", "i", "j", "own", "class", "text")
+
+    def judged(whole: pa.Table) -> pa.RecordBatch | None:
+        i, j = whole["i"][0].as_py(), whole["j"][0].as_py()
+        whole = whole.sort_by("own")
+        split = None if i == j else int((whole["own"].to_numpy() == i).sum())
+        if split in (0, whole.num_rows):
+            return None
+        grams = []
+        for part in slices(whole.select(["text"]).to_batches(), "text"):
+            row, hashes = ngrams(*utf8(part.column(0)), n)
+            grams += [np.unique(g) for g in np.split(hashes, np.searchsorted(row, np.arange(1, part.num_rows)))]
+        names = whole["class"].combine_chunks()
+        hits = compare(grams, split, threshold)
+        if split is None:
+            np.fill_diagonal(hits, False)
+            links = hits.sum(axis=1)
+        else:
+            links = np.concatenate([hits.sum(axis=1), hits.sum(axis=0)])
+        label = _least_labels(hits, split)
+        has, moved = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(label)))
+        a = names.take(pa.array(np.concatenate([has, moved])))
+        b = pa.concat_arrays([pa.nulls(len(has), pa.binary()), names.take(pa.array(label[moved]))])
+        return pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate([links[has], np.zeros(len(moved), np.int64)]))], ["a", "b", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def judge(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(parts)
-            i, j, own = (whole[c].to_numpy() for c in ("i", "j", "own"))
-            order = np.argsort(own, kind="stable")
-            names, grams = [], []
-            for part in slices(whole.take(pa.array(order)).select(["class", "text"]).combine_chunks().to_batches(), "text"):
-                row, hashes = ngrams(*utf8(part.column(1)), n)
-                grams += [np.unique(g) for g in np.split(hashes, np.searchsorted(row, np.arange(1, part.num_rows)))]
-                names += part.column(0).to_pylist()
-            split = None if i[0] == j[0] else int((own == i[0]).sum())
-            if split in (0, len(names)):
-                return
-            hits = compare(grams, split, threshold)
-            if split is None:
-                np.fill_diagonal(hits, False)
-                full = hits
-            else:
-                full = np.zeros((len(names), len(names)), bool)
-                full[:split, split:] = hits
-                full |= full.T
-            links = full.sum(axis=1)
-            label = np.arange(len(names))
-            while True:
-                least = np.minimum(label, np.where(full, label[None, :], len(names)).min(axis=1))
-                least = least[least]
-                if (least == label).all():
-                    break
-                label = least
-            has = np.flatnonzero(links)
-            moved = np.flatnonzero(label != np.arange(len(names)))
-            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in [*has, *moved]], pa.binary()), pa.array([None] * len(has) + [names[label[k]] for k in moved], pa.binary()), pa.array([*links[has], *np.zeros(len(moved), np.int64)], pa.int64())], ["a", "b", "links"])
-
-        held, last = [], None
-        for batch in batches:
-            label, i, j = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            keys = list(zip(label, i, j, strict=True))
-            start = 0
-            for k in range(1, len(keys) + 1):
-                if k == len(keys) or keys[k] != keys[start]:
-                    if held and keys[start] != last:
-                        yield from judge(held)
-                        held = []
-                    held.append(batch.slice(start, k - start))
-                    last, start = keys[start], k
-        if held:
-            yield from judge(held)
+        for whole in _groups(batches, ["label", "i", "j"]):
+            if (out := judged(whole)) is not None:
+                yield out
 
     return pairs.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(run, "a binary, b binary, links bigint")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 6, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def _least_labels(hits: np.ndarray, split: int | None) -> np.ndarray:
+    """For each member the least that it is joined to by ``hits`` (members by members, or those before ``split`` by the rest)."""
+    n = len(hits) if split is None else sum(hits.shape)
+    label = np.arange(n)
+    while True:
+        if split is None:
+            near = np.where(hits, label[None, :], n).min(axis=1)
+        else:
+            near = np.concatenate([np.where(hits, label[None, split:], n).min(axis=1), np.where(hits, label[:split, None], n).min(axis=0)])
+        least = np.minimum(label, near)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = MOST_HASHES, part: int = PART, block: int = BLOCK) -> DataFrame:
     """key, class_id (least key of its near-duplicate group), n_links (other texts linked to its text), n_copies (other rows of its text), doc.
 
     ``doc`` is a hash of key and text.
     """
-    bands = choose_bands(threshold, recall, rows)
+    bands, rows = choose_bands(threshold, recall, hashes)
     keyed = docs.select(F.col(key).alias("key"), row_key(F.col(key), F.col(text)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     all_ = stored(signed(keyed, words, bands, rows), "signed")
     least = F.min(F.struct("key", "doc"))
     # Any row of a class has its signature; the one of the least document is taken.
     classes = stored(all_.groupBy("class").agg(least.alias("one"), F.count(F.lit(1)).alias("rows"), F.max("n_grams").alias("n_grams"), F.min("bands").alias("bands"), F.min("low").alias("low")), "classes")
-    signs = classes.where("n_grams > 0")
-    groups = components(candidate_links(signs, threshold, hot))
-    sized = groups.join(groups.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label")
-    wanted = stored(sized.join(classes.select(F.col("class").alias("node"), F.col("one.doc").alias("doc")), "node").select(F.col("node").alias("class"), "label", "size", "doc"), "candidates")
+    links = candidate_links(classes.where("n_grams > 0"), threshold, bands * rows, part)
+    groups = components(links)
+    sized = groups.join(classes.select(F.col("class").alias("node"), F.col("one.doc").alias("doc"), "n_grams"), "node")
+    sizes = sized.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("n_grams").alias("grams"))
+    wanted = stored(sized.join(sizes, "label").select(F.col("node").alias("class"), "label", "size", "grams", "doc"), "candidates")
+    discard(groups)
     texts = narrowed(keyed.select("doc", "text"), wanted.select("doc"), "left_semi").join(wanted, "doc").drop("doc")
     found = stored(verified(texts, words, threshold, block), "verified")
     discard(wanted)
     final = components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     named = classes.select("class", "one", "rows").join(final.withColumnRenamed("node", "class"), "class", "left").join(counts, "class", "left")
-    named = named.select("class", "one", "rows", F.coalesce("label", "class").alias("label"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    named = stored(named.select("class", "one", "rows", F.coalesce("label", "class").alias("label"), F.coalesce("links", F.lit(0)).alias("n_links")), "named-classes")
+    for used in (classes, found, final):
+        discard(used)
     heads = named.groupBy("label").agg(F.min("one").alias("head"))
     classed = named.join(heads, "label").select("class", "head", "n_links", (F.col("rows") - 1).alias("n_copies"))
     out = all_.select("key", "doc", "class").join(classed, "class")

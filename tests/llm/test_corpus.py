@@ -158,7 +158,7 @@ def _changed(words, share, rng):
     return " ".join(rng.choice(["new", "other", "odd"]) + str(rng.randrange(999)) if rng.random() < share else w for w in words)
 
 
-@pytest.mark.parametrize("limits", [{}, {"hot": 3, "block": 4}])
+@pytest.mark.parametrize("limits", [{}, {"part": 2, "block": 3}])
 def test_near_duplicates(docs_of, limits):
     rng = random.Random(7)
     texts = []
@@ -173,6 +173,29 @@ def test_near_duplicates(docs_of, limits):
     assert [rows[k].n_links for k in range(len(texts))] == links
 
 
+def test_bands_follow_the_recall():
+    for threshold, recall, most in ((0.8, 0.9999, 192), (0.8, 0.9, 192), (0.5, 0.99, 64), (0.9, 0.999, 30)):
+        bands, rows = jaccard.choose_bands(threshold, recall, most)
+        assert bands * rows <= most and 1 - (1 - threshold**rows) ** bands >= recall
+    assert jaccard.choose_bands(0.8, 0.9)[1] > jaccard.choose_bands(0.8, 0.9999)[1]
+
+
+def test_a_bucket_of_boilerplate(docs_of):
+    """Texts that share most words but few of which are near: all true links are found, and no other."""
+    rnd = random.Random(11)
+    shared = [f"common{i}" for i in range(120)]
+    texts = []
+    for k in range(500):
+        texts.append(" ".join(shared + [f"own{k}x{i}" for i in range(70)]))
+        if k % 10 == 0:
+            texts.append(texts[-1] + f" added{k}")
+    rnd.shuffle(texts)
+    label, links = near_groups(texts)
+    rows = {r.doc_id: r for r in jaccard.near_duplicates(docs_of(texts), part=32, block=16).collect()}
+    assert [rows[k].class_id for k in range(len(texts))] == label and [rows[k].n_links for k in range(len(texts))] == links
+    assert sum(links) == 100
+
+
 def test_one_of_each(docs_of):
     words = " ".join(f"w{i}" for i in range(60))
     docs = docs_of([words, words, words + " more", "other text of its own here", None, "", "other text of its own here"], ids=[5, 3, 4, 9, 8, 7, 9])
