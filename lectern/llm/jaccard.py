@@ -130,28 +130,33 @@ def least_estimate(threshold: float, hashes: int) -> float:
     return max(0.0, agree - MARGIN * math.sqrt(agree * (1 - agree) / hashes))
 
 
-def joining_pairs(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Pairs (a, b) of labels that hold together what near signatures of ``left`` and ``right`` join; a forest."""
-    found = [np.zeros((0, 2), np.int64)]
-    step = max(1, (8 << 20) // max(1, right.size))
-    for k in range(0, len(left), step):
-        near = (left[k : k + step, None, :] == right[None, :, :]).mean(axis=2, dtype=np.float32) >= least
-        i, j = np.nonzero(near & (a[k : k + step, None] != b[None, :]))
-        if len(i):
-            found.append(np.unique(np.sort(np.stack([a[k + i], b[j]], axis=1), axis=1), axis=0))
-    root: dict[int, int] = {}
+def joining_pairs(low: np.ndarray, label: np.ndarray, side: np.ndarray | None, least: float) -> np.ndarray:
+    """Pairs of labels that hold together what near signatures join; rows are in order of their labels.
+
+    Without ``side`` each label is joined to the least of its group. With it, what either side joins by itself is
+    known elsewhere: the pairs are those that join groups of the one side to groups of the other.
+    """
+    near = np.zeros((len(low), len(low)), bool)
+    step = max(1, (8 << 20) // max(1, low.size))
+    for k in range(0, len(low), step):
+        near[k : k + step] = (low[k : k + step, None, :] == low[None, :, :]).mean(axis=2, dtype=np.float32) >= least
+    within = near if side is None else near & (side[:, None] == side[None, :])
+    group = _least_labels(within | (label[:, None] == label[None, :]), None)
+    if side is None:
+        return np.unique(np.stack([label[group], label], axis=1)[label[group] != label], axis=0)
+    i, j = np.nonzero(near & side[:, None] & ~side[None, :])
+    out, root = [], {}
 
     def find(x: int) -> int:
         while (up := root.get(x, x)) != x:
-            root[x] = x = root.get(up, up)
+            x = up
         return x
 
-    out = []
-    for x, y in np.concatenate(found).tolist():
-        x, y = find(x), find(y)
+    for x, y in np.unique(np.stack([group[i], group[j]], axis=1), axis=0).tolist():
+        x, y = sorted((find(x), find(y)))
         if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((x, y))
+            root[y] = x
+            out.append((label[x], label[y]))
     return np.array(out, np.int64).reshape(-1, 2)
 
 
@@ -195,12 +200,11 @@ def _bucket_links(classes: DataFrame, signs: DataFrame, threshold: float, hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _groups(batches, ["band", "i", "j"]):
+            whole = whole.sort_by("label")
             labels = whole["label"].combine_chunks().dictionary_encode()
             data, at = utf8(whole["low"].combine_chunks())
-            low, code, own = data.reshape(len(at) - 1, -1), np.asarray(labels.indices), whole["own"].to_numpy()
-            one = own == whole["i"][0].as_py()
-            two = one if whole["i"][0] == whole["j"][0] else ~one
-            pairs = joining_pairs(low[one], low[two], code[one], code[two], least)
+            i, j = whole["i"][0].as_py(), whole["j"][0].as_py()
+            pairs = joining_pairs(data.reshape(len(at) - 1, -1), np.asarray(labels.indices), None if i == j else whole["own"].to_numpy() == i, least)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([labels.dictionary.take(pa.array(pairs[:, k])) for k in (0, 1)], ["a", "b"])
 
