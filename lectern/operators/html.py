@@ -9,6 +9,7 @@ would close it (a paragraph by the next block, a list item by the next); script
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -44,6 +45,7 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open = [_Node("", {})]
+        self.counts: Counter[str] = Counter()  # of the open nodes' tags
         self.again: list[tuple[str, dict[str, str]]] = []  # marks left open by a block that was closed
 
     def _reopen(self) -> None:
@@ -56,12 +58,16 @@ class _Tree(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in _VOID:
             self.open.append(node)
+            self.counts[tag] += 1
 
     def _close(self, tags: set[str], within: set[str]) -> None:
         """Closes the innermost open node of ``tags``, unless one of ``within`` stands above it first."""
+        if not any(self.counts[tag] for tag in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in tags:
                 self.again += [(n.tag, n.attrs) for n in self.open[k + 1 :] if n.tag in _MARKS]
+                self.counts.subtract(n.tag for n in self.open[k:])
                 del self.open[k:]
                 return
             if self.open[k].tag in within:
@@ -77,7 +83,7 @@ class _Tree(HTMLParser):
         self._push(tag, {k: v or "" for k, v in attrs})
 
     def handle_endtag(self, tag: str) -> None:
-        if any(n.tag == tag for n in self.open[1:]):
+        if self.counts[tag]:
             self._close({tag}, set())
             if tag in _MARKS:
                 return
@@ -90,21 +96,51 @@ class _Tree(HTMLParser):
         self.open[-1].children.append(data)
 
 
+def _inside(node: _Node) -> Iterator[str | _Node]:
+    """The texts and nodes below a node in order; pages may nest deeper than Python's own stack goes."""
+    waiting = list(reversed(node.children))
+    while waiting:
+        yield (c := waiting.pop())
+        if not isinstance(c, str):
+            waiting += reversed(c.children)
+
+
+def _inside(node: _Node) -> Iterator[str | _Node]:
+    """The texts and nodes below a node in order; pages may nest deeper than Python's own stack goes."""
+    waiting = list(reversed(node.children))
+    while waiting:
+        yield (c := waiting.pop())
+        if not isinstance(c, str):
+            waiting += reversed(c.children)
+
+
+def _inside(node: _Node) -> Iterator[str | _Node]:
+    """The texts and nodes below a node in order; pages may nest deeper than Python's own stack goes."""
+    waiting = list(reversed(node.children))
+    while waiting:
+        yield (c := waiting.pop())
+        if not isinstance(c, str):
+            waiting += reversed(c.children)
+
+
 def _raw(node: _Node) -> str:
-    return "".join(c if isinstance(c, str) else _raw(c) for c in node.children)
+    return "".join(c for c in _inside(node) if isinstance(c, str))
 
 
 def _marked(node: _Node) -> str:
-    out = []
-    for c in node.children:
-        if isinstance(c, str):
+    out: list[str] = []
+    waiting: list[str | _Node | tuple[str]] = list(reversed(node.children))
+    while waiting:
+        c = waiting.pop()
+        if isinstance(c, tuple):  # the mark that ends a node
+            out.append(c[0])
+        elif isinstance(c, str):
             out.append(c)
-        elif c.tag in ("img", "script", "style", "svg"):
-            continue
-        elif mark := _MARKS.get(c.tag):
-            out += [mark, _raw(c) if c.tag == "code" else _marked(c), mark]
-        else:
-            out.append(_marked(c))
+        elif c.tag not in ("img", "script", "style", "svg"):
+            if mark := _MARKS.get(c.tag):
+                out.append(mark)
+                waiting.append((mark,))
+            waiting += [_raw(c)] if c.tag == "code" else reversed(c.children)
     return "".join(out)
 
 
@@ -128,11 +164,7 @@ def class_language(classes: str | None) -> str | None:
 
 
 def _all(node: _Node, tag: str) -> Iterator[_Node]:
-    for c in node.children:
-        if not isinstance(c, str):
-            if c.tag == tag:
-                yield c
-            yield from _all(c, tag)
+    return (c for c in _inside(node) if not isinstance(c, str) and c.tag == tag)
 
 
 class Reader:
@@ -148,7 +180,9 @@ class Reader:
         self.out: list[dict] = []
         self.text: list[str] = []
         self.anchor: str | None = None
-        self._walk(tree.open[0])
+        waiting = [tree.open[0]]
+        while waiting:
+            waiting += reversed(self._read(waiting.pop()))
         self._flush()
         return self.out
 
@@ -168,10 +202,11 @@ class Reader:
         self._flush()
         self._emit(type="image", alt=node.attrs.get("alt", "").strip(), file=node.attrs.get("src"), chapter=None)
 
-    def _walk(self, node: _Node) -> None:
+    def _read(self, node: _Node) -> list[_Node]:
+        """Takes what a node gives; returns the nodes that are to be read in its place."""
         tag = node.tag
         if tag in _SKIPPED:
-            return
+            return []
         if tag in _HEADINGS:
             self._flush()
             if text := inline_text(node):
@@ -199,9 +234,8 @@ class Reader:
             for image in _all(node, "img"):
                 self._image(image)
         else:
-            for c in node.children:
-                if isinstance(c, _Node):
-                    self._walk(c)
+            return [c for c in node.children if isinstance(c, _Node)]
+        return []
 
 
 def html_elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

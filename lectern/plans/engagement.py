@@ -173,7 +173,14 @@ def mastery_gate(spark: SparkSession, folder: str) -> DataFrame:
     return gates.not_mastered(v.cards(), gates.chunk_mastery(v.cards(), v.scores())).select("user_id", "card_id")
 
 
-@query(with_views(f"SELECT user_id, card_id FROM cards c WHERE {_PREREQUISITE}", MANY))
+@query(with_views("""
+SELECT c.user_id, c.card_id FROM cards c LEFT JOIN (
+    SELECT DISTINCT x.user_id, x.chunk_id FROM cards x JOIN (
+        SELECT user_id, card_id FROM feed_events WHERE event_type IN ('glanced', 'engaged') UNION SELECT user_id, card_id FROM card_actions WHERE action = 'like'
+    ) f ON f.user_id = x.user_id AND f.card_id = x.card_id WHERE x.card_type NOT IN ('quiz', 'flashcard')
+) m ON m.user_id = c.user_id AND m.chunk_id = c.chunk_id
+WHERE c.card_type NOT IN ('quiz', 'flashcard') OR m.chunk_id IS NOT NULL
+""", MANY))
 def prerequisite_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Cards but for review cards of chunks that their user has not met."""
     v = Views(spark, folder, MANY)

@@ -1,7 +1,7 @@
-"""Queries that place cards on documents, over cards of all documents.
+"""Queries that place cards on documents run over cards of all documents.
 
-The queries of the same names without ``whole_`` have 20 or 100 cards for each user, so they meet the
-first few documents alone; these run the same plans over ``WholeViews``, beside the same SQL over its tables.
+The modules define them over ``Views``, where each user has a few cards by number; under the same names they are
+registered here over ``WholeViews``, beside the same SQL over its tables, so that they meet every document.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ def _whole(base: Query, n_cards: int = FEW) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return base(spark, folder, views=WholeViews)
 
-    run.__name__, run.__doc__ = f"whole_{base.__name__}", base.__doc__
+    run.__name__, run.__doc__ = base.__name__, base.__doc__
     given = ORACLE_SQL[base.__name__]
     assert given.startswith(views_sql(n_cards))
     query(whole_views_sql() + given.removeprefix(views_sql(n_cards)))(run)

@@ -272,3 +272,11 @@ def test_a_stream_counts_like_a_batch(spark, tmp_path):
     run.awaitTermination()
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(spark.table("counted")) == key(ev.counters(ev.classified(rows)))
+
+
+def test_pages_nest_to_any_depth():
+    from lectern.operators.html import Reader
+
+    deep = "<div>" * 20_000 + "<p>a<b>b<i>c</i></b></p>" + "</div>" * 20_000 + "<p>x<code>y<b>z</b></code></p>" + "<b>" * 3_000 + "<p>m"
+    found = Reader().read(deep)
+    assert [x["type"] for x in found] == ["text"] and found[0]["content"].startswith("a**b*c***\n\nx`yz`")

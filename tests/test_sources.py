@@ -2,6 +2,10 @@
 
 import gzip
 import io
+import os
+import shutil
+import subprocess
+import sys
 import zipfile
 
 import pytest
@@ -128,3 +132,16 @@ def test_stored_tables_are_shared_and_can_go(spark):
     discard(df)
     with pytest.raises(PySparkException):
         spark.read.parquet(df.stored_path).count()
+
+
+def test_other_queries_run_without_the_training_data_subpackage(tmp_path):
+    """The tree without lectern/llm and tests/llm, with and without corpus_pipeline.py, lists the other queries."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/lectern", tmp_path / "lectern", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'type_affinity' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{root}/{name}"):
+            shutil.copy(f"{root}/{name}", tmp_path)
+        if name == "__spark_entry__.py" or os.path.exists(f"{root}/{name}"):
+            env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+            subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)

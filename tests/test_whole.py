@@ -19,10 +19,10 @@ def test_cards_reach_every_document(spark):
 
 def test_goals_reject(spark):
     v = WholeViews(spark, SF)
-    kept = QUERIES["whole_casual_filter"](spark, SF)
+    kept = QUERIES["casual_filter"](spark, SF)
     assert 0 < kept.count() < v.cards().count()
     books = v.books().count()
-    assert QUERIES["whole_chunks_with_cards"](spark, SF).count() == books
-    assert QUERIES["whole_reading_progress"](spark, SF).select("book_id").distinct().count() > books // 2
-    assert 0 < QUERIES["whole_collection_filter"](spark, SF).count() < v.cards().count()
-    assert QUERIES["whole_missing_card_types"](spark, SF).agg(F.count_distinct("chunk_id")).head()[0] > MANY // 5
+    assert QUERIES["chunks_with_cards"](spark, SF).count() == books
+    assert QUERIES["reading_progress"](spark, SF).select("book_id").distinct().count() > books // 2
+    assert 0 < QUERIES["collection_filter"](spark, SF).count() < v.cards().count()
+    assert QUERIES["missing_card_types"](spark, SF).agg(F.count_distinct("chunk_id")).head()[0] > MANY // 5
