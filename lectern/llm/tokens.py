@@ -21,7 +21,7 @@ import pyarrow as pa
 from lectern.llm.text import releases, slices
 
 #: Pieces are counted with ``_PIECE_BYTES`` for their entries besides their characters and ids.
-MEMORY_BYTES, LONGEST = 64 << 20, 64
+MEMORY_BYTES, LONGEST = 192 << 20, 64
 _PIECE_BYTES = 160
 _SLICE = 2 << 20
 
