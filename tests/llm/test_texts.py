@@ -32,6 +32,14 @@ def test_quality_matches_plain_counts(spark, texts):
     assert 0 < sum(r.kept for r in rows.values()) < len(rows)
 
 
+def test_quality_against_labels(spark):
+    rows = {r.doc_id: r for r in quality.quality(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality").distinct().collect()
+    assert {x.quality for x in labels} == {0, 1}
+    # The base rule is given; beyond it, no good document goes and no bad one stays.
+    assert [x.doc_id for x in labels if rows[x.doc_id].kept != (x.quality == 1) and not rows[x.doc_id].base_failed] == []
+
+
 def test_quality_edges(docs_of):
     random.seed(3)
     repeated = ["one two three four five six seven eight nine ten\n" * 5, " ".join(random.choices("abcd", k=400)), "line one\nline two\nline one\n" + " ".join(f"w{i}" for i in range(40))]
