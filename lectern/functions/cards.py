@@ -109,3 +109,9 @@ def image_indices(content: Column) -> Column:
 def gathered(items: Column, indices: Column) -> Column:
     """The items at the indices that are in range."""
     return F.transform(F.filter(indices, lambda i: (i >= 0) & (i < F.size(items))), lambda i: F.get(items, i))
+
+
+def shuffled(options: Column, *seed: Column) -> Column:
+    """The indices of an array in the order in which its items are shown: by a digest of the seed and the index, so each run gives the same."""
+    keyed = F.transform(options, lambda _, i: F.struct(F.md5(F.concat_ws(":", *seed, i.cast("string"))).alias("digest"), i.alias("i")))
+    return F.transform(F.array_sort(keyed), lambda x: x["i"])

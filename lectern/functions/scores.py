@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.values import (
     ALL_TYPES, BATCH_LIMIT, COOLDOWN_DAYS, DWELL_GRADES, EARLY_LIMIT, EARLY_TYPES, ENGAGE_MS, FIRST_EASE, FIRST_INTERVAL, GLANCE_MS, LEAST_EASE, MID_LIMIT, MID_TYPES, MODEL_PRICES, NOVELTY, PASS_GRADE, PLUS_WEIGHT, PRIORITY_WEIGHT,
-    QUANTUM, RIGHT_GRADE, SECOND_INTERVAL, UNKNOWN_AFFINITY, WRONG_GRADE,
+    QUANTUM, REVEALED_GRADE, RIGHT_GRADE, SECOND_INTERVAL, UNKNOWN_AFFINITY, WRONG_GRADE,
 )
 
 
@@ -33,6 +33,11 @@ def valid_grade(grade: Column) -> Column:
     return F.when(grade.between(0, 5), grade)
 
 
+def own_grade(self_grade: Column, quiz_choice: Column, revealed: Column) -> Column:
+    """The reader's grade; the answer seen but neither graded nor chosen counts as ``REVEALED_GRADE``."""
+    return F.coalesce(valid_grade(self_grade), F.when(F.coalesce(revealed, F.lit(False)) & quiz_choice.isNull(), REVEALED_GRADE)).cast("int")
+
+
 def review_grade(self_grade: Column, quiz_choice: Column, right_choice: Column, is_quiz: Column, dwell_ms: Column) -> Column:
     """The grade of an impression: the reader's own, else that of a quiz answer, else that of the dwell time."""
     by_quiz = F.when(is_quiz & quiz_choice.isNotNull(), F.when(quiz_choice.eqNullSafe(right_choice), RIGHT_GRADE).otherwise(WRONG_GRADE))

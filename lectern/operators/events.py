@@ -41,6 +41,22 @@ def merged_counters(state: DataFrame, update: DataFrame) -> DataFrame:
     return both.groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in COUNTERS), F.max("last_shown_at").alias("last_shown_at"))
 
 
+def marked(impressions: DataFrame, marks: DataFrame) -> DataFrame:
+    """Each impression (KEY, event_id, created_at) with what its reader did while the card was in view: self_grade, revealed.
+
+    ``marks``: KEY, event_id, created_at, self_grade, revealed. A mark belongs to the next impression of its
+    card (an impression is written when the card leaves view; at equal times marks come first) and to no
+    later one; of several grades the last holds. Marks that no impression follows are left out.
+    """
+    shown = impressions.select(*KEY, "event_id", "created_at", F.lit(None).cast("int").alias("self_grade"), F.lit(False).alias("revealed"), F.lit(1).alias("_shown"))
+    both = shown.unionByName(marks.select(*KEY, "event_id", "created_at", F.col("self_grade").cast("int").alias("self_grade"), F.coalesce("revealed", F.lit(False)).alias("revealed"), F.lit(0).alias("_shown")))
+    order = Window.partitionBy(*KEY).orderBy("created_at", "_shown", "event_id")
+    dealt = both.withColumn("_view", F.coalesce(F.sum("_shown").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    last = F.max_by("self_grade", F.when(F.col("self_grade").isNotNull(), F.struct("created_at", F.col("event_id"))))
+    one = lambda c: F.max(F.when(F.col("_shown") == 1, F.col(c))).alias(c)
+    return dealt.groupBy(*KEY, "_view").agg(one("event_id"), one("created_at"), last.alias("self_grade"), F.bool_or("revealed").alias("revealed")).where("event_id IS NOT NULL").drop("_view")
+
+
 def reviews(impressions: DataFrame, cards: DataFrame) -> DataFrame:
     """The impressions that count as reviews, with their grades: of cards to be reviewed, when due, graded or answered.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.scores import any_of, rounded
 from lectern.functions.values import LOCK_MINUTES, MAIN_FIRST, MAX_RETRIES, PLUS_WEIGHT, PRIORITIES, PRIORITY_WEIGHT, QUANTUM, TIER_LIMITS, TRANSIENT_ERRORS, VIRTUAL_TIME_LIMIT
+from lectern.operators.numbering import running_sums
 
 
 def daily_usage(usage: DataFrame, as_of: Column) -> DataFrame:
@@ -80,11 +81,11 @@ def missing_types(chunks: DataFrame, cards: DataFrame) -> DataFrame:
 
 def main_first(chunks: DataFrame, is_front: Column, n: int = MAIN_FIRST) -> DataFrame:
     """Chunks (doc_id, pos) in the order to be worked on: the first ``n`` of the main matter, all front matter, the rest."""
-    rows = chunks.withColumn("_front", is_front)
-    nth = F.sum(F.when(F.col("_front"), 0).otherwise(1)).over(Window.partitionBy("doc_id").orderBy("pos"))
-    part = F.when(F.col("_front"), 1).when(nth <= n, 0).otherwise(2)
-    order = Window.partitionBy("doc_id").orderBy("_part", "pos")
-    return rows.withColumn("_part", part).withColumn("nth", F.row_number().over(order)).drop("_front", "_part")
+    front = F.coalesce(is_front, F.lit(False)).cast("int")
+    rows = running_sums(chunks, ["doc_id"], "pos", _front=front, _main=1 - front)
+    after_first = F.least(F.lit(n), F.col("_main_total")) + F.col("_front")
+    nth = F.when(F.coalesce(is_front, F.lit(False)), after_first).when(F.col("_main") <= n, F.col("_main")).otherwise(F.col("_main") + F.col("_front_total"))
+    return rows.withColumn("nth", nth).drop("_front", "_main", "_front_total", "_main_total")
 
 
 def is_transient(error: Column) -> Column:

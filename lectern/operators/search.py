@@ -56,3 +56,8 @@ def featured(books: DataFrame, category: str, order: list, n: int = 10) -> DataF
 def page(rows: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
     """One page of an ordered result."""
     return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def names_with(rows: DataFrame, name: str, part: str, members: DataFrame, key: str) -> DataFrame:
+    """The rows whose name holds ``part``, in any case, and that are no members yet. Null names hold nothing, an empty part is in all others."""
+    return rows.where(F.lower(name).contains(part.lower())).join(members.select(key), key, "left_anti")

@@ -5,7 +5,7 @@ A table of contents is one array a document, in order: (title, page, level, frag
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.cards import reply_labels
@@ -45,3 +45,9 @@ def toc_question(toc: Column) -> Column:
     """What a model is asked: the entries with their numbers, indented by level."""
     entries = F.array_join(F.transform(toc, lambda e, i: F.concat(i.cast("string"), F.lit(". "), F.repeat(F.lit("  "), e["level"].cast("int")), e["title"])), "\n")
     return F.concat(F.lit('Name each entry of this table of contents "front", "main" or "back" matter.\n\n'), entries, F.lit("\n\nReply with a JSON array of "), F.size(toc).cast("string"), F.lit(" strings, in order."))
+
+
+def label_differences(first: DataFrame, second: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """(keys, before, after): what two labellings of the same entries say differently; a null label differs from any other."""
+    both = first.select(*keys, F.col(label).alias("before")).join(second.select(*keys, F.col(label).alias("after")), keys)
+    return both.where(~F.col("before").eqNullSafe(F.col("after")))

@@ -9,6 +9,7 @@ from lectern.functions import scores as sc
 from lectern.functions.cards import described, strategy
 from lectern.functions.text import parsed_size, shown_size
 from lectern.operators import elements as el
+from lectern.operators.numbering import running_sums
 from lectern.operators.scheduler import estimated_chunks, main_first, next_status, turns
 from lectern.operators.search import search, search_many
 from lectern.plans.registry import query
@@ -92,8 +93,7 @@ def sampled_map(spark: SparkSession, folder: str) -> DataFrame:
 
 def sampled(rows: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
     """At most ``most`` rows of each key, evenly spaced in order, numbered ``i`` as among all."""
-    window = Window.partitionBy(*keys)
-    placed = rows.withColumns({"i": F.row_number().over(window.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(window)})
+    placed = running_sums(rows, keys, order, _nth=F.lit(1)).withColumnsRenamed({"_nth_total": "_n"}).withColumn("i", F.col("_nth") - 1).drop("_nth")
     step = lambda i: F.floor(i * most / F.col("_n"))
     return placed.where((F.col("_n") <= most) | (F.col("i") == 0) | (step(F.col("i")) != step(F.col("i") - 1))).drop("_n")
 
