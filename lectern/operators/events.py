@@ -105,11 +105,23 @@ def active_actions(actions: DataFrame) -> DataFrame:
 def dwell_times(owners: DataFrame) -> DataFrame:
     """How long each card held the view: until the next card of its user took over (the last is still open).
 
-    ``owners``: user_id, card_id, event_id, created_at.
+    ``owners``: user_id, card_id, event_id, created_at. Rows are ordered within an hour of their user; only
+    the last row and the first change of each hour are carried on to the next ones, so that a user with a
+    third of all rows is as many tasks as hours.
     """
-    order = Window.partitionBy("user_id").orderBy("created_at", "event_id")
-    changed = ~F.col("card_id").eqNullSafe(F.lag("card_id").over(order)) | F.lag("event_id").over(order).isNull()
-    begun = owners.withColumn("_new", changed).where("_new")
-    until = F.lead("created_at").over(order)
+    rows = owners.withColumn("_hour", F.date_trunc("HOUR", "created_at"))
+    place = F.struct("created_at", "event_id", "card_id")
+    hours = Window.partitionBy("user_id").orderBy("_hour")
+    within = Window.partitionBy("user_id", "_hour").orderBy("created_at", "event_id")
+
+    def beside(df: DataFrame, by_hour: Column, carried: Column) -> DataFrame:
+        found = df.groupBy("user_id", "_hour").agg(by_hour.alias("_kept")).select(F.col("user_id").alias("_u"), F.col("_hour").alias("_h"), carried.alias("_carried"))
+        return df.join(found, F.col("user_id").eqNullSafe(F.col("_u")) & F.col("_hour").eqNullSafe(F.col("_h"))).drop("_u", "_h")
+
+    last = beside(rows.withColumn("_lag", F.lag(place).over(within)), F.max(place), F.lag("_kept").over(hours))
+    before = F.coalesce("_lag", "_carried")
+    begun = last.where(before.isNull() | ~F.col("card_id").eqNullSafe(before["card_id"])).drop("_lag", "_carried")
+    following = beside(begun.withColumn("_lead", F.lead("created_at").over(within)), F.min("created_at"), F.lead("_kept").over(hours))
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    return begun.withColumn("_micros", micros(until) - micros(F.col("created_at"))).withColumn("dwell_ms", F.expr("_micros div 1000")).drop("_new", "_micros")
+    until = F.coalesce("_lead", "_carried")
+    return following.withColumn("_micros", micros(until) - micros(F.col("created_at"))).withColumn("dwell_ms", F.expr("_micros div 1000")).drop("_micros", "_lead", "_carried", "_hour")

@@ -88,7 +88,7 @@ def revealed_grades(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, array_to_string(list_transform(o, lambda x: ['name', 'brand', 'type', 'size'][x + 1]), ' ') AS shown, list_position(o, p_partkey % 4) - 1 AS place FROM (
+SELECT p_partkey, array_to_string(list_transform(o, lambda x: ['name', 'brand', 'type', 'size'][x + 1]), ' ') AS shown, (list_position(o, p_partkey % 4) - 1)::BIGINT AS place FROM (
     SELECT p_partkey, list_transform(list_sort(list_transform(range(4), lambda i: {'d': md5(p_partkey || ':' || i), 'i': i})), lambda x: x.i) AS o FROM part)
 """)
 def quiz_orders(spark: SparkSession, folder: str) -> DataFrame:

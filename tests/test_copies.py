@@ -9,7 +9,7 @@ from lectern.functions.cards import shuffled
 from lectern.functions.scores import own_grade
 from lectern.operators import copies as cp
 from lectern.operators import numbering, scheduler
-from lectern.operators.events import marked
+from lectern.operators.events import dwell_times, marked
 from lectern.operators.search import names_with
 from lectern.operators.toc import label_differences
 from lectern.plans.library import sampled
@@ -83,3 +83,19 @@ def test_names_and_labels(spark):
     first = spark.createDataFrame([(1, "main"), (2, "front"), (3, None), (4, None)], "k int, l string")
     second = spark.createDataFrame([(1, "main"), (2, "back"), (3, "main"), (4, None)], "k int, l string")
     assert {tuple(r) for r in label_differences(first, second, ["k"], "l").collect()} == {(2, "front", "back"), (3, None, "main")}
+
+
+def test_dwell_over_hours(spark):
+    rng = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice([7, 7, 8, None]), i, start + dt.timedelta(minutes=rng.randrange(600))) for i in range(200)]
+    rows += [(3, 7, 500, start), (3, 7, 501, start + dt.timedelta(hours=9)), (3, 8, 502, start + dt.timedelta(hours=20))]
+    want = {}
+    for user in (1, 2, 3, None):
+        mine = sorted((r for r in rows if r[0] == user), key=lambda r: (r[3], r[2]))
+        changes = [r for i, r in enumerate(mine) if i == 0 or r[1] != mine[i - 1][1]]
+        for r, after in zip(changes, [*changes[1:], None]):
+            want[r[2]] = after and round((after[3] - r[3]).total_seconds() * 1000)
+    owners = spark.createDataFrame(rows, "user_id int, card_id int, event_id int, created_at timestamp_ntz")
+    assert {r.event_id: r.dwell_ms for r in dwell_times(owners).collect()} == want
+    assert dwell_times(owners.limit(0)).count() == 0
