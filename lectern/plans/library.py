@@ -41,11 +41,11 @@ def storage_usage(spark: SparkSession, folder: str) -> DataFrame:
 SELECT b.book_id, b.title, coalesce(h.chunks, 0) AS chunks, coalesce(c.cards, 0) AS cards, coalesce(h.words, 0)::BIGINT AS words FROM books b
 LEFT JOIN (SELECT book_id, count(*) AS chunks, sum(word_count) AS words FROM chunks GROUP BY ALL) h USING (book_id) LEFT JOIN (SELECT book_id, count(*) AS cards FROM placed_cards GROUP BY ALL) c USING (book_id)
 """))
-def library_counts(spark: SparkSession, folder: str) -> DataFrame:
+def library_counts(spark: SparkSession, folder: str, views: type[Views] = Views) -> DataFrame:
     """Every book with its chunks, cards and words; those without any count 0."""
-    v = Views(spark, folder)
+    v = views(spark, folder)
     chunks = v.chunks().groupBy("book_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("word_count").alias("words"))
-    # Cards are the same for every user: counted by chunk first, then brought to the books.
+    # Counted by chunk first, then brought to the books.
     cards = v.cards().groupBy("chunk_id").agg(F.count(F.lit(1)).alias("cards")).join(v.chunks().select("chunk_id", "book_id"), "chunk_id").groupBy("book_id").agg(F.sum("cards").alias("cards"))
     return v.books().select("book_id", "title").join(chunks, "book_id", "left").join(cards, "book_id", "left").fillna(0)
 

@@ -143,17 +143,22 @@ def pages_without_heading(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_id").join(named, "page_id", "left").select("page_id", F.col("named").isNull().alias("no_heading"))
 
 
-_TOC_VALUES = """(1, 0, 'Title Page', 1, 0), (1, 1, 'Preface', 3, 0), (1, 2, 'A note', 4, 1), (1, 3, 'One', 7, 0), (1, 4, 'First steps', 8, 1), (1, 5, 'Acknowledgments', 12, 1), (1, 6, 'Two', 20, 0), (1, 7, 'Appendix A', 31, 0), (1, 8, 'Tables', 32, 1), (1, 9, 'Index', 40, 0),
-(2, 0, 'Copyright', 1, 0), (2, 1, 'Part One', 2, 0), (2, 2, 'Foreword', 2, 1), (2, 3, 'Glossary', 9, 1), (2, 4, 'Entries', 10, 2), (2, 5, 'Part Two', 15, 0), (3, 0, 'Only', 1, 0)"""
+_TITLES = ("Title Page", "One", "Preface", "First steps", "Acknowledgments", "Two", "Appendix A", "A note", "Index", "Part Two", "Copyright", "Tables", "Glossary")
+_TOC_SQL = f"""t AS MATERIALIZED (SELECT doc_id, idx, [{", ".join(f"'{t}'" for t in _TITLES)}][k % {len(_TITLES)} + 1] AS title, CAST(idx * 2 + k % 2 + 1 AS INTEGER) AS page, CAST(k % 3 AS INTEGER) AS level FROM (
+    SELECT o_custkey AS doc_id, o_orderkey AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS idx FROM orders))"""
 
 
-def contents(spark: SparkSession) -> DataFrame:
-    """Three small tables of contents."""
-    return spark.sql(f"SELECT *, CAST(NULL AS string) AS fragment FROM VALUES {_TOC_VALUES} AS t(doc_id, idx, title, page, level)")
+def contents(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables of contents: the orders of a customer stand for the entries of a book, in order of their keys."""
+    key = F.col("o_orderkey")
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("doc_id"), nth.alias("idx"), "o_orderkey")
+    title = F.get(F.array(*map(F.lit, _TITLES)), (key % len(_TITLES)).cast("int"))
+    return rows.select("doc_id", "idx", title.alias("title"), (F.col("idx") * 2 + key % 2 + 1).cast("int").alias("page"), (key % 3).cast("int").alias("level"), F.lit(None).cast("string").alias("fragment"))
 
 
 @query(f"""
-WITH RECURSIVE t(doc_id, idx, title, page, level) AS (VALUES {_TOC_VALUES}),
+WITH RECURSIVE {_TOC_SQL},
 w(doc_id, idx, seen, above, label) AS (SELECT DISTINCT doc_id, -1, false, CAST([] AS STRUCT(l INTEGER, s VARCHAR)[]), '' FROM t
     UNION ALL SELECT doc_id, idx, seen OR s = 'main', list_append(up, {{'l': level, 's': s}}), s FROM (
         SELECT *, CASE WHEN parent = 'back' THEN 'back' WHEN parent = 'front' AND NOT seen THEN CASE WHEN b THEN 'back' ELSE 'front' END WHEN NOT seen AND f THEN 'front' WHEN b THEN 'back' ELSE 'main' END AS s FROM (
@@ -161,23 +166,23 @@ w(doc_id, idx, seen, above, label) AS (SELECT DISTINCT doc_id, -1, false, CAST([
                 regexp_matches(lower(title), 'copyright|dedication|foreword|preface|acknowledg|title\\s*page|table\\s*of\\s*contents|front\\s*matter|also\\s*by|epigraph|half[\\s-]?title|series\\s*page') AS f,
                 regexp_matches(lower(title), 'appendix|bibliograph|index(?:es)?|glossary|about\\s*the\\s*author|colophon|back\\s*matter|endnotes?|references|further\\s*reading|permissions|credits') AS b
             FROM w JOIN t ON t.doc_id = w.doc_id AND t.idx = w.idx + 1)))
-SELECT doc_id, idx, label FROM w WHERE idx >= 0
+SELECT doc_id, idx, CASE WHEN count(*) OVER (PARTITION BY doc_id) = 2 THEN ['main', 'front'][idx + 1] ELSE label END AS label FROM w WHERE idx >= 0
 """)
 def toc_sections(spark: SparkSession, folder: str) -> DataFrame:
-    """Front, main and back matter; a model's reply of the wrong length is not taken."""
-    lists = contents(spark).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "title", "page", "level"))).alias("toc"))
+    """Front, main and back matter; a model's reply is taken only for contents of its length (two entries)."""
+    lists = contents(spark, folder).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "title", "page", "level"))).alias("toc"))
     labels = labels_by_model(F.col("toc"), F.lit('```json\n["main", "front"]\n```'))
     return lists.select("doc_id", F.posexplode(labels).alias("idx", "label"))
 
 
 @query(f"""
-WITH t(doc_id, idx, title, page, level) AS (VALUES {_TOC_VALUES})
-SELECT a.doc_id, a.idx, a.page, coalesce((SELECT greatest(b.page - 1, a.page) FROM t b WHERE b.doc_id = a.doc_id AND b.idx > a.idx AND b.level <= a.level ORDER BY b.idx LIMIT 1), 50) AS end_page FROM t a
+WITH {_TOC_SQL}
+SELECT a.doc_id, a.idx, a.page, coalesce((SELECT greatest(b.page - 1, a.page) FROM t b WHERE b.doc_id = a.doc_id AND b.idx > a.idx AND b.level <= a.level ORDER BY b.idx LIMIT 1), 1000) AS end_page FROM t a
 """)
 def toc_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The pages of each entry, to the next of its level or above."""
-    total = contents(spark).select("doc_id").distinct().withColumn("total_pages", F.lit(50))
-    return el.toc_ranges(contents(spark), total).select("doc_id", "idx", "page", "end_page")
+    total = contents(spark, folder).select("doc_id").distinct().withColumn("total_pages", F.lit(1000))
+    return el.toc_ranges(contents(spark, folder), total).select("doc_id", "idx", "page", "end_page")
 
 
 _RUNS_SQL = """

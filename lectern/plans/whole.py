@@ -23,7 +23,7 @@ def _whole(base: Query, n_cards: int = FEW) -> None:
     query(whole_views_sql() + given.removeprefix(views_sql(n_cards)))(run)
 
 
-for _base in (engagement.casual_filter, engagement.sr_due, engagement.reading_progress, engagement.saved_cards, library.chunks_with_cards):
+for _base in (engagement.casual_filter, engagement.sr_due, engagement.reading_progress, engagement.saved_cards, library.chunks_with_cards, library.library_counts):
     _whole(_base)
 for _base in (engagement.collection_filter, engagement.missing_card_types, feed.feed_page):
     _whole(_base, MANY)
