@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.graph import components
 from lectern.llm.substrings import narrowed, row_key
-from lectern.llm.text import gram_hashes, mixed, owners, range_hashes, slices, spans, utf8
+from lectern.llm.text import gram_hashes, mixed, owners, slices, span_hashes, spans, utf8
 from lectern.sources import discard, stored, table
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -64,10 +64,10 @@ def choose_bands(threshold: float, recall: float, most: int = MOST_HASHES) -> tu
     return found
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every word n-gram of a slice, in order of place; short texts have one."""
-    starts, ends = spans(_WORD[data], offsets)
-    words = range_hashes(_LOWER[data], starts, ends)
+def ngrams(data: np.ndarray, offsets: np.ndarray, n: int, member: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word n-gram of a slice, in order of place; short texts have one. Words are runs of ``member`` bytes."""
+    starts, ends = spans(member[data], offsets)
+    words = span_hashes(_LOWER[data], starts, ends)
     row = owners(offsets, starts)
     size = max(0, len(words) - n + 1)
     whole = np.flatnonzero(row[:size] == row[n - 1 :]) if size else np.zeros(0, np.int64)
@@ -257,7 +257,7 @@ def compare(grams: list[np.ndarray], split: int | None, threshold: float) -> np.
     return (common > 0) & (common >= threshold * union - 1e-6)
 
 
-def verified(members: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
+def verified(members: DataFrame, n: int, threshold: float, block: int, member: np.ndarray = _WORD) -> DataFrame:
     """(a, b, links): for each class with links its number of links (b null), and links that hold groups together.
 
     ``members``: label, class, size and grams (of the group), text.
@@ -273,7 +273,7 @@ def verified(members: DataFrame, n: int, threshold: float, block: int) -> DataFr
             return None
         grams = []
         for part in slices(whole.select(["text"]).to_batches(), "text"):
-            row, hashes = ngrams(*utf8(part.column(0)), n)
+            row, hashes = ngrams(*utf8(part.column(0)), n, member)
             grams += [np.unique(g) for g in np.split(hashes, np.searchsorted(row, np.arange(1, part.num_rows)))]
         names = whole["class"].combine_chunks()
         hits = compare(grams, split, threshold)

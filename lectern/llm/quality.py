@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.text import gram_hashes, mixed, owners, range_hashes, slices, spans, sums, utf8
+from lectern.llm.text import gram_hashes, mixed, owners, slices, span_hashes, spans, sums, utf8
 from lectern.sources import table
 
 #: n-gram length: the largest share of a text's word characters that repeated n-grams of it may cover. Held against the
@@ -51,7 +51,7 @@ def repetition_figures(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int
     lines_with_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends = line_starts[lines_with_word], line_ends[lines_with_word]
     line_doc = owners(offsets, line_starts)
-    line_key = _in_text(range_hashes(data, line_starts, line_ends), line_doc)
+    line_key = _in_text(span_hashes(data, line_starts, line_ends), line_doc)
     order = np.argsort(line_key, kind="stable")
     same = np.zeros(len(order), bool)
     same[1:] = line_key[order][1:] == line_key[order][:-1]
@@ -63,7 +63,7 @@ def repetition_figures(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int
     out["chars_lines"] = sums((char_total[line_ends] - char_total[line_starts]) * repeated, line_at)
     out["n_chars"] = char_total[offsets[1:]] - char_total[offsets[:-1]]
 
-    words = range_hashes(data, starts, ends)
+    words = span_hashes(data, starts, ends)
     found = None
     for n in sorted({*lengths, BASE_GRAM}):
         size = max(0, len(words) - n + 1)

@@ -7,6 +7,7 @@ working arrays of a task stay small however many rows or bytes Spark hands over
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import sys
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -130,6 +131,34 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Spans of up to so many bytes are hashed together, 8 bytes at a time; longer ones one by one.
+_CHUNKED = 64
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] that follow no algebra: no kind of text makes different spans meet.
+
+    (A polynomial modulo 2^64, as in ``range_hashes``, gives some pairs of strings of 512 bytes and more one value
+    whatever its base.) For spans that do not overlap, such as words and lines: each byte is read once.
+    """
+    size = ends - starts
+    out = mixed(size.astype(np.uint64) * np.uint64(_MUL) + np.uint64(_BASE))
+    if len(data):
+        padded = np.append(data, np.zeros(8, np.uint8))
+        eight = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, 0, (1,))  # the 8 bytes from each place on
+        left = np.flatnonzero((size > 0) & (size <= _CHUNKED))
+        at = 0
+        while len(left):
+            rest = np.minimum(size[left] - at, 8).astype(np.uint64)
+            chunk = eight[starts[left] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * rest))
+            out[left] = mixed((out[left] ^ chunk) * np.uint64(_MUL) + np.uint64(at + 1))
+            at += 8
+            left = left[size[left] > at]
+    for k in np.flatnonzero(size > _CHUNKED):
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
+
+
 def first_bytes(offsets: np.ndarray, n: int) -> np.ndarray:
     """Marks the first byte of each text that has one."""
     out = np.zeros(n + 1, bool)

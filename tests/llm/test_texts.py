@@ -12,7 +12,7 @@ from brute import quality as plain_quality
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectern.llm import bpe, langid, licenses, packing, quality, tokenfile, tokens
+from lectern.llm import bpe, langid, licenses, packing, quality, text, tokenfile, tokens
 from lectern.sources import table
 
 SF = "/root/testdata/sf0.001"
@@ -205,3 +205,19 @@ def test_pieces_are_the_library_ids(spark, docs_of, texts):
         assert b"".join(r.ids for r in by_doc[k]) == np.array(want, "<u4").tobytes(), text and text[:50]
         assert [r.length for r in by_doc[k][:-1]] == [4096] * (len(by_doc[k]) - 1)
         assert [r.start for r in by_doc[k]] == [4096 * i for i in range(len(by_doc[k]))]
+
+
+def test_spans_of_any_kind_have_their_own_hash(docs_of):
+    word = b"a"
+    for _ in range(11):  # the Thue-Morse string: whatever the base, a polynomial modulo 2^64 gives it its complement's value
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    other = word.translate(bytes.maketrans(b"ab", b"ba"))
+    lines = f"{word.decode()}\n{other.decode()}\n"
+    found = {r.doc_id: r for r in quality.quality(docs_of([lines, lines + word.decode()])).collect()}
+    assert [found[k].n_dup_lines for k in (0, 1)] == [0, 1]
+    pieces = [b"", b"a", b"a\0", b"\0", b"\0\0", b"x" * 8, b"x" * 9, b"x" * 63, b"x" * 64, b"x" * 65, b"x" * 66, word, other]
+    data = np.frombuffer(b"".join(pieces) * 2, np.uint8)
+    ends = np.cumsum([len(p) for p in pieces] * 2)
+    starts = ends - [len(p) for p in pieces] * 2
+    hashes = text.span_hashes(data, starts, ends)
+    assert (hashes[: len(pieces)] == hashes[len(pieces) :]).all() and len(set(hashes.tolist())) == len(pieces)
