@@ -91,3 +91,7 @@ BACK_MATTER = r"appendix|bibliograph|index(?:es)?|glossary|about\s*the\s*author|
 MONO_FONTS = ("courier", "consolas", "menlo", "monaco", "inconsolata", "source code", "sourcecodepro", "fira code", "firacode", "dejavu sans mono", "dejavusansmono", "liberation mono", "droid sans mono", "ubuntu mono", "roboto mono", "lucida console", "andale mono", "monospace")
 CODE_LANGUAGES = ("python", "javascript", "typescript", "rust", "go", "java", "c", "cpp", "csharp", "ruby", "php", "swift", "kotlin", "scala", "haskell", "lua", "perl", "r", "sql", "html", "css", "xml", "json", "yaml", "toml", "bash", "shell", "sh", "zsh", "fish", "powershell")
 MEDIA_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml", "jp2": "image/jp2", "bmp": "image/bmp"}
+
+# Minutes that a document stays affine; how much a client buffers, and for how long.
+AFFINITY_MINUTES = 15
+FLUSH_ITEMS, FLUSH_SECONDS = 20, 10

@@ -62,6 +62,31 @@ def user_order(users: DataFrame) -> DataFrame:
     return users.orderBy("virtual_time", F.when(F.col("affine"), 0).otherwise(1), "user_id")
 
 
+def fair_order(users: DataFrame, turns: DataFrame, turns_a_visit: int | None = 1) -> DataFrame:
+    """All users' turns in one order (place from 1), and the user's virtual time at which each is taken (starts_at).
+
+    ``users``: user_id, tier, virtual_time; ``turns``: what ``turns`` gives. The user of least virtual time is next, the
+    least id among equals; a visit of ``turns_a_visit`` turns (all that are left without it) moves the user's time on by
+    its cards divided by the tier's weight. As a user's times only grow, taking the least each time is merging by
+    time: visits are numbered by one running sum over the times and one along the users of a time, with no loop.
+    Virtual times are whole or half numbers.
+    """
+    weight = F.when(F.col("tier") == "plus", PLUS_WEIGHT).otherwise(1)
+    visit = F.lit(0) if turns_a_visit is None else F.floor((F.col("turn") - 1) / turns_a_visit)
+    along = Window.partitionBy("user_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    rows = turns.withColumns({"visit": visit, "_before": F.coalesce(F.sum("cards").over(along), F.lit(0))})
+    begun = F.min("_before").over(Window.partitionBy("user_id", "visit"))
+    rows = rows.withColumn("_before", begun).join(users.select("user_id", "tier", "virtual_time"), "user_id")
+    rows = rows.withColumn("starts_at", F.col("virtual_time") + F.col("_before") / weight).withColumn("_slot", F.rint(F.col("starts_at") * PLUS_WEIGHT).cast("bigint"))
+    visits = rows.groupBy("_slot", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    slots = visits.groupBy("_slot").agg(F.sum("n").alias("n"))
+    earlier = running_sums(slots, [], "_slot", upto=F.col("n")).select("_slot", (F.col("upto") - F.col("n")).alias("_earlier"))
+    within = running_sums(visits, ["_slot"], "user_id", upto=F.col("n")).select("_slot", "user_id", (F.col("upto") - F.col("n")).alias("_ahead"))
+    nth = F.row_number().over(Window.partitionBy("user_id", "_slot").orderBy("turn"))
+    placed = rows.withColumn("_nth", nth).join(within, ["_slot", "user_id"]).join(earlier, "_slot")
+    return placed.select("user_id", "turn", "document_id", "cards", "starts_at", (F.col("_earlier") + F.col("_ahead") + F.col("_nth")).alias("place"))
+
+
 def advanced(users: DataFrame, made: DataFrame) -> DataFrame:
     """Virtual times after cards were made (user_id, made); all are lowered by the least once that is large."""
     weight = F.when(F.col("tier") == "plus", PLUS_WEIGHT).otherwise(1)

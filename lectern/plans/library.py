@@ -10,7 +10,7 @@ from lectern.functions.cards import described, strategy
 from lectern.functions.text import parsed_size, shown_size
 from lectern.operators import elements as el
 from lectern.operators.numbering import running_sums
-from lectern.operators.scheduler import estimated_chunks, main_first, next_status, turns
+from lectern.operators.scheduler import advanced, estimated_chunks, fair_order, main_first, next_status, turns
 from lectern.operators.search import search, search_many
 from lectern.plans.registry import query
 from lectern.plans.views import Views, with_views
@@ -159,13 +159,16 @@ def ai_cost(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("conv_id", "model").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.sum(cost), 9).alias("cost"))
 
 
-@query("""
+_TURNS_SQL = """
 WITH d AS (SELECT o_custkey AS user_id, o_orderkey AS document_id, CAST(o_orderkey % 3 AS DOUBLE) AS vt, CAST(5 + o_orderkey % 17 AS BIGINT) AS available,
         CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3, o_orderkey % 3, o_orderkey) = 1 THEN 3 ELSE 1 END AS weight FROM orders),
 slots AS (SELECT user_id, document_id, vt + k * 10 / weight AS due, least(10, available - k * 10) AS size FROM d, range(3) r(k) WHERE k * 10 < least(available, 40)),
-summed AS (SELECT *, row_number() OVER w AS turn, coalesce(sum(size) OVER (PARTITION BY user_id ORDER BY due, document_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM slots WINDOW w AS (PARTITION BY user_id ORDER BY due, document_id))
-SELECT user_id, turn, document_id, least(size, 40 - before)::BIGINT AS cards FROM summed WHERE before < 40
-""")
+summed AS (SELECT *, row_number() OVER w AS turn, coalesce(sum(size) OVER (PARTITION BY user_id ORDER BY due, document_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM slots WINDOW w AS (PARTITION BY user_id ORDER BY due, document_id)),
+made AS (SELECT user_id, turn, document_id, least(size, 40 - before)::BIGINT AS cards FROM summed WHERE before < 40)
+"""
+
+
+@query(_TURNS_SQL + "SELECT * FROM made")
 def scheduler_turns(spark: SparkSession, folder: str) -> DataFrame:
     """Turns of fair scheduling over orders as documents, each customer with a budget of 40 cards."""
     key = F.col("o_orderkey")
@@ -175,6 +178,36 @@ def scheduler_turns(spark: SparkSession, folder: str) -> DataFrame:
     return turns(documents, budget)
 
 
+def _customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as users: those divisible by 4 have the larger tier; their virtual times are a few cards apart."""
+    key = F.col("o_custkey")
+    return table(spark, folder, "orders").select(key.alias("user_id")).distinct().select("user_id", F.when(F.col("user_id") % 4 == 0, "plus").otherwise("free").alias("tier"), (F.col("user_id") % 7).cast("double").alias("virtual_time"))
+
+
+_FAIR_SQL = _TURNS_SQL + """,
+u AS (SELECT user_id, CASE WHEN user_id % 4 = 0 THEN 2 ELSE 1 END AS weight, CAST(user_id % 7 AS DOUBLE) AS vt FROM (SELECT DISTINCT user_id FROM d))
+"""
+
+
+@query(_FAIR_SQL + """
+SELECT user_id, turn, document_id, cards, starts_at, row_number() OVER (ORDER BY starts_at, user_id) AS place FROM (
+    SELECT m.*, vt + coalesce(sum(cards) OVER (PARTITION BY m.user_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / weight AS starts_at FROM made m JOIN u ON u.user_id = m.user_id)
+""")
+def fair_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    """All users' turns in one order: users by virtual time, two to one by tier, and their documents three to one within."""
+    return fair_order(_customers(spark, folder), scheduler_turns(spark, folder))
+
+
+@query(_FAIR_SQL + """
+, after AS (SELECT u.user_id, CASE WHEN weight = 2 THEN 'plus' ELSE 'free' END AS tier, vt + coalesce(m.n, 0) / weight AS vt FROM u LEFT JOIN (SELECT user_id, sum(cards) AS n FROM made GROUP BY ALL) m USING (user_id))
+SELECT user_id, tier, vt - (SELECT CASE WHEN min(vt) > 10000 THEN min(vt) ELSE 0 END FROM after) AS virtual_time FROM after
+""")
+def virtual_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Users' virtual times once all turns are taken."""
+    made = scheduler_turns(spark, folder).groupBy("user_id").agg(F.sum("cards").alias("made"))
+    return advanced(_customers(spark, folder), made)
+
+
 @query("""
 SELECT o_orderkey, CASE WHEN status IN ('pending', 'error') THEN status WHEN done < total THEN 'chunking' WHEN missing > 0 THEN 'generating' ELSE 'ready' END AS status,
     (CASE WHEN done > 0 AND done < total THEN floor(chunks * total / done + 0.5) ELSE chunks END)::BIGINT AS estimated, (CASE WHEN total = 0 THEN 0 ELSE least(100, floor(done / total * 100 + 0.5)) END)::BIGINT AS percent FROM (

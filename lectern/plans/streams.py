@@ -12,7 +12,7 @@ from lectern.sources import fresh_path, table
 from lectern.streaming.sync import current_counters, running_reviews, write_batch
 
 
-def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def streamed_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table as a stream: it may be one file or a folder of files."""
     return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parquet*")
 
@@ -21,7 +21,7 @@ class StreamedViews(Views):
     """The same derived tables, with the event log read as a stream."""
 
     def _events(self) -> DataFrame:
-        return _stream(self.spark, self.folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+        return streamed_table(self.spark, self.folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
 
 @query(with_views("SELECT * FROM counters"))

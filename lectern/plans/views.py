@@ -38,8 +38,11 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str, n_cards: int = FEW):
         self.spark, self.folder, self.n_cards = spark, folder, n_cards
 
+    def _table(self, name: str) -> DataFrame:
+        return table(self.spark, self.folder, name)
+
     def _events(self) -> DataFrame:
-        return table(self.spark, self.folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+        return self._table("events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
     def _card(self):
         """The card of an event."""
