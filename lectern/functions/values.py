@@ -104,3 +104,12 @@ STOP_WORDS = (
     "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no",
     "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now",
 )
+
+# What follows the escaped letter in the formula commands that are told from written escapes; ``(?![a-z])`` ends a command.
+FORMULA_COMMANDS = {
+    "n": ("abla", "u(?![a-z])", "eg", "eq", "ewline", "leq", "geq", "mid", "otin", "ot(?![a-z])", "i(?![a-z])", "olimits", "onumber", "orm"),
+    "t": ("imes", "heta", "au", "ext", "extbf", "extit", "extrm", "o(?![a-z])", "op", "riangle", "an(?![a-z])", "anh", "frac"),
+    "b": ("eta", "inom", "ar(?![a-z])", "ig(?![a-z])", "igg(?![a-z])", "igcap", "igcup", "igvee", "igwedge", "ot(?![a-z])", "oldsymbol", "f(?![a-z])"),
+    "r": ("ho", "ight(?![a-z])", "ightarrow", "angle", "ceil", "floor", "m(?![a-z])", "oot"),
+    "f": ("rac", "orall", "lat", "rown"),
+}

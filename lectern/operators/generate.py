@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -25,8 +26,8 @@ class Provider(Protocol):
     name: str
     model: str
 
-    def generate(self, prompt: str) -> tuple[str, int, int]:
-        """(reply, tokens in, tokens out)."""
+    def generate(self, prompt: str) -> tuple[str, int, int] | tuple[str, int, int, int]:
+        """(reply, tokens in, tokens out), and tokens of thinking where the model tells them."""
         ...
 
 
@@ -48,21 +49,28 @@ PROVIDERS: dict[str, Callable[[], Provider]] = {"offline": Offline}
 
 
 def replies(provider: str = "offline") -> Callable[[Column], Column]:
-    """A function on prompt columns: (reply, tokens_in, tokens_out, model), reply null where the call failed."""
+    """A function on prompt columns: (reply, tokens_in, tokens_out, thinking, model, error, duration_ms).
+
+    Where a call failed there is its error instead of reply and counts.
+    """
     make = PROVIDERS[provider]
+    kinds = {"reply": pa.string(), "tokens_in": pa.int64(), "tokens_out": pa.int64(), "thinking": pa.int64(), "model": pa.string(), "error": pa.string(), "duration_ms": pa.int64()}
 
-    @F.arrow_udf("struct<reply:string,tokens_in:bigint,tokens_out:bigint,model:string>")
+    @F.arrow_udf("struct<reply:string,tokens_in:bigint,tokens_out:bigint,thinking:bigint,model:string,error:string,duration_ms:bigint>")
     def call(prompts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
         for batch in prompts:
             rows = []
             for text in batch.to_pylist():
+                began = time.monotonic()
                 try:
-                    rows.append((*model.generate(text), model.model))
-                except Exception:  # whatever a remote model raises; the row stays, without a reply
-                    rows.append((None, None, None, model.model))
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], ["reply", "tokens_in", "tokens_out", "model"])
+                    reply, tokens_in, tokens_out, *thinking = model.generate(text)
+                    row = [reply, tokens_in, tokens_out, thinking[0] if thinking else None, model.model, None]
+                except Exception as error:  # whatever a remote model raises; the row stays, without a reply
+                    row = [None, None, None, None, model.model, f"{type(error).__name__}: {error}"]
+                rows.append([*row, int(1000 * (time.monotonic() - began))])
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
     return call
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scores import rounded
-from lectern.functions.text import count_words
+from lectern.functions.text import count_words, is_mono_font, strip
 
 NEAR_PIXELS, PARAGRAPH_GAP, HEADING_SIZE, HEADING_WORDS = 3, 1.5, 1.2, 15
 
@@ -70,3 +70,37 @@ def code_and_prose(lines: DataFrame, keys: list[str]) -> DataFrame:
     prose = paragraph_text(rows.where(~F.col("is_mono")), [*keys, "block"]).withColumnRenamed("text", "content")
     both = code.withColumn("type", F.lit("code")).unionByName(prose.withColumn("type", F.lit("text")))
     return both.where(F.trim("content") != "").select(*keys, "block", "type", "content")
+
+
+def mono_fonts(fonts: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, page, font) of monospaced fonts (doc, page, font, family); a font of the whole document has page null."""
+    return fonts.where(is_mono_font(F.col("family"))).select(doc, "page", "font").distinct()
+
+
+def styled_runs(runs: DataFrame, fonts: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``runs`` (doc, page, nth, font, text, ...) with ``is_mono``: its font is monospaced in its document or on its page."""
+    mono = mono_fonts(fonts, doc)
+    whole = mono.where("page IS NULL").select(F.col(doc).alias("_d"), F.col("font").alias("_f"), F.lit(True).alias("_whole"))
+    own = mono.where("page IS NOT NULL").select(F.col(doc).alias("_d2"), F.col("page").alias("_p2"), F.col("font").alias("_f2"), F.lit(True).alias("_own"))
+    rows = runs.join(whole, (runs[doc] == F.col("_d")) & (runs["font"] == F.col("_f")), "left")
+    rows = rows.join(own, (runs[doc] == F.col("_d2")) & (runs["page"] == F.col("_p2")) & (runs["font"] == F.col("_f2")), "left")
+    return rows.select(*runs.columns, (F.col("_whole").isNotNull() | F.col("_own").isNotNull()).alias("is_mono"))
+
+
+def marked_lines(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, text: a line's runs (keys, nth, bold, italic, is_mono, text) joined, with marks around neighbours of one style.
+
+    Bold stands between ``**``, italic between ``*``, both between ``***``; marks touch no blank, so they are
+    balanced as a reader of them expects. Monospaced and blank stretches have no marks.
+    """
+    order = Window.partitionBy(*keys).orderBy("nth")
+    style = F.when(F.col("is_mono"), "").otherwise(F.concat(F.when(F.col("bold"), "**").otherwise(""), F.when(F.col("italic"), "*").otherwise("")))
+    rows = runs.withColumn("mark", style)
+    changed = ~F.col("mark").eqNullSafe(F.lag("mark").over(order))
+    stretches = rows.withColumn("stretch", F.sum(changed.cast("int")).over(order)).groupBy(*keys, "stretch", "mark").agg(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("text", F.lit("")).alias("text")))).alias("r"))
+    text = F.array_join(F.transform("r", lambda x: x["text"]), "")
+    inner = strip(F.col("text"))
+    around = lambda group: F.regexp_extract("text", r"(?s)\A(\s*)(.*?)(\s*)\z", group)
+    marked = F.when((F.col("mark") == "") | (inner == ""), F.col("text")).otherwise(F.concat(around(1), F.col("mark"), around(2), F.col("mark"), around(3)))
+    pieces = stretches.withColumn("text", text).select(*keys, "stretch", marked.alias("piece"))
+    return pieces.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stretch", "piece"))), lambda x: x["piece"]), "").alias("text"))

@@ -87,12 +87,12 @@ def feed(v: Views, limit: int = FEED_LIMIT) -> DataFrame:
     is_intro = F.col("card_type").isin(*INTRO_TYPES)
     pooled = gates.first_by(pool.where(is_intro).join(lacking, ["user_id", "chunk_id"], "left_semi"), ["user_id", "chunk_id"], "place")
     oldest = gates.first_by(cards.where(is_intro).join(lacking, ["user_id", "chunk_id"], "left_semi").join(pooled.select("user_id", "chunk_id"), ["user_id", "chunk_id"], "left_anti"), ["user_id", "chunk_id"], "created_at", "card_id")
-    far = 1_000_000
-    intros = pooled.select(*KEYS, "chunk_id", "card_type", "score", (F.col("place") + far).alias("place")).unionByName(oldest.select(*KEYS, "chunk_id", "card_type", F.lit(0.0).alias("score"), (F.col("chunk_id") + 2 * far).cast("int").alias("place")))
-    listed = regular.unionByName(intros)
+    at = lambda part, place: F.struct(F.lit(part).alias("part"), place.cast("bigint").alias("nth")).alias("place")
+    intros = pooled.select(*KEYS, "chunk_id", "card_type", "score", at(1, F.col("place"))).unionByName(oldest.select(*KEYS, "chunk_id", "card_type", F.lit(0.0).alias("score"), at(2, F.col("chunk_id"))))
+    listed = regular.select(*KEYS, "chunk_id", "card_type", "score", at(0, F.col("place"))).unionByName(intros)
     first_seen = F.min("place").over(Window.partitionBy("user_id", "chunk_id"))
     listed = listed.select(*KEYS, "chunk_id", "card_type", "score", F.lit(False).alias("is_sr_due"), F.lit(1).alias("section"), first_seen.alias("o1"), _type_order().alias("o2"), F.col("place").alias("o3"))
-    first = pairs.select(*KEYS, "chunk_id", "card_type", F.lit(0.0).alias("score"), "is_sr_due", F.lit(0).alias("section"), F.col("nth").alias("o1"), F.col("part").alias("o2"), F.lit(0).alias("o3"))
+    first = pairs.select(*KEYS, "chunk_id", "card_type", F.lit(0.0).alias("score"), "is_sr_due", F.lit(0).alias("section"), at(0, F.col("nth")).alias("o1"), F.col("part").alias("o2"), at(0, F.lit(0)).alias("o3"))
     order = Window.partitionBy("user_id").orderBy("section", "o1", "o2", "o3", "card_id")
     return listed.unionByName(first).select("user_id", F.row_number().over(order).cast("bigint").alias("position"), "card_id", "chunk_id", "card_type", "is_sr_due", F.round("score", 6).alias("score"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions.scores import jitter
 from lectern.functions.text import count_words
 from lectern.operators import events as ev
-from lectern.sources import table
+from lectern.sources import stored, table
 
 AS_OF = "2024-01-31 00:00:00"
 FEW, MANY = 20, 100
@@ -147,6 +147,31 @@ class WholeViews(Views):
         return collections, self.placed_cards().select((F.col("user_id") * 3 + F.col("book_id") % 3).alias("collection_id"), "book_id").distinct()
 
 
+class StoredViews(WholeViews):
+    """The same tables, those that a plan starts from many times written once: events with their cards, cards, placed cards, users."""
+
+    def __init__(self, spark: SparkSession, folder: str, n_cards: int = FEW):
+        super().__init__(spark, folder, n_cards)
+        self._made: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = stored(make(), name)
+        return self._made[name]
+
+    def _events(self) -> DataFrame:
+        return self._once("card-events", super()._events)
+
+    def users(self) -> DataFrame:
+        return self._once("users", super().users)
+
+    def cards(self) -> DataFrame:
+        return self._once("cards", super().cards)
+
+    def placed_cards(self) -> DataFrame:
+        return self._once("placed-cards", super().placed_cards)
+
+
 def views_sql(n_cards: int = FEW) -> str:
     """The same tables as common table expressions, to stand before a query: ``WITH RECURSIVE`` included."""
     return _views_sql("e AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events)", f"k % {n_cards} AS card_id", f"users, range({n_cards}) r(card_id)", "SELECT user_id * 3 + n AS collection_id, unnest([n, n + 2]) AS book_id FROM users, range(3) r(n)")

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.plans import engagement, feed, library
 from lectern.plans.registry import ORACLE_SQL, Query, query
-from lectern.plans.views import FEW, MANY, WholeViews, views_sql, whole_views_sql
+from lectern.plans.views import FEW, MANY, StoredViews, WholeViews, views_sql, whole_views_sql
 
 
-def _whole(base: Query, n_cards: int = FEW) -> None:
+def _whole(base: Query, n_cards: int = FEW, views: type[WholeViews] = WholeViews) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return base(spark, folder, views=WholeViews)
+        return base(spark, folder, views=views)
 
     run.__name__, run.__doc__ = base.__name__, base.__doc__
     given = ORACLE_SQL[base.__name__]
@@ -25,5 +25,6 @@ def _whole(base: Query, n_cards: int = FEW) -> None:
 
 for _base in (engagement.casual_filter, engagement.sr_due, engagement.reading_progress, engagement.saved_cards, library.chunks_with_cards, library.library_counts):
     _whole(_base)
-for _base in (engagement.collection_filter, engagement.missing_card_types, feed.feed_page):
+for _base in (engagement.collection_filter, engagement.missing_card_types):
     _whole(_base, MANY)
+_whole(feed.feed_page, MANY, StoredViews)

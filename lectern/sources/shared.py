@@ -8,6 +8,7 @@ where that setting is absent (tests on one machine).
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -19,9 +20,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder, without a trailing slash."""
+    """URI of the shared folder, without a trailing slash. Without the setting, a local folder on one machine; an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{_LOCAL}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
