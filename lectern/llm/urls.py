@@ -2,7 +2,8 @@
 
 Rules decide what they fit; the longest that fits wins. Their decisions are also the labels from which
 trees learn what blocked and allowed addresses look like: lengths, depth, digit ratio, entropy, parameter
-counts, and how often hosts of the same suffixes were blocked. Trees are fitted on a bounded sample of
+counts, and how often urls of the same suffixes (of the host, and with the path's first section) were blocked, for a
+training url as the other folds tell. Trees are fitted on a bounded sample of
 labelled urls (``SAMPLE`` of each label, by lowest hash of the url); suffix statistics cover all
 labelled urls. Features, fitting and judging are DataFrame and MLlib work.
 
@@ -29,6 +30,9 @@ SAMPLE = 10_000
 TREES, DEPTH, RATE = 15, 4, 0.3
 #: Weight of the overall share of blocked urls in a suffix's statistic.
 PRIOR_WEIGHT = 20.0
+#: Parts of the labelled urls; statistics of a training url come from the other parts.
+FOLDS = 5
+SUFFIXES = ("suffix", "site", "section", "site_section")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEXICAL = ("url_length", "host_length", "path_length", "query_length", "depth", "labels", "digits", "letters", "dashes", "parameters", "host_entropy", "path_entropy", "longest_label", "secure", "fragment")
 
@@ -61,7 +65,7 @@ def _entropy(text: Column) -> Column:
 
 
 def with_features(urls: DataFrame) -> DataFrame:
-    """``urls`` (url, host, path) with the lexical features and the two suffixes of the host."""
+    """``urls`` (url, host, path) with the lexical features and the suffixes: the host's last label and last two, the path's first section, and both together."""
     url, labels = F.coalesce(F.col("url"), F.lit("")), F.split("host", r"\.")
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     n = F.greatest(F.length(url), F.lit(1))
@@ -72,42 +76,60 @@ def with_features(urls: DataFrame) -> DataFrame:
         "dashes": count(F.col("host"), "-"), "parameters": F.size(F.filter(F.split(query, "&"), lambda x: x != "")), "host_entropy": _entropy(F.col("host")), "path_entropy": _entropy(F.col("path")),
         "longest_label": F.array_max(F.transform(labels, F.length)), "secure": url.startswith("https://"), "fragment": F.contains(url, F.lit("#")),
     }
-    suffix = F.element_at(labels, -1)
-    return urls.withColumns({c: x.cast("double") for c, x in found.items()} | {"suffix": suffix, "site": F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2))})
+    suffix, site = F.element_at(labels, -1), F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2))
+    section = F.get(F.filter(F.split("path", "/"), lambda x: x != ""), F.lit(0))
+    first = F.coalesce(section, F.lit(""))
+    return urls.withColumns({c: x.cast("double") for c, x in found.items()} | {"suffix": suffix, "site": site, "section": first, "site_section": F.concat(site, F.lit("/"), first)})
 
 
-def suffix_statistics(labelled: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
-    """Smoothed share of blocked urls by last label and by last two labels of the host."""
-    out = []
-    for c in ("suffix", "site"):
-        counts = labelled.groupBy(c).agg(F.sum(F.col("blocked")).alias("b"), F.count(F.lit(1)).alias("n"))
-        out.append(counts.select(F.col(c), ((F.col("b") + PRIOR_WEIGHT * share) / (F.col("n") + PRIOR_WEIGHT)).alias(f"{c}_blocked"), F.log1p("n").alias(f"{c}_seen")))
-    return tuple(out)
+def suffix_statistics(labelled: DataFrame) -> dict[str, DataFrame]:
+    """Labelled urls (``n``) and blocked ones (``b``) by fold, for each kind of suffix; stored."""
+    parts = labelled.withColumn("fold", fold(F.col("url")))
+    return {c: stored(parts.groupBy(c, "fold").agg(F.sum("blocked").alias("b"), F.count(F.lit(1)).alias("n")), "suffixes") for c in SUFFIXES}
+
+
+def fold(url: Column) -> Column:
+    """One of ``FOLDS`` parts of the labelled urls; a url's copies are in the same."""
+    return F.pmod(F.xxhash64(F.coalesce(url, F.lit(""))), F.lit(FOLDS)).cast("int")
+
+
+def with_statistics(urls: DataFrame, suffixes: dict[str, DataFrame], share: float, out_of_fold: bool) -> DataFrame:
+    """``urls`` with the smoothed share of blocked urls, and how many there were, for each of their suffixes.
+
+    A labelled url must not see its own label, or trees learn to read it there: ``out_of_fold`` leaves out the fold that
+    the url belongs to. A suffix that no (other) labelled url has gives the overall share.
+    """
+    if out_of_fold:
+        urls = urls.withColumn("_fold", fold(F.col("url")))
+    for c, counts in suffixes.items():
+        total = counts.groupBy(c).agg(F.sum("b").alias("_b"), F.sum("n").alias("_n"))
+        urls = urls.join(total, c, "left")
+        b, n = F.coalesce("_b", F.lit(0)), F.coalesce("_n", F.lit(0))
+        if out_of_fold:
+            own = counts.select(c, F.col("fold").alias("_fold"), F.col("b").alias("_own_b"), F.col("n").alias("_own_n"))
+            urls = urls.join(own, [c, "_fold"], "left")
+            b, n = b - F.coalesce("_own_b", F.lit(0)), n - F.coalesce("_own_n", F.lit(0))
+        urls = urls.withColumns({f"{c}_blocked": (b + PRIOR_WEIGHT * share) / (n + PRIOR_WEIGHT), f"{c}_seen": F.log1p(n.cast("double"))}).drop("_b", "_n", "_own_b", "_own_n")
+    return urls.drop("_fold")
 
 
 class UrlModel:
     """Fitted trees with the suffix statistics; ``judged`` adds the probability that a url is to be blocked."""
 
-    def __init__(self, model: GBTClassificationModel | None, suffixes: tuple[DataFrame, DataFrame] | None, share: float):
+    def __init__(self, model: GBTClassificationModel | None, suffixes: dict[str, DataFrame] | None, share: float):
         self.model, self.suffixes, self.share = model, suffixes, share
 
     def judged(self, urls: DataFrame) -> DataFrame:
         """``urls`` (of ``with_features``) with ``p_blocked``."""
         if self.model is None:
             return urls.withColumn("p_blocked", F.lit(self.share))
-        rows = _assembled(_with_statistics(urls, self.suffixes, self.share))
+        rows = _assembled(with_statistics(urls, self.suffixes, self.share, out_of_fold=False))
         found = self.model.transform(rows).withColumn("p_blocked", vector_to_array("probability")[1])
         return found.select(*urls.columns, "p_blocked")
 
 
-def _with_statistics(urls: DataFrame, suffixes: tuple[DataFrame, DataFrame], share: float) -> DataFrame:
-    for c, found in zip(("suffix", "site"), suffixes, strict=True):
-        urls = urls.join(found, c, "left").fillna({f"{c}_blocked": share, f"{c}_seen": 0.0})
-    return urls
-
-
 def _assembled(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=[*LEXICAL, "suffix_blocked", "suffix_seen", "site_blocked", "site_seen"], outputCol="features").transform(rows)
+    return VectorAssembler(inputCols=[*LEXICAL, *(f"{c}_{x}" for c in SUFFIXES for x in ("blocked", "seen"))], outputCol="features").transform(rows)
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, seed: int = 7) -> UrlModel:
@@ -116,16 +138,36 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: in
     share = blocked / n if n else 0.0
     if blocked in (0, n):
         return UrlModel(None, None, share)
-    suffixes = tuple(stored(x, "suffixes") for x in suffix_statistics(labelled, share))
+    suffixes = suffix_statistics(labelled)
     order = [F.xxhash64("url"), "url"]
     parts = [labelled.where(F.col("blocked") == b).orderBy(*order).limit(sample) for b in (0, 1)]
-    rows = _assembled(_with_statistics(parts[0].unionByName(parts[1]), suffixes, share)).select("features", F.col("blocked").cast("double").alias("label"))
+    rows = _assembled(with_statistics(parts[0].unionByName(parts[1]), suffixes, share, out_of_fold=True)).select("features", F.col("blocked").cast("double").alias("label"))
     rows = stored(rows, "url-sample")
     shared_dir(labelled.sparkSession)
     trainer = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, maxBins=32)
     return UrlModel(trainer.fit(rows.coalesce(2)), suffixes, share)
 
 
+def held_out_scores(labelled: DataFrame, part: int = 0, **options) -> dict[str, float]:
+    """Shares right of a model that has not seen one fold, on that fold: of all, of blocked, of allowed urls; and of
+    always saying what is most frequent there."""
+    own = fold(F.col("url"))
+    model = fit(labelled.where(own != part), **options)
+    rows = model.judged(labelled.where(own == part)).select("blocked", ((F.col("p_blocked") >= 0.5).cast("int") == F.col("blocked")).cast("int").alias("right"))
+    by = {r.blocked: (r.n, r.right) for r in rows.groupBy("blocked").agg(F.count(F.lit(1)).alias("n"), F.sum("right").alias("right")).collect()}
+    n = sum(x for x, _ in by.values())
+    share = lambda k: by[k][1] / by[k][0] if k in by else float("nan")
+    return {"n": n, "accuracy": sum(x for _, x in by.values()) / n, "majority": max(x for x, _ in by.values()) / n, "blocked": share(1), "allowed": share(0)}
+
+
+def ruled_urls(urls: DataFrame, rules=RULES) -> DataFrame:
+    """``urls`` (url) with features, of those that a rule fits: labelled by it (``blocked``)."""
+    host, path = split_url(F.col("url"))
+    rows = urls.select("url").withColumns({"host": host, "path": path})
+    rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
+    return with_features(rows.withColumns({"_rule": rule, "blocked": (verdict == "block").cast("int")}).where("_rule IS NOT NULL").drop("_rule"))
+
+
 def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """key, host, path, rule, verdict, p_blocked. ``labelled`` (url, blocked) adds to what the rules decide."""
     raw = pages.select(F.col(key).alias("_key"), F.col(url).alias("url"))

@@ -1,6 +1,7 @@
 """Operators over a whole corpus: packing, urls, repeated passages, near duplicates, top-k."""
 
 import hashlib
+import math
 import random
 
 import duckdb
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import jaccard, packing, substrings, suffixes, topk, urls
 from lectern.llm.graph import components
+from lectern.sources import table
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,6 +97,30 @@ def test_url_trees_learn_what_is_blocked(spark):
     assert np.mean([(r.verdict == "block") == (r.blocked == 1) for r in found]) > 0.95
 
 
+def test_url_trees_beat_the_majority_on_urls_they_have_not_seen(spark):
+    scores = [urls.held_out_scores(urls.ruled_urls(table(spark, "/root/testdata/sf0.1", "pages")), part) for part in (0, 1)]
+    for s in scores:
+        assert s["n"] > 150 and s["accuracy"] >= s["majority"] + 0.1 and min(s["blocked"], s["allowed"]) > 0.7, scores
+
+
+def test_url_features_and_statistics(spark):
+    given = [("https://A.b.example.org/en/x-1/?q=1&&r=2#f", 1), ("http://b.example.org/en/", 0), ("http://a.net", 1), (None, 1), ("http://b.example.org/en/", 0)]
+    rows = spark.createDataFrame(given, "url string, blocked int")
+    host, path = urls.split_url(F.col("url"))
+    rows = urls.with_features(rows.withColumns({"host": host, "path": path}))
+    found = {r.url: r for r in rows.collect()}
+    r = found[given[0][0]]
+    entropy = lambda t: -sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t))
+    assert (r.host, r.path, r.depth, r.labels, r.parameters, r.secure, r.fragment, r.dashes, r.longest_label) == ("a.b.example.org", "/en/x-1/", 2, 4, 2, 1, 1, 0, 7)
+    assert r.digits == pytest.approx(3 / len(r.url)) and r.host_entropy == pytest.approx(entropy(r.host)) and r.path_entropy == pytest.approx(entropy(r.path)) and r.query_length == 8
+    assert (r.suffix, r.site, r.section, r.site_section) == ("org", "example.org", "en", "example.org/en") and (found[None].url_length, found[None].suffix) == (0, "")
+    folds = {r.url: r.f for r in rows.select("url", urls.fold(F.col("url")).alias("f")).collect()}
+    for out in (True, False):
+        for r in urls.with_statistics(rows, urls.suffix_statistics(rows), 0.6, out).collect():
+            same = [(u, b) for u, b in given if (found[u].site == r.site) and not (out and folds[u] == folds[r.url])]
+            assert r.site_blocked == pytest.approx((sum(b for _, b in same) + 20 * 0.6) / (len(same) + 20)) and r.site_seen == pytest.approx(math.log1p(len(same)))
+
+
 def test_urls_without_labels(spark):
     none = spark.createDataFrame([], "page_id bigint, url string")
     assert urls.filter_urls(none).count() == 0
