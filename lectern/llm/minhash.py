@@ -167,6 +167,14 @@ def linked_to_pivots(pairs: DataFrame, texts: DataFrame, words: int, threshold:
     return stored(rows.mapInArrow(run, "a binary, b binary"), "pivot-links")
 
 
+def spanning(links: DataFrame) -> DataFrame:
+    """(a, b): fewer links that hold the same together. Of a class's links to pivots (as many as bands at most) the one to its
+    least pivot stays; the others are links of that pivot to the other pivots, of which there are few."""
+    pivots = links.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("bs")).withColumn("least", F.get("bs", F.lit(0)))
+    others = pivots.select(F.col("least").alias("a"), F.explode(F.slice("bs", 2, 1 << 20)).alias("b")).distinct()
+    return pivots.select("a", F.col("least").alias("b")).unionByName(others)
+
+
 def reaches(common: int, union: int, threshold: float) -> bool:
     return common > 0 and common >= threshold * union - 1e-6
 
@@ -221,18 +229,21 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     texts = stored(texts_of(pairs.select("class").unionByName(pairs.select(F.col("pivot").alias("class")))), "pivot-texts")
     links = linked_to_pivots(pairs, texts, words, threshold, fan)
     discard(texts)
-    labels = components(links)
+    labels = components(spanning(links))
     open_ = open_candidates(classes, labels, least, bits, part)
-    discard(labels)
     groups = components(open_)
     sized = groups.join(classes.select(F.col("class").alias("node"), "n_shingles"), "node")
     sizes = sized.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("grams"))
     wanted = stored(sized.join(sizes, "label").select(F.col("node").alias("class"), "label", "size", "grams"), "open-groups")
-    more = stored(verified(texts_of(wanted.select("class")).join(wanted, "class"), words, threshold, block, _WORD).where("b IS NOT NULL").select("a", "b"), "more-links")
-    final = components(links.unionByName(more))
-    named = classes.select("class", F.col("one.key").alias("key")).join(final.withColumnRenamed("node", "class"), "class", "left").select("class", "key", F.coalesce("label", "class").alias("label"))
+    more = more_links = stored(verified(texts_of(wanted.select("class")).join(wanted, "class"), words, threshold, block, _WORD).where("b IS NOT NULL").select("a", "b"), "more-links")
+    named = classes.select("class", F.col("one.key").alias("key")).join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "key", F.coalesce("label", "class").alias("label"))
+    # What the second step has linked are components of the first.
+    for c in ("a", "b"):
+        more = more.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(c, F.coalesce(f"{c}_label", c)).select("a", "b")
+    final = components(more.where("a <> b").distinct())
+    named = named.join(final.select(F.col("node").alias("label"), F.col("label").alias("of")), "label", "left").select("class", "key", F.coalesce("of", "label").alias("label"))
     named = stored(named, "named-sets")
-    for used in (classes, pairs, links, open_, groups, wanted, more, final):
+    for used in (classes, pairs, links, labels, open_, groups, wanted, more_links, final):
         discard(used)
     heads = named.groupBy("label").agg(F.min(F.struct("key")).alias("head"))
     headed = named.join(heads, "label").select("class", "head")
