@@ -105,24 +105,6 @@ def _inside(node: _Node) -> Iterator[str | _Node]:
             waiting += reversed(c.children)
 
 
-def _inside(node: _Node) -> Iterator[str | _Node]:
-    """The texts and nodes below a node in order; pages may nest deeper than Python's own stack goes."""
-    waiting = list(reversed(node.children))
-    while waiting:
-        yield (c := waiting.pop())
-        if not isinstance(c, str):
-            waiting += reversed(c.children)
-
-
-def _inside(node: _Node) -> Iterator[str | _Node]:
-    """The texts and nodes below a node in order; pages may nest deeper than Python's own stack goes."""
-    waiting = list(reversed(node.children))
-    while waiting:
-        yield (c := waiting.pop())
-        if not isinstance(c, str):
-            waiting += reversed(c.children)
-
-
 def _raw(node: _Node) -> str:
     return "".join(c for c in _inside(node) if isinstance(c, str))
 

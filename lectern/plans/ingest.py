@@ -7,29 +7,21 @@ from pyspark.sql import functions as F
 
 from lectern.operators.ingest import Ingestion, ingest, line_elements
 from lectern.plans.registry import query
-from lectern.plans.texts import _SEGMENTS_SQL, _trim, _words, spaced
+from lectern.plans.texts import _SA, _SEGMENTS_SQL, _grouped_sql, _words, spaced
 from lectern.sources import fresh_path
 
 _FIRST_RUN = 5
 _INGEST_SQL = f"""
 WITH RECURSIVE {_SEGMENTS_SQL},
 e AS (SELECT doc_id, pos, content, chapter, word_count, len(regexp_extract_all(content, '[#*$%&|<>]')) >= 3 AS is_code, heading,
-        CASE WHEN len(regexp_extract_all(content, '[\\x{{0900}}-\\x{{097F}}]')) * 100 // greatest(len(regexp_replace(content, '[\\t-\\r \\x{{85}}\\p{{Z}}]', '', 'g')), 1) > 15 THEN 'sa' ELSE 'en' END AS language FROM f),
+        CASE WHEN {_SA} THEN 'sa' ELSE 'en' END AS language FROM f),
 kept AS (SELECT doc_id, pos, content, chapter, word_count, language FROM e JOIN (SELECT doc_id, content FROM s GROUP BY ALL) USING (doc_id, content) WHERE NOT is_code AND heading IS NULL),
-sent AS (SELECT doc_id, pos, chapter, unnest(x) AS content, unnest(range(len(x))) AS i FROM (
-    SELECT doc_id, pos, chapter, list_filter(list_transform(string_split(regexp_replace(content, '([.?!]) (\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {_trim('x')}), lambda x: x <> '') AS x
-    FROM kept WHERE word_count > 400)),
-counted AS MATERIALIZED (SELECT *, {_words('content')} AS n FROM sent),
-grouped(doc_id, pos, i, part, words) AS (
-    SELECT doc_id, pos, 0::BIGINT, 0, n FROM counted WHERE i = 0
-    UNION ALL SELECT c.doc_id, c.pos, c.i, part + CASE WHEN words + n > 400 THEN 1 ELSE 0 END, CASE WHEN words + n > 400 THEN n ELSE words + n END
-    FROM grouped g JOIN counted c ON c.doc_id = g.doc_id AND c.pos = g.pos AND c.i = g.i + 1),
-long_parts AS (SELECT c.doc_id, c.pos, g.part, string_agg(content, ' ' ORDER BY c.i) AS content, c.chapter FROM counted c JOIN grouped g USING (doc_id, pos, i) GROUP BY ALL),
+{_grouped_sql('(SELECT * FROM kept WHERE word_count > 400)', 'doc_id, pos')},
 made AS (
     SELECT doc_id, pos, 0 AS part, 'code' AS chunk_type, content, chapter, word_count, 'en' AS language FROM e WHERE is_code
     UNION ALL SELECT doc_id, pos, 0, 'text', content, chapter, word_count, language FROM kept WHERE word_count <= 400
     UNION ALL SELECT doc_id, pos, part, 'text', content, chapter, {_words('content')},
-        CASE WHEN len(regexp_extract_all(content, '[\\x{{0900}}-\\x{{097F}}]')) * 100 // greatest(len(regexp_replace(content, '[\\t-\\r \\x{{85}}\\p{{Z}}]', '', 'g')), 1) > 15 THEN 'sa' ELSE 'en' END FROM long_parts)
+        CASE WHEN {_SA} THEN 'sa' ELSE 'en' END FROM long_parts)
 """
 
 

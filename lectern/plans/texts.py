@@ -57,11 +57,32 @@ def segments(spark: SparkSession, folder: str) -> DataFrame:
     return segment.segments(spaced(spark, folder)).withColumn("content", F.md5("content"))
 
 
-@query(f"""
-WITH RECURSIVE {_SEGMENTS_SQL},
+_PACKED_SQL = """
 walk(doc_id, i, chunk, words, closed) AS (SELECT DISTINCT doc_id, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), true FROM s
     UNION ALL SELECT doc_id, i, chunk + CASE WHEN new THEN 1 ELSE 0 END, CASE WHEN new THEN n ELSE words + n END, n > 400 FROM (
         SELECT w.doc_id, s.segment_index AS i, chunk, words, s.word_count AS n, closed OR s.is_chapter_start OR s.word_count > 400 OR (words + s.word_count > 400 AND words >= 200) AS new FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.segment_index = w.i + 1))
+"""
+_SA = f"len(regexp_extract_all(content, '[\\x{{0900}}-\\x{{097F}}]')) * 100 // greatest(len(regexp_replace(content, '{_W}', '', 'g')), 1) > 15"
+
+
+def _grouped_sql(rows: str, keys: str) -> str:
+    """Common tables: ``rows`` (keys, chapter, content) as groups of whole sentences of up to 400 words (``long_parts``: keys, part)."""
+    same = " AND ".join(f"c.{k} = g.{k}" for k in keys.split(", "))
+    own = ", ".join(f"c.{k}" for k in keys.split(", "))
+    return f"""
+sent AS (SELECT {keys}, chapter, unnest(x) AS content, unnest(range(len(x))) AS i FROM (
+    SELECT {keys}, chapter, list_filter(list_transform(string_split(regexp_replace(content, '([.?!]) (\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {_trim('x')}), lambda x: x <> '') AS x FROM {rows})),
+counted AS MATERIALIZED (SELECT *, {_words('content')} AS n FROM sent),
+grouped({keys}, i, part, words) AS (
+    SELECT {keys}, 0::BIGINT, 0, n FROM counted WHERE i = 0
+    UNION ALL SELECT {own}, c.i, part + CASE WHEN words + n > 400 THEN 1 ELSE 0 END, CASE WHEN words + n > 400 THEN n ELSE words + n END FROM grouped g JOIN counted c ON {same} AND c.i = g.i + 1),
+long_parts AS (SELECT {own}, g.part, string_agg(content, ' ' ORDER BY c.i) AS content, c.chapter FROM counted c JOIN grouped g USING ({keys}, i) GROUP BY ALL)
+"""
+
+
+@query(f"""
+WITH RECURSIVE {_SEGMENTS_SQL},
+{_PACKED_SQL}
 SELECT doc_id, i AS segment_index, chunk FROM walk WHERE i >= 0
 """)
 def segment_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,7 +90,15 @@ def segment_packing(spark: SparkSession, folder: str) -> DataFrame:
     return segment.packing(segment.segments(spaced(spark, folder)))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_SEGMENTS_SQL},
+{_PACKED_SQL},
+packed AS MATERIALIZED (SELECT w.doc_id, w.chunk, count(*) AS n, sum(word_count) AS words, arg_min(chapter, i) AS chapter, string_agg(content, chr(10) || chr(10) ORDER BY i) AS content
+    FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.segment_index = w.i WHERE i >= 0 GROUP BY ALL),
+{_grouped_sql('(SELECT * FROM packed WHERE n = 1 AND words > 400)', 'doc_id, chunk')},
+parts AS (SELECT doc_id, chunk, 0 AS part, chapter, content FROM packed WHERE NOT (n = 1 AND words > 400) UNION ALL SELECT doc_id, chunk, part, chapter, content FROM long_parts)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk, part) - 1 AS chunk_index, content, {_words('content')} AS word_count, chapter, CASE WHEN {_SA} THEN 'sa' ELSE 'en' END AS language FROM parts
+""")
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of 200 to 400 words within chapters; long segments cut between sentences."""
     return segment.chunks(segment.segments(spaced(spark, folder)))
@@ -129,7 +158,28 @@ def chunks_by_model(spark: SparkSession, folder: str) -> DataFrame:
     return segment.regrouped(parts, replies).withColumn("content", F.md5("content"))
 
 
-@query()
+def _squashed(x: str) -> str:
+    return f"trim(regexp_replace({x}, '[\\t-\\r \\x{{85}}\\p{{Z}}\\x1c-\\x1f]+', ' ', 'g'))"
+
+
+def _unescaped(x: str) -> str:
+    """Text of HTML, for the few references that the given pages hold."""
+    return f"replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&')"
+
+
+#: Each page has one article: a heading, and paragraphs in which bold text, once begun, is never ended.
+_ELEMENTS_SQL = f"""
+WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS art FROM pages),
+h AS (SELECT page_id, {_squashed(_unescaped("regexp_extract(art, '(?s)<h1>(.*?)</h1>', 1)"))} AS chapter, string_split(regexp_replace(art, '(?s)^.*?</h1>', ''), '<p>')[2:] AS ps FROM a),
+p AS (SELECT page_id, chapter, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM h),
+n AS (SELECT *, CAST(sum((length(p) - length(replace(p, '<b>', ''))) // 3) OVER (PARTITION BY page_id ORDER BY i) AS BIGINT) AS bold FROM p),
+t AS (SELECT page_id, chapter, i, bold, {_squashed(_unescaped("regexp_replace(replace(regexp_replace(p, '(?s)</p>.*$', ''), '<br>', ' '), '<[^>]*>?', '', 'g')"))} AS t FROM n)
+SELECT page_id, 0::INTEGER AS pos, 'text' AS type, string_agg(repeat('**', bold) || t || repeat('**', bold), chr(10) || chr(10) ORDER BY i) AS content, any_value(chapter) AS chapter,
+    NULL::VARCHAR AS language, NULL::VARCHAR AS alt, NULL::VARCHAR AS file, NULL::VARCHAR AS mime, NULL::INTEGER AS spine_index, NULL::VARCHAR AS anchor_id FROM t WHERE t <> '' GROUP BY page_id
+"""
+
+
+@query(_ELEMENTS_SQL)
 def elements_of_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Ordered elements of every HTML page."""
     return html_elements(table(spark, folder, "pages"))
