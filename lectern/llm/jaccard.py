@@ -19,7 +19,7 @@ Defined cases: words are runs of letters and digits, A-Z lower-cased; a text of
 has one n-gram, all its words; texts without words (null, empty) are copies of one another and linked to
 nothing else; equal similarity needs no tie rule; a class is named by its least key, null keys first; rows of
 equal key and text are copies; an empty table gives an empty result; input columns of any name are kept by
-``one_of_each``, whose own names start with ``_nj_``.
+``one_of_each``.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.graph import components
 from lectern.llm.substrings import narrowed, row_key
-from lectern.llm.text import gram_hashes, mixed, owners, slices, span_hashes, spans, utf8
+from lectern.llm.text import gram_hashes, mixed, owners, slices, span_hashes, spans, unused, utf8
 from lectern.sources import discard, stored, table
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -346,14 +346,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, one of each near-duplicate group (that of the least key), with all their columns."""
-    found = near_duplicates(docs, key, text, **options).select(F.col("doc").alias("_nj_doc"), (F.col("doc") == F.col("head")).alias("stays"))
-    counts = stored(found.groupBy("_nj_doc").agg(F.bool_and("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "kept-documents")
-    keyed = docs.withColumn("_nj_doc", row_key(F.col(key), F.col(text)))
-    kept = narrowed(keyed, counts.where("NOT stays").select("_nj_doc"), "left_anti", on="_nj_doc")
+    name = unused(docs, "_nj_doc")
+    found = near_duplicates(docs, key, text, **options).select(F.col("doc").alias(name), (F.col("doc") == F.col("head")).alias("stays"))
+    counts = stored(found.groupBy(name).agg(F.bool_and("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "kept-documents")
+    keyed = docs.withColumn(name, row_key(F.col(key), F.col(text)))
+    kept = narrowed(keyed, counts.where("NOT stays").select(name), "left_anti", on=name)
     # Rows of equal key and text share a hash: of those one stays.
-    twice = counts.where("stays AND n > 1").select("_nj_doc")
+    twice = counts.where("stays AND n > 1").select(name)
     if twice.limit(1).count():
-        kept = narrowed(kept, twice, "left_anti", on="_nj_doc").unionByName(narrowed(kept, twice, "left_semi", on="_nj_doc").dropDuplicates(["_nj_doc"]))
+        kept = narrowed(kept, twice, "left_anti", on=name).unionByName(narrowed(kept, twice, "left_semi", on=name).dropDuplicates([name]))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

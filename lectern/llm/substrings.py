@@ -16,8 +16,7 @@ Documents are told apart by a 64-bit hash of key and text, segments by 128 bits
 
 Defined cases: a null text is empty; a text shorter than ``length`` keeps all; passages overlapping themselves
 count as repeated; rows of equal key and text each hold the other's passages; null keys are allowed; an empty
-table gives an empty result; input columns of any name are kept by ``without_repeats``, whose own names start
-with ``_dd_``.
+table gives an empty result; input columns of any name are kept by ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -293,8 +292,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     A cut inside a multi-byte character leaves no part of it. Documents with nothing left go.
     """
     spans = repeated_spans(_keyed(docs, key, text), length, hot)
-    keyed = docs.withColumn("_dd_doc", row_key(F.col(key), F.col(text)))
-    rows = keyed.select(F.col("_dd_doc").alias("doc"), F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(row_key(F.col(key), F.col(text)).alias("doc"), F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
     cut = narrowed(rows, spans.select("doc"), "left_semi").join(spans, "doc")
 
     @F.arrow_udf("string")

@@ -41,6 +41,14 @@ def small_batches(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def give_back(keeps: bool = False) -> None:
     """At a task's start, returns freed memory to the machine, and unless ``keeps`` holds what operators remember.
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from brute import best_fit, near_groups, quality as plain_quality, without_passages
 
 import corpus_pipeline
@@ -79,3 +80,23 @@ def test_all_operators_are_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark, docs_of):
+    from brute import EDGES
+
+    body = "\n".join(f"line {k} has some words of its own and a few of all others" for k in range(30))
+    other = " ".join(f"word{k % 97} and{k % 31}" for k in range(400))
+    texts = [*EDGES, body, body, body + " more", other, other, None, ""]
+    ids = [None, None, *range(len(texts) - 4), 7, 7]
+    docs = docs_of(texts, ["en" if t else None for t in texts], ids).withColumns({"_nj_doc": F.lit("own"), "_dd_doc": F.lit(5), "stays": F.lit(False)})
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (docs, docs.limit(0)):
+            out = stage(spark, rows, SF)
+            assert out.count() <= (1 << 20)
+            if name != "packing":
+                assert out.columns == docs.columns
+                assert rows.isEmpty() or {r["_nj_doc"] for r in out.collect()} <= {"own"}
+    kept = [r.text for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()]
+    assert sum(bool(t) and t.startswith("line 0 ") for t in kept) == 1 and sum(t == other for t in kept) == 1
+    assert sum(not t for t in kept) == 1 or sum(not t for t in kept) == len({i for i, t in zip(ids, texts, strict=True) if not t})

@@ -221,3 +221,69 @@ def test_spans_of_any_kind_have_their_own_hash(docs_of):
     starts = ends - [len(p) for p in pieces] * 2
     hashes = text.span_hashes(data, starts, ends)
     assert (hashes[: len(pieces)] == hashes[len(pieces) :]).all() and len(set(hashes.tolist())) == len(pieces)
+
+
+def _plain_profiles(rows, size=None):
+    """Language -> rank of each of its most frequent letter n-grams, ties by the n-gram's own order in the operator."""
+    counts = {}
+    for t, lang in rows:
+        for gram in letter_grams(t):
+            counts.setdefault(lang, {}).setdefault(gram, 0)
+            counts[lang][gram] += 1
+    return counts
+
+
+def test_language_distances_are_those_of_a_plain_version(docs_of):
+    """Texts whose n-grams have no equal counts: ranks are then free of ties, and distances can be counted by hand."""
+    make = lambda letters: " ".join(c * 1 + " " for i, c in enumerate(letters) for _ in range(i + 1))
+    train = {"xx": "abcdefgh", "yy": "hgfedcba", "zz": "mnopqrst"}
+    docs = docs_of([make(x) for x in train.values()], list(train))
+    profiles = langid.learn_profiles(docs)
+    plain = _plain_profiles([(make(x), g) for g, x in train.items()])
+    for g, counts in plain.items():
+        singles = sorted((k for k in counts if len(k) == 1), key=lambda k: -counts[k])
+        assert singles == list(reversed(train[g]))
+        assert len(profiles[g]) == min(langid.PROFILE_SIZE, len(counts))
+    texts = [make("abcdefgh"), make("hgfedcba"), make("nopq"), make("efgh"), make("dcba")]
+    rows = {r.doc_id: r.lang_pred for r in langid.predict(docs_of(texts), profiles).collect()}
+
+    def distance(text, lang):
+        own = _plain_profiles([(text, "t")])["t"]
+        order = lambda c: {k: i for i, k in enumerate(sorted(c, key=lambda k: (-c[k], len(k), k)))}
+        a, b = order(own), order(plain[lang])
+        return sum(abs(a[k] - b[k]) if k in b else langid.PROFILE_SIZE for k in a)
+
+    for k, text_ in enumerate(texts):
+        assert rows[k] == min(train, key=lambda g: distance(text_, g)), k
+
+
+def test_byte_bpe_query_matches_tiktoken(spark, folder_of):
+    import hashlib
+
+    import public_tokenizers
+
+    texts_ = [*EDGES, "long " * 200_000, "é" * 300_001]
+    folder = folder_of(texts_)
+    from tiktoken.load import load_tiktoken_bpe
+
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    rows = {r.doc_id: r for r in bpe.op8_byte_bpe(spark, folder).collect()}
+    assert len(rows) == len(texts_)
+    for k, t in enumerate(texts_):
+        ids = encoding.encode_ordinary(t or "")
+        want = hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+        assert (rows[k].n_tokens, rows[k].ids_sha256, rows[k].decoded_sha256) == (len(ids), want, hashlib.sha256((t or "").encode()).hexdigest()), k
+    assert bpe.op8_byte_bpe(spark, folder_of([], name="none/documents").replace("documents", "") + "/none").count() == 0
+
+
+def test_texts_longer_than_a_slice(docs_of):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
+    long = [" ".join(rng.choices(words, k=160_000)), "\n".join(" ".join(rng.choices(words, k=12)) for _ in range(20_000))]
+    assert all(len(t) > text.SLICE_BYTES for t in long)
+    docs = docs_of([long[0], "short", long[1], long[1] + "\n" + long[1][:5000]])
+    rows = {r.doc_id: r for r in quality.quality(docs).collect()}
+    for k, t in ((0, long[0]), (3, long[1] + "\n" + long[1][:5000])):
+        want = plain_quality(t, quality.COVERAGE_LIMITS, quality.LINE_COVERAGE_LIMIT, quality.SYMBOL_LIMIT)
+        assert {c: rows[k][c] for c in want} == want
+    assert langid.predict(docs, {}).count() == 4
