@@ -100,6 +100,18 @@ def toc_ranges(toc: DataFrame, total: DataFrame) -> DataFrame:
     return found.select("doc_id", "e.*", F.when(F.col("n").isNotNull(), F.greatest(F.col("n.page") - 1, F.col("e.page"))).otherwise(F.col("total_pages")).alias("end_page"), F.col("n.fragment").alias("end_fragment"))
 
 
+def page_bounds(toc: DataFrame, total: DataFrame, chosen: Column) -> DataFrame:
+    """(doc_id, first_page, last_page) over the chosen entries of a table of contents.
+
+    An entry ends a page before the next of its own or a higher level, even where that is before its own page.
+    """
+    order = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
+    levels = range(1 + (toc.agg(F.max("level")).head()[0] or 0))  # headings nest a few levels deep
+    after = F.coalesce(*(F.when(F.col("level") == n, F.first(F.when(F.col("level") <= n, F.col("page")), ignorenulls=True).over(order)) for n in levels), F.lit(None).cast("int"))
+    ends = toc.withColumn("_after", after).join(total, "doc_id").withColumn("_end", F.coalesce(F.col("_after") - 1, F.col("total_pages")))
+    return ends.where(chosen).groupBy("doc_id").agg(F.min("page").alias("first_page"), F.max("_end").alias("last_page"))
+
+
 def selected_by_toc(elements: DataFrame, ranges: DataFrame, ext: DataFrame) -> DataFrame:
     """The elements within selected entries (``ranges``: rows of ``toc_ranges``; ``ext``: doc_id, ext).
 

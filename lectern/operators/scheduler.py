@@ -59,7 +59,12 @@ def turns(documents: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def user_order(users: DataFrame) -> DataFrame:
     """Users by virtual time, those with an affinity first among equals (user_id, virtual_time, tier, affine)."""
-    return users.orderBy("virtual_time", F.when(F.col("affine"), 0).otherwise(1), "user_id")
+    return users.orderBy(*affine_first(F.col("affine"), "user_id"))
+
+
+def affine_first(affine: Column, key: str) -> list:
+    """The order of what is next: by virtual time, those with an affinity first among equals, then by key."""
+    return [F.col("virtual_time"), F.when(affine, 0).otherwise(1), F.col(key)]
 
 
 def fair_order(users: DataFrame, turns: DataFrame, turns_a_visit: int | None = 1) -> DataFrame:
