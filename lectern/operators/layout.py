@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.folds import running
 from lectern.functions.scores import rounded
 from lectern.functions.text import count_words, is_mono_font, strip
 
@@ -16,14 +17,14 @@ NEAR_PIXELS, PARAGRAPH_GAP, HEADING_SIZE, HEADING_WORDS = 3, 1.5, 1.2, 15
 
 def line_numbers(tops: Column) -> Column:
     """The line of each run: a run within ``NEAR_PIXELS`` of its line's first run belongs to that line."""
-    state = F.struct(F.lit(-1).alias("line"), F.lit(0).alias("top"), F.array().cast("array<int>").alias("out"))
+    first = F.struct(F.lit(-1).alias("line"), F.lit(0).alias("top"))
 
-    def step(s: Column, top: Column) -> Column:
+    def step(s: Column, top: Column) -> tuple[Column, Column]:
         new = (s["line"] < 0) | (F.abs(top - s["top"]) > NEAR_PIXELS)
         line = F.when(new, s["line"] + 1).otherwise(s["line"])
-        return F.struct(line.alias("line"), F.when(new, top).otherwise(s["top"]).alias("top"), F.concat(s["out"], F.array(line)).alias("out"))
+        return F.struct(line.alias("line"), F.when(new, top).otherwise(s["top"]).alias("top")), line
 
-    return F.aggregate(tops, state, step, lambda s: s["out"])
+    return running(tops, first, "int", step)
 
 
 def merged_runs(runs: DataFrame, keys: list[str]) -> DataFrame:

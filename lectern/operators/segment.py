@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.folds import running
 from lectern.functions.text import count_words, heading, is_layout_noise, language, paragraphs, sentences
 from lectern.functions.values import AI_OVERLAP, AI_WINDOW, CHUNK_LEAST, CHUNK_MOST, LEAST_SEGMENT_WORDS
 
@@ -32,16 +33,15 @@ def segments(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 def packed_ids(counts: Column, starts: Column, least: int, most: int) -> Column:
     """For each segment the number of its chunk: a chunk is closed by a chapter's start, by a segment of more than
     ``most`` words (a chunk by itself), and by one that would overfill it once it has ``least`` words."""
-    first = F.struct(F.lit(-1).alias("chunk"), F.lit(0).cast("bigint").alias("words"), F.lit(True).alias("closed"), F.array().cast("array<int>").alias("ids"))
+    first = F.struct(F.lit(-1).alias("chunk"), F.lit(0).cast("bigint").alias("words"), F.lit(True).alias("closed"))
 
-    def step(state: Column, k: Column) -> Column:
-        n, large = F.get(counts, k), F.get(counts, k) > most
-        new = state["closed"] | F.get(starts, k) | large | ((state["words"] + n > most) & (state["words"] >= least))
+    def step(state: Column, item: Column) -> tuple[Column, Column]:
+        n, large = item["n"], item["n"] > most
+        new = state["closed"] | item["start"] | large | ((state["words"] + n > most) & (state["words"] >= least))
         chunk = F.when(new, state["chunk"] + 1).otherwise(state["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(new, n).otherwise(state["words"] + n).alias("words"), large.alias("closed"), F.concat(state["ids"], F.array(chunk)).alias("ids"))
+        return F.struct(chunk.alias("chunk"), F.when(new, n).otherwise(state["words"] + n).alias("words"), large.alias("closed")), chunk
 
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(counts) - 1), first, step, lambda s: s["ids"])
-    return F.when(F.size(counts) > 0, folded).otherwise(F.array().cast("array<int>"))
+    return running(F.arrays_zip(counts.alias("n"), starts.alias("start")), first, "int", step)
 
 
 def packing(parts: DataFrame, key: str = "doc_id", least: int = CHUNK_LEAST, most: int = CHUNK_MOST) -> DataFrame:
@@ -56,17 +56,19 @@ def sentence_groups(text: Column, most: int = CHUNK_MOST) -> Column:
     """Sentences of a long segment in groups of at most ``most`` words; a longer sentence is a group by itself."""
     own = sentences(text)
     counts = F.transform(own, lambda s: count_words(s).cast("bigint"))
-    first = F.struct(F.lit(-1).alias("group"), F.lit(0).cast("bigint").alias("words"), F.array().cast("array<int>").alias("ids"))
+    first = F.struct(F.lit(-1).alias("group"), F.lit(0).cast("bigint").alias("words"))
 
-    def step(state: Column, n: Column) -> Column:
+    def step(state: Column, n: Column) -> tuple[Column, Column]:
         new = (state["group"] < 0) | (state["words"] + n > most)
         group = F.when(new, state["group"] + 1).otherwise(state["group"])
-        return F.struct(group.alias("group"), F.when(new, n).otherwise(state["words"] + n).alias("words"), F.concat(state["ids"], F.array(group)).alias("ids"))
-
-    ids = F.aggregate(counts, first, step, lambda s: s["ids"])
-    named = F.arrays_zip(own.alias("s"), ids.alias("g"))
-    last = F.coalesce(F.array_max(ids), F.lit(-1))
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda g: F.array_join(F.transform(F.filter(named, lambda x: x["g"] == g), lambda x: x["s"]), " "))).otherwise(F.array().cast("array<string>"))
+        return F.struct(group.alias("group"), F.when(new, n).otherwise(state["words"] + n).alias("words")), new
+
+    begins = running(counts, first, "boolean", step)
+    # Where each group begins, and the end: sentences from one to the next are joined.
+    at = F.concat(F.filter(F.transform(begins, lambda new, i: F.when(new, i)), lambda i: i.isNotNull()), F.array(F.size(own)))
+    pairs = F.arrays_zip(at.alias("a"), F.slice(at, 2, F.size(at)).alias("b"))
+    groups = F.filter(pairs, lambda p: p["b"].isNotNull())
+    return F.transform(groups, lambda p: F.array_join(F.slice(own, p["a"] + 1, p["b"] - p["a"]), " "))
 
 
 def chunks(parts: DataFrame, key: str = "doc_id", least: int = CHUNK_LEAST, most: int = CHUNK_MOST) -> DataFrame:

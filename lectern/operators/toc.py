@@ -9,17 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.cards import reply_labels
+from lectern.functions.folds import running
 from lectern.functions.values import BACK_MATTER, FRONT_MATTER
 
-_STATE = "struct<seen_main:boolean,above:array<struct<level:int,section:string>>,out:array<string>>"
+_STATE = "struct<seen_main:boolean,above:array<struct<level:int,section:string>>>"
 
 
 def toc_labels(toc: Column) -> Column:
     """A label for each entry. What lies below a back-matter entry is back matter too; so is what lies below a
     front-matter entry front matter, until the main matter has begun (or its own title says back)."""
-    start = F.struct(F.lit(False).alias("seen_main"), F.array().cast("array<struct<level:int,section:string>>").alias("above"), F.array().cast("array<string>").alias("out")).cast(_STATE)
+    start = F.struct(F.lit(False).alias("seen_main"), F.array().cast("array<struct<level:int,section:string>>").alias("above")).cast(_STATE)
 
-    def step(state: Column, entry: Column) -> Column:
+    def step(state: Column, entry: Column) -> tuple[Column, Column]:
         above = F.filter(state["above"], lambda x: x["level"] < entry["level"])
         parent = F.when(F.size(above) > 0, F.element_at(above, -1)["section"])
         front, back = entry["title"].rlike(f"(?i){FRONT_MATTER}"), entry["title"].rlike(f"(?i){BACK_MATTER}")
@@ -31,9 +32,9 @@ def toc_labels(toc: Column) -> Column:
             .otherwise("main")
         )
         here = F.struct(entry["level"].cast("int").alias("level"), section.alias("section"))
-        return F.struct((state["seen_main"] | (section == "main")).alias("seen_main"), F.concat(above, F.array(here)).alias("above"), F.concat(state["out"], F.array(section)).alias("out")).cast(_STATE)
+        return F.struct((state["seen_main"] | (section == "main")).alias("seen_main"), F.concat(above, F.array(here)).alias("above")).cast(_STATE), section
 
-    return F.aggregate(toc, start, step, lambda s: s["out"])
+    return running(toc, start, "string", step)
 
 
 def labels_by_model(toc: Column, reply: Column) -> Column:

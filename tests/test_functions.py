@@ -149,3 +149,13 @@ def test_numbers(value, values):
     assert value(scores.percent, 1, 3) == 33 and value(scores.percent, 5, 0) == 0 and value(scores.percent, 9, 3) == 100
     assert values(lambda t: scores.clamped_number(t, 10, 50), ["7", "99", "x", None]) == [7, 50, 10, 10]
     assert value(scores.ai_cost, "gemini-2.5-pro", 1000, 10, 5) == pytest.approx((1000 * 1.25 + 15 * 10) / 1e6) and value(scores.ai_cost, "unknown", 1, 1, 1) is None
+
+
+def test_a_fold_gives_a_value_for_each_item(spark):
+    from lectern.functions.folds import BLOCK, running
+
+    sums = lambda c: running(c, F.lit(0).cast("bigint"), "bigint", lambda s, x: (s + x, s + x))
+    rows = spark.createDataFrame([(n,) for n in (0, 1, BLOCK - 1, BLOCK, BLOCK + 1, 3 * BLOCK + 5)], "n bigint")
+    found = rows.select("n", sums(F.when(F.col("n") > 0, F.sequence(F.lit(1).cast("bigint"), "n")).otherwise(F.array().cast("array<bigint>"))).alias("s")).collect()
+    assert all(r.s == [k * (k + 1) // 2 for k in range(1, r.n + 1)] for r in found)
+    assert rows.select(sums(F.lit(None).cast("array<bigint>")).alias("s")).head().s is None

@@ -280,3 +280,20 @@ def test_pages_nest_to_any_depth():
     deep = "<div>" * 20_000 + "<p>a<b>b<i>c</i></b></p>" + "</div>" * 20_000 + "<p>x<code>y<b>z</b></code></p>" + "<b>" * 3_000 + "<p>m"
     found = Reader().read(deep)
     assert [x["type"] for x in found] == ["text"] and found[0]["content"].startswith("a**b*c***\n\nx`yz`")
+
+
+def test_page_bounds_and_sets(spark):
+    from lectern.operators.visibility import on_new_pages, own_through_parent, toggled
+
+    toc = spark.createDataFrame([(1, 0, 3, 0), (1, 1, 5, 1), (1, 2, 5, 0), (1, 3, 9, 2), (2, 0, 1, 0)], "doc_id int, idx int, page int, level int")
+    total = spark.createDataFrame([(1, 20), (2, 7)], "doc_id int, total_pages int")
+    assert sorted(map(tuple, el.page_bounds(toc, total, F.col("idx") < 2).collect())) == [(1, 3, 4), (2, 1, 7)]
+    assert [tuple(r) for r in el.page_bounds(toc, total, F.col("idx") == 3).collect()] == [(1, 9, 20)]
+    sets = spark.createDataFrame([([1, 2, None], [2, 3]), ([], [1]), ([], [])], "a array<int>, b array<int>")
+    assert [sorted(r[0]) for r in sets.select(toggled(F.col("a"), F.col("b"))).collect()] == [[1, 3], [1], []]
+    cards = spark.createDataFrame([(1, 4), (1, 4), (1, 5), (2, 4)], "user_id int, page int")
+    assert sorted(map(tuple, on_new_pages(cards, cards.where("user_id = 1 AND page = 5")).collect())) == [(1, 4), (2, 4)]
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "k int, v string")
+    parents = spark.createDataFrame([(1, 7, True), (2, 8, True), (3, 8, False)], "k int, user_id int, public boolean")
+    found = own_through_parent(rows, parents, spark.createDataFrame([(7,)], "user_id int"), "k")
+    assert sorted((r.k, r.reader) for r in found.collect()) == [(1, 7), (2, None)]
