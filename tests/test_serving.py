@@ -67,7 +67,7 @@ def test_usage_keeps_errors_and_thinking(spark, tmp_path, monkeypatch):
 
         def generate(self, prompt):
             if "late" in prompt:
-                raise TimeoutError("request timeout")
+                raise TimeoutError("fetch failed")
             if "bad" in prompt:
                 raise ValueError("no such prompt")
             return (prompt.upper(), 10, 20, 5) if "think" in prompt else (prompt.upper(), 10, 20)
@@ -81,7 +81,7 @@ def test_usage_keeps_errors_and_thinking(spark, tmp_path, monkeypatch):
     log = spark.read.parquet(f"file://{tmp_path}/log")
     found = {r.chunk_id: r for r in log.collect()}
     assert found[2].thinking_tokens == 5 and found[2].total_tokens == 35 and found[1].thinking_tokens is None and found[1].estimated_cost == pytest.approx((10 * 0.30 + 20 * 2.50) / 1e6)
-    assert found[3].error == "TimeoutError: request timeout" and found[3].estimated_cost is None
+    assert found[3].error == "TimeoutError: fetch failed" and found[3].estimated_cost is None
     assert {r.chunk_id: r.worth_retrying for r in retries(log).collect()} == {3: True, 4: False}
     assert spark.range(1).select(thinking_tokens(F.lit('{"thoughtsTokenCount": 12}')).alias("n"), thinking_tokens(F.lit("x")).alias("m")).head() == (12, None)
 
