@@ -8,7 +8,7 @@ members that could reach the k-th best exact score so far, those alone are resco
 the block's answer. A block's index is built once; then the queries stream by, a few thousand at a time.
 Best lists of all blocks are merged by query.
 
-Defined cases: vectors that are null, empty, or hold a null or a non-finite component take no part; vectors of
+Defined cases: rows without an id, and vectors that are null, empty, or hold a null or a non-finite component, take no part; vectors of
 other lengths are padded with zeros; components are whole numbers of any size and scores
 exact: rows or products that 64 bits might not hold are scored in Python's integers, and a score among the k
 best that is no bigint is an error (as in SQL); ties go to the smaller id, and among rows of one id to either; a query's own row is
