@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.stems import is_stop_word, placed_words, stem
+from lectern.sources import discard, stored
 
 
 def postings(texts: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -30,8 +31,10 @@ def postings(texts: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def write_index(texts: DataFrame, folder: str, key: str, columns: list[str]) -> None:
-    """Writes the index of ``texts`` under ``folder``."""
-    postings(texts, key, columns).repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{folder}/postings")
+    """Writes the index of ``texts`` under ``folder``. Postings are written before they are dealt by ranges: choosing the ranges reads them once more."""
+    rows = stored(postings(texts, key, columns), "postings")
+    rows.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{folder}/postings")
+    discard(rows)
     texts.select(F.col(key).alias("key"), F.size(placed_words(F.concat_ws(" ", *columns))).cast("bigint").alias("words")).write.mode("overwrite").parquet(f"{folder}/lengths")
 
 
