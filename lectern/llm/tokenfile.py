@@ -201,7 +201,9 @@ def read_shards(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFr
     name = F.regexp_extract("path", r"part-(\d+)-.*-c(\d+)[^/]*$", 1), F.regexp_extract("path", r"part-(\d+)-.*-c(\d+)[^/]*$", 2)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
     files = files.where("length > 0").select(*(x.cast("bigint").alias(c) for c, x in zip(("range", "nth"), name, strict=True)), "content")
-    n_ids = F.conv(F.hex(F.reverse(F.substring("content", 17, 8))), 16, 10).cast("bigint")
+    # The head's count, last byte first; ``reverse`` would keep bytes together that look like a character of UTF-8.
+    head = F.hex(F.substring("content", 17, 8))
+    n_ids = F.conv(F.concat(*(F.substring(head, k, 2) for k in range(15, 0, -2))), 16, 10).cast("bigint")
     sizes = stored(files.select("range", "nth", n_ids.alias("n_ids")), "shard-sizes")
     # A row a shard: ids before a range by the ranges' sums, and before a shard within its range.
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

@@ -187,6 +187,12 @@ def test_token_files_hold_all_ids_in_order(spark, folder_of, texts):
     assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
 
 
+def test_starts_behind_shards_of_any_size(spark, docs_of):
+    # 200 ids: the first byte of the head's count, read as text, would begin a character of two bytes.
+    shards = tokenfile.write_shards(docs_of([""] * 1000), public_tokenizers.path("byte_bpe_50k.json"), 2, most=200)
+    assert [r.start for r in tokenfile.read_shards(spark, shards).orderBy("doc_id").collect()] == list(range(1000))
+
+
 def test_token_files_of_an_empty_table(spark, folder_of):
     assert tokenfile.op10_token_files(spark, folder_of([])).count() == 0
 
