@@ -5,6 +5,8 @@ Runs: page keys, nth (order on the page), top, font_size, is_mono, text.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from lectern.functions.folds import running
 from lectern.functions.scores import rounded
 from lectern.functions.text import count_words, is_mono_font, strip
 
-NEAR_PIXELS, PARAGRAPH_GAP, HEADING_SIZE, HEADING_WORDS = 3, 1.5, 1.2, 15
+#: A decimal, so that a line of just 1.2 times the body's size (14.4 to 12) is no heading.
+HEADING_SIZE = Decimal("1.2")
+NEAR_PIXELS, PARAGRAPH_GAP, HEADING_WORDS = 3, 1.5, 15
 
 
 def line_numbers(tops: Column) -> Column:
@@ -53,7 +57,7 @@ def paragraph_text(lines: DataFrame, keys: list[str]) -> DataFrame:
     gaps = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("gap") > 0, F.col("gap")))).alias("gaps"))
     usual = F.coalesce(F.get("gaps", F.floor(F.size("gaps") / 2).cast("int")), F.lit(0))
     rows = rows.join(body, keys).join(gaps.select(*keys, F.floor(usual * PARAGRAPH_GAP).alias("threshold")), keys)
-    is_heading = (F.col("font_size") > F.col("body") * HEADING_SIZE) & (count_words(F.col("text")) <= HEADING_WORDS)
+    is_heading = (F.col("font_size") > (F.col("body") * F.lit(HEADING_SIZE)).cast("double")) & (count_words(F.col("text")) <= HEADING_WORDS)
     rows = rows.withColumn("is_heading", is_heading)
     breaks = F.col("is_heading") | F.coalesce(F.lag("is_heading").over(order), F.lit(False)) | ((F.col("threshold") > 0) & (F.col("gap") > F.col("threshold")))
     before = F.when(F.lag("line").over(order).isNull(), "").when(breaks, "\n\n").otherwise(" ")

@@ -304,3 +304,8 @@ def test_references_that_were_cut(spark):
     row = html_elements(pages, lenient=False).head()
     assert (row["chapter"], row["content"]) == ("a & b &amp", "c && d <e&gt 'f&#39 &notit; &copy=1")
     assert html_elements(pages).head()["chapter"] == "a & b &"
+
+
+def test_a_line_of_just_the_heading_size_is_none(spark):
+    lines = spark.createDataFrame([(1, 0, 10, 12.0, False, "body text of many letters"), (1, 1, 30, 14.4, False, "no heading"), (1, 2, 50, 14.5, False, "a heading")], "page int, line int, top int, font_size double, is_mono boolean, text string")
+    assert layout.paragraph_text(lines, ["page"]).head()["text"] == "body text of many letters no heading\n\n## a heading"
