@@ -6,11 +6,14 @@ of the touches with themselves over an interval of event time: Spark keeps a tou
 its end, so state is bounded by the touches of that time and gets rid of itself. Touches are dealt by machine
 and time slice, so a machine with a third of all touches is many tasks; touches that come late and out of order, up to
 ``late``, are still counted.
+
+That join has a row for each touch and each document still affine. Where only the lists are wanted, ``affine_lists`` makes
+them of a log of touches without those rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.values import AFFINITY_MINUTES
@@ -37,3 +40,19 @@ def affine_documents(found: DataFrame) -> DataFrame:
     """(event_id, machine_id, n_affine, documents): each touch with its affine documents, in order of their ids."""
     each = found.groupBy("event_id", "machine_id").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
     return each.select("event_id", "machine_id", F.size("ids").cast("bigint").alias("n_affine"), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("documents"))
+
+
+def affine_lists(touches: DataFrame, minutes: int = AFFINITY_MINUTES) -> DataFrame:
+    """The rows of ``affine_documents`` from stored ``touches`` (event_id, machine_id, doc_id, at).
+
+    A touch is dealt to its own time slice and, as one that is only looked back at, to the next. A task holds two slices
+    of a machine and a list at a time; what is shuffled grows with the touches, not with their lists.
+    """
+    whole = touches.where("machine_id IS NOT NULL AND doc_id IS NOT NULL AND at IS NOT NULL")
+    time, span = F.unix_micros("at"), minutes * 60_000_000
+    slice_ = F.floor(time / span)
+    places = F.array(F.struct(slice_.alias("slice"), F.lit(True).alias("own")), F.struct((slice_ + 1).alias("slice"), F.lit(False).alias("own")))
+    rows = whole.select("event_id", "machine_id", "doc_id", time.alias("_time"), F.inline(places))
+    lately = Window.partitionBy("machine_id", "slice").orderBy("_time").rangeBetween(-span, 0)
+    lists = rows.withColumn("ids", F.sort_array(F.collect_set("doc_id").over(lately))).where("own")
+    return lists.select("event_id", "machine_id", F.size("ids").cast("bigint").alias("n_affine"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("documents"))

@@ -11,7 +11,7 @@ from lectern.functions.text import count_words
 from lectern.operators import ingest as ig
 from lectern.operators.events import classified, counters, review_states, reviews, scores
 from lectern.operators.scheduler import fair_order
-from lectern.streaming.affinity import affine_documents, affine_touches
+from lectern.streaming.affinity import affine_documents, affine_lists, affine_touches
 from lectern.streaming.feed_sync import FeedSync, accepted, arriving, flushed, run_to_end
 
 START = dt.datetime(2024, 3, 1)
@@ -147,3 +147,13 @@ def test_fair_order_is_that_of_a_loop(spark, visit):
         time[u] += sum(t[3] for t in now) / weight[u]
     found = fair_order(spark.createDataFrame(users, "user_id bigint, tier string, virtual_time double"), spark.createDataFrame(turns, "user_id bigint, turn bigint, document_id bigint, cards bigint"), visit).orderBy("place").collect()
     assert [(r.user_id, r.turn, r.starts_at) for r in found] == want and [r.place for r in found] == list(range(1, len(want) + 1))
+
+
+def test_affine_lists_like_the_join(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([0, 1, None]), rng.choice([*range(9), None]), START + dt.timedelta(minutes=rng.randrange(90))) for i in range(300)]
+    touches = spark.createDataFrame(rows, "event_id bigint, machine_id bigint, doc_id bigint, at timestamp")
+    lists = affine_lists(touches)
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan  # the touches are dealt once, their pairs never
+    assert sorted(lists.collect()) == sorted(affine_documents(affine_touches(touches)).collect())
