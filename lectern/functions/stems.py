@@ -8,6 +8,7 @@ library's. Words of other letters than a to z, and of fewer than three, stand as
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -55,6 +56,24 @@ def stem_sql(word: str) -> str:
     return f"CASE WHEN regexp_matches({word}, '{_STEMMED}') THEN {cut} ELSE {word} END"
 
 
+def _tail(pattern: str) -> str:
+    """The letters that a rule's pattern ends with."""
+    return re.search(r"([a-z~]*)\$$", pattern)[1]
+
+
+_COMPILED = [(_tail(rule), re.compile(rule), new.replace("$", "\\")) for rule, new in RULES]
+
+
+def stem_of(word: str) -> str:
+    """The same as ``stem`` for one word."""
+    if len(word) < 3 or not (word.isascii() and word.isalpha() and word.islower()):
+        return word
+    for tail, rule, new in _COMPILED:
+        if word.endswith(tail):
+            word = rule.sub(new, word)
+    return word
+
+
 def is_stop_word(word: Column) -> Column:
     """Whether a lower-case word is too common to be searched for."""
     return word.isin(*STOP_WORDS)

@@ -1,10 +1,13 @@
 """Stems, and the stored index against plain search."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions.stems import RULES, stem
-from lectern.operators.text_index import TextIndex, write_index
+from lectern.functions.stems import RULES, stem, stem_of
+from lectern.operators import text_index
+from lectern.operators.text_index import TextIndex, postings, write_index
 
 PAIRS = {
     "running": "run", "runs": "run", "run": "run", "hopping": "hop", "hoping": "hope", "hope": "hope", "making": "make", "eating": "eat", "eats": "eat", "cities": "citi", "city": "citi", "caresses": "caress", "ponies": "poni", "agreed": "agree", "agree": "agree",
@@ -42,3 +45,20 @@ def test_searches(spark, index):
 def test_prefixes_reach_the_files(index):
     plan = index.starting("run")._jdf.queryExecution().toString()
     assert "StringStartsWith(term,run)" in plan and index.starting("run").count() == 5
+
+
+def test_stems_of_single_words(spark):
+    rng = random.Random(2)
+    endings = ["", "s", "sses", "ies", "eed", "ed", "ing", "y", "ational", "ization", "iveness", "ful", "ement", "ion", "e", "ll", "ingly"]
+    words = [*PAIRS, *("".join(rng.choice("aeiouybdlnrstwxz") for _ in range(rng.randrange(8))) + rng.choice(endings) for _ in range(3000)), "Run", "ran1", "\u0131ng", "\u00fcberings"]
+    found = spark.createDataFrame([(w,) for w in words], "word string").withColumn("stem", stem(F.col("word"))).collect()
+    assert [r.stem for r in found] == [stem_of(r.word) for r in found]
+
+
+def test_postings_are_made_where_texts_lie(spark, monkeypatch):
+    monkeypatch.setattr(text_index, "_WORDS", 7)  # cuts batches between texts; one of more words stays whole
+    texts = [None, "", "the", "a cat and cats, Cat", "dogs " * 20, "x", "cat dog"] * 5
+    rows = postings(spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1), "id", ["text"])
+    assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = {3: {"cat": [1, 3, 4]}, 4: {"dog": list(range(20))}, 5: {"x": [0]}, 6: {"cat": [0], "dog": [1]}}
+    assert sorted((r.key, r.term, r.places) for r in rows.collect()) == sorted((i, t, p) for i in range(35) for t, p in want.get(i % 7, {}).items())
