@@ -73,7 +73,11 @@ def sentence_groups(text: Column, most: int = CHUNK_MOST) -> Column:
 
 def chunks(parts: DataFrame, key: str = "doc_id", least: int = CHUNK_LEAST, most: int = CHUNK_MOST) -> DataFrame:
     """key, chunk_index, content, word_count, chapter, language from ``segments``."""
-    placed = parts.join(packing(parts, key, least, most), [key, "segment_index"])
+    # A text's segments are gathered once; what follows is by text too, so contents are dealt once.
+    row = F.struct("segment_index", "word_count", "is_chapter_start", "content", "chapter")
+    lists = parts.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("s"))
+    ids = packed_ids(F.col("s.word_count"), F.col("s.is_chapter_start"), least, most)
+    placed = lists.select(key, F.explode(F.arrays_zip("s", ids.alias("chunk"))).alias("x")).select(key, "x.s.*", F.col("x.chunk").cast("bigint").alias("chunk"))
     packed = placed.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(F.struct("segment_index", "content"))).alias("s"), F.sum("word_count").alias("words"), F.min_by("chapter", "segment_index").alias("chapter"))
     joined = F.array_join(F.col("s.content"), "\n\n")
     # Only a segment by itself can be over the limit without being packed so.
@@ -105,11 +109,16 @@ def regrouped(parts: DataFrame, replies: DataFrame, key: str = "doc_id", size: i
     step = size - overlap
     fresh = F.when(F.col("window") == 0, 0).otherwise(F.col("window") * step + overlap)
     groups = replies.select(key, "window", F.posexplode("groups").alias("nth", "members")).where(F.element_at("members", -1) >= fresh).select(key, "window", "nth", F.filter("members", lambda i: i >= fresh).alias("members"))
-    number = F.row_number().over(Window.partitionBy(key).orderBy("window", "nth"))
-    numbered = groups.withColumn("chunk_index", (number - 1).cast("bigint"))
-    named = numbered.select(key, "chunk_index", F.posexplode("members").alias("place", "segment_index"))
-    rows = named.join(parts, [key, "segment_index"])
-    return rows.groupBy(key, "chunk_index").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "content"))), lambda x: x["content"]), "\n\n").alias("content"),
-        F.sum("word_count").alias("word_count"), F.min_by("chapter", "place").alias("chapter"), F.min_by("language", "place").alias("language"),
-    )
+    # Both sides are gathered by text and meet there, so contents are dealt once. A segment's index is its place among its text's.
+    named = groups.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("window", "nth", "members"))), lambda g: g["members"]).alias("groups"))
+    row = F.struct("segment_index", "content", "word_count", "chapter", "language")
+    lists = parts.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("s"))
+    own = lambda members: F.filter(F.transform(members, lambda i: F.get("s", i.cast("int"))), lambda x: x.isNotNull())
+
+    def chunk(members: Column, nth: Column) -> Column:
+        x = own(members)
+        words = F.aggregate(x, F.lit(0).cast("bigint"), lambda n, y: n + y["word_count"])
+        return F.struct(nth.cast("bigint").alias("chunk_index"), F.array_join(F.transform(x, lambda y: y["content"]), "\n\n").alias("content"), words.alias("word_count"), F.get(x, F.lit(0))["chapter"].alias("chapter"), F.get(x, F.lit(0))["language"].alias("language"), F.size(x).alias("n"))
+
+    rows = lists.join(named, key).select(key, F.inline(F.transform("groups", chunk)))
+    return rows.where("n > 0").drop("n")

@@ -309,3 +309,21 @@ def test_references_that_were_cut(spark):
 def test_a_line_of_just_the_heading_size_is_none(spark):
     lines = spark.createDataFrame([(1, 0, 10, 12.0, False, "body text of many letters"), (1, 1, 30, 14.4, False, "no heading"), (1, 2, 50, 14.5, False, "a heading")], "page int, line int, top int, font_size double, is_mono boolean, text string")
     assert layout.paragraph_text(lines, ["page"]).head()["text"] == "body text of many letters no heading\n\n## a heading"
+
+
+def test_contents_are_dealt_once(spark, tmp_path):
+    texts = spark.createDataFrame([(i, "one two three four five six seven eight nine ten eleven\n\n" * 30) for i in range(4)], "doc_id bigint, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if no side were small
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = segment.chunks(segment.segments(texts))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and made.count() == 4
+        parts = spark.createDataFrame([(k, i, f"{k}-{i}", 5, None, "en") for k in range(3) for i in range(4)], "doc_id bigint, segment_index bigint, content string, word_count bigint, chapter string, language string")
+        replies = spark.createDataFrame([(k, 0, [[0, 9], [1, 2], [8]]) for k in range(2)], "doc_id bigint, window bigint, groups array<array<int>>")
+        found = segment.regrouped(parts, replies)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # one of each side
+        assert sorted((r.doc_id, r.content, r.word_count) for r in found.collect()) == [(k, c, n) for k in range(2) for c, n in ((f"{k}-0", 5), (f"{k}-1\n\n{k}-2", 10))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
