@@ -9,14 +9,16 @@ a failure reads the marks of the steps before and writes over its own files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.folds import running
 from lectern.functions.text import count_words, heading, paragraphs
 from lectern.functions.values import CHUNK_LEAST, CHUNK_MOST
 from lectern.operators import segment
 from lectern.operators.numbering import running_sums
 from lectern.operators.scheduler import next_status
+from lectern.sources import discard, stored
 
 CHUNK = "doc_id bigint, chunk_index bigint, chunk_type string, content string, chapter string, word_count bigint, language string"
 MARK = "doc_id bigint, done bigint, total bigint, next_index bigint, step bigint"
@@ -66,13 +68,15 @@ class Ingestion:
         until = F.col("total") if limit is None else F.least(F.col("done") + limit, F.col("total"))
         state = state.withColumn("until", until)
         remaining = elements.join(state.select("doc_id", "done", "until"), "doc_id").where("pos >= done AND pos < until").drop("done", "until")
-        made = element_chunks(remaining, least, most)
+        # Written before it is numbered: the numbers start from counts of it, and making it twice would cut each text twice.
+        made = stored(element_chunks(remaining, least, most), "made-chunks")
         # Parts of an element before it count as well: an element's place is (pos, part).
         before = made.groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias("n"))
-        placed = running_sums(before, ["doc_id"], "pos", upto=F.col("n")).select("doc_id", "pos", (F.col("upto") - F.col("n")).alias("first"))
-        numbered = made.join(placed, ["doc_id", "pos"]).join(state.select("doc_id", "next_index"), "doc_id")
-        rows = numbered.select("doc_id", (F.col("next_index") + F.col("first") + F.col("part")).alias("chunk_index"), "chunk_type", "content", "chapter", "word_count", "language")
+        placed = running_sums(before, ["doc_id"], "pos", upto=F.col("n")).join(state.select("doc_id", "next_index"), "doc_id")
+        firsts = placed.select("doc_id", "pos", (F.col("next_index") + F.col("upto") - F.col("n")).alias("first"))
+        rows = made.join(firsts, ["doc_id", "pos"]).select("doc_id", (F.col("first") + F.col("part")).alias("chunk_index"), "chunk_type", "content", "chapter", "word_count", "language")
         rows.write.mode("overwrite").parquet(f"{self.folder}/chunks/step={number}")
+        discard(made)
         added = self.spark.read.schema(CHUNK).parquet(f"{self.folder}/chunks/step={number}").groupBy("doc_id").agg(F.count(F.lit(1)).alias("added"))
         marked = state.join(added, "doc_id", "left").select("doc_id", F.col("until").alias("done"), "total", (F.col("next_index") + F.coalesce("added", F.lit(0))).alias("next_index"), F.lit(number).cast("bigint").alias("step"))
         marked.write.mode("overwrite").parquet(f"{self.folder}/marks/step={number}")
@@ -98,8 +102,9 @@ def ingest(elements: DataFrame, folder: str, limit: int | None = None) -> Ingest
 
 
 def line_elements(texts: DataFrame, is_code: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts as elements, a line each, under the heading before: doc_id, pos, type, content, chapter, language."""
-    cut = texts.select(F.col(key).alias("doc_id"), F.posexplode(paragraphs(F.col(text))).alias("pos", "content")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "content")
-    named = cut.withColumn("_heading", heading(F.col("content")))
-    chapter = F.last("_heading", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("pos"))
-    return named.select("doc_id", "pos", F.when(is_code, "code").otherwise("text").alias("type"), "content", chapter.alias("chapter"), F.lit(None).cast("string").alias("language"))
+    """Texts as elements, a line each, under the heading before: doc_id, pos, type, content, chapter, language. Headings are carried on within a text's own row."""
+    cut = texts.select(F.col(key).alias("doc_id"), paragraphs(F.col(text)).alias("content"))
+    named = cut.select("doc_id", "content", F.transform("content", heading).alias("heading"))
+    carried = running(F.col("heading"), F.lit(None).cast("string"), "string", lambda last, own: (F.coalesce(own, last), F.coalesce(own, last)))
+    rows = named.select("doc_id", F.posexplode(F.arrays_zip("content", carried.alias("chapter"))).alias("pos", "x")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "x.*")
+    return rows.select("doc_id", "pos", F.when(is_code, "code").otherwise("text").alias("type"), "content", "chapter", F.lit(None).cast("string").alias("language"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators.ingest import Ingestion, ingest, line_elements
 from lectern.plans.registry import query
 from lectern.plans.texts import _SA, _SEGMENTS_SQL, _grouped_sql, _words, spaced
-from lectern.sources import fresh_path
+from lectern.sources import fresh_path, stored
 
 _FIRST_RUN = 5
 _INGEST_SQL = f"""
@@ -32,7 +32,7 @@ def _elements(spark: SparkSession, folder: str) -> DataFrame:
 
 def _two_runs(spark: SparkSession, folder: str) -> Ingestion:
     """The first run stops after some elements of each document; the second does the rest."""
-    elements, path = _elements(spark, folder), fresh_path(spark, "ingestion")
+    elements, path = stored(_elements(spark, folder), "elements"), fresh_path(spark, "ingestion")  # both runs start from them, each several times
     Ingestion(spark, path).step(elements, 0, _FIRST_RUN)
     return ingest(elements, path)
 

@@ -157,3 +157,11 @@ def test_affine_lists_like_the_join(spark):
     plan = lists._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan  # the touches are dealt once, their pairs never
     assert sorted(lists.collect()) == sorted(affine_documents(affine_touches(touches)).collect())
+
+
+def test_lines_are_elements_without_a_shuffle(spark):
+    texts = spark.createDataFrame([(1, "a b\n\n# One\n\nc\n\nd\n\nCHAPTER TWO\n\ne"), (2, "f"), (3, ""), (4, None)], "doc_id bigint, text string")
+    rows = ig.line_elements(texts, F.col("content") == "d")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = [(0, "text", "a b", None), (1, "text", "# One", "One"), (2, "text", "c", "One"), (3, "code", "d", "One"), (4, "text", "CHAPTER TWO", "CHAPTER TWO"), (5, "text", "e", "CHAPTER TWO")]
+    assert sorted((r.doc_id, r.pos, r.type, r.content, r.chapter) for r in rows.collect()) == [*((1, *w) for w in want), (2, 0, "text", "f", None)]
