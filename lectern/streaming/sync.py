@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +40,14 @@ def reviewed(repetition: int, interval: float, ease: float, grade: int) -> tuple
 
 def _moved_on(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     now = state.get if state.exists else (0, FIRST_INTERVAL, FIRST_EASE)
-    rows = pd.concat(list(batches)).sort_values(["created_at", "event_id"])
-    for grade in rows["grade"]:
+    # Most keys have a few rows: columns as arrays, as a sorted frame for each key takes far longer than its reviews.
+    frames = list(batches)
+    times, events, grades = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("created_at", "event_id", "grade"))
+    order = np.lexsort((events, times))
+    for grade in grades[order].tolist():
         now = reviewed(*now, int(grade))
     state.update(now)
-    yield pd.DataFrame({"user_id": [key[0]], "card_id": [key[1]], "sr_repetition": [now[0]], "sr_interval_days": [now[1]], "sr_ease_factor": [now[2]], "reviewed_at": [rows["created_at"].iloc[-1]]})
+    yield pd.DataFrame({"user_id": [key[0]], "card_id": [key[1]], "sr_repetition": [now[0]], "sr_interval_days": [now[1]], "sr_ease_factor": [now[2]], "reviewed_at": times[order[-1:]]})
 
 
 def running_reviews(graded: DataFrame) -> DataFrame:
