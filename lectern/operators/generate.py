@@ -20,6 +20,10 @@ from lectern.functions.cards import prompt, reply_cards, summary
 from lectern.functions.values import SUMMARIES_KEPT
 
 
+#: Bytes of prompts that a Python worker gets at a time, unless the session says otherwise, and texts that it reads at a time.
+_BATCH, _BATCH_BYTES, _TEXTS = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", 64
+
+
 class Provider(Protocol):
     """A text model. It is made anew in each Python worker, so it need not be picklable."""
 
@@ -61,14 +65,15 @@ def replies(provider: str = "offline") -> Callable[[Column], Column]:
         model = make()
         for batch in prompts:
             rows = []
-            for text in batch.to_pylist():
-                began = time.monotonic()
-                try:
-                    reply, tokens_in, tokens_out, *thinking = model.generate(text)
-                    row = [reply, tokens_in, tokens_out, thinking[0] if thinking else None, model.model, None]
-                except Exception as error:  # whatever a remote model raises; the row stays, without a reply
-                    row = [None, None, None, None, model.model, f"{type(error).__name__}: {error}"]
-                rows.append([*row, int(1000 * (time.monotonic() - began))])
+            for first in range(0, len(batch), _TEXTS):  # a few texts at a time as Python's strings
+                for text in batch.slice(first, _TEXTS).to_pylist():
+                    began = time.monotonic()
+                    try:
+                        reply, tokens_in, tokens_out, *thinking = model.generate(text)
+                        row = [reply, tokens_in, tokens_out, thinking[0] if thinking else None, model.model, None]
+                    except Exception as error:  # whatever a remote model raises; the row stays, without a reply
+                        row = [None, None, None, None, model.model, f"{type(error).__name__}: {error}"]
+                    rows.append([*row, int(1000 * (time.monotonic() - began))])
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
@@ -85,6 +90,9 @@ def card_prompts(chunks: DataFrame) -> DataFrame:
 
 def generated_cards(chunks: DataFrame, provider: str = "offline") -> DataFrame:
     """(doc_id, pos, nth, card_type, content): the cards that a model makes of each chunk."""
+    session = chunks.sparkSession
+    if session.conf.get(_BATCH, None) is None:
+        session.conf.set(_BATCH, _BATCH_BYTES)
     asked = card_prompts(chunks).withColumn("answer", replies(provider)(F.col("prompt")))
     made = asked.withColumn("cards", reply_cards(F.coalesce("answer.reply", F.lit("")), F.col("card_types")))
     return made.select("doc_id", "pos", F.posexplode("cards").alias("nth", "card")).select("doc_id", "pos", "nth", "card.card_type", "card.content")

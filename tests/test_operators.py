@@ -1,5 +1,6 @@
 """Operators on small tables: documents, pages, contents, scheduling, streams."""
 
+import json
 import random
 import re
 
@@ -327,3 +328,19 @@ def test_contents_are_dealt_once(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_model_gets_a_few_megabytes_at_a_time(spark, monkeypatch):
+    class Counting:
+        model = "counting"
+
+        def generate(self, prompt):
+            import sys
+
+            batch = sys._getframe(1).f_locals["batch"]
+            return json.dumps([{"type": "discover", "content": {"title": "t", "body": str(batch.nbytes)}}]), 1, 1
+
+    monkeypatch.setitem(PROVIDERS, "counting", Counting)
+    chunks = spark.range(1500).coalesce(1).selectExpr("id AS doc_id", "0 AS pos", "'text' AS chunk_type", "repeat('word ', 4000) AS content", "'en' AS language", "'b' AS title", "array('discover') AS card_types", "CAST(array() AS array<struct<alt:string>>) AS images", "CAST(array() AS array<string>) AS summaries")
+    most = generated_cards(chunks, "counting").select(F.max(F.get_json_object("content", "$.body").cast("bigint"))).head()[0]
+    assert 0 < most < 8 << 20
