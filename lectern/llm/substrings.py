@@ -177,7 +177,7 @@ def _by_shard(cold: DataFrame, n_bytes: int, length: int) -> DataFrame:
 
 
 def _by_window(hot: DataFrame, n_bytes: int, length: int) -> DataFrame:
-    """(h, f, runs) of the segments of anchors that are too common for one shard: their windows, packed and dealt by hash."""
+    """(h, f, windows), in parts, of the segments of anchors that are too common for one shard: their windows, packed and dealt by hash."""
     buckets = max(1, -(-n_bytes * 8 // SHARD_BYTES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +210,17 @@ def _by_window(hot: DataFrame, n_bytes: int, length: int) -> DataFrame:
             return
         heads = np.flatnonzero(np.append(True, (found["h"][1:] != found["h"][:-1]) | (found["f"][1:] != found["f"][:-1])))
         own = np.split(found["w"].astype(np.int32), heads[1:])
-        yield pa.RecordBatch.from_arrays([pa.array(found["h"][heads]), pa.array(found["f"][heads]), pa.array([np.repeat(x, 2) for x in own], pa.list_(pa.int32()))], ["h", "f", "runs"])
+        yield pa.RecordBatch.from_arrays([pa.array(found["h"][heads]), pa.array(found["f"][heads]), pa.array(own, pa.list_(pa.int32()))], ["h", "f", "windows"])
 
     dealt = hot.select("h", "f", "passage").mapInArrow(deal, "bucket bigint, packed binary")
-    return dealt.repartition(buckets, "bucket").mapInArrow(count, "h bigint, f bigint, runs array<int>")
+    return dealt.repartition(buckets, "bucket").mapInArrow(count, "h bigint, f bigint, windows array<int>")
+
+
+def _joined_windows(found: DataFrame) -> DataFrame:
+    """(h, f, runs) from lists of a segment's windows (h, f, windows): windows in a row are one run."""
+    shifted = lambda by: F.array_except("windows", F.transform("windows", lambda w: w + F.lit(by)))
+    whole = found.groupBy("h", "f").agg(F.array_sort(F.flatten(F.collect_list("windows"))).alias("windows"))
+    return whole.select("h", "f", F.flatten(F.zip_with(shifted(1), shifted(-1), lambda first, last: F.array(first, last))).alias("runs"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -231,10 +238,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     wanted = kinds.join(common, "h", "left").fillna({"hot": False})
     passages = stored(_cut_out(narrowed(docs, kinds.select("doc").distinct(), "left_semi"), wanted, length), "passages")
     n_cold, n_hot = passages.agg(*(F.coalesce(F.sum(F.when(c, F.length("passage"))), F.lit(0)) for c in (~F.col("hot"), F.col("hot")))).head()
-    runs = _by_shard(passages.where(~F.col("hot")), n_cold, length)
+    runs = _by_shard(passages.where(~F.col("hot")), n_cold, length).where(F.size("runs") > 0)
     if n_hot:
-        runs = runs.unionByName(_by_window(passages.where("hot"), n_hot, length))
-    runs = stored(runs.where(F.size("runs") > 0).groupBy("h", "f").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+        runs = runs.unionByName(_joined_windows(_by_window(passages.where("hot"), n_hot, length)))
+    runs = stored(runs, "runs")
     discard(passages)
     judged = stored(kinds.join(runs, ["h", "f"], "left").select("h", "f", "c", "runs").where("c > 1 OR runs IS NOT NULL"), "judged-kinds")
     pack = lambda a, b: F.shiftleft(F.col("at").cast("bigint") + a, 31) + F.col("at") + b + length
@@ -242,7 +249,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     whole = met.where(~F.col("differ")).select("doc", F.array(pack(F.lit(0), last)).alias("spans"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda k: pack(F.get("runs", k), F.get("runs", k + 1)))
     part = met.where("differ").join(judged, ["h", "f"]).select("doc", F.when(F.col("c") > 1, F.array(pack(F.lit(0), last))).otherwise(pairs).alias("spans"))
-    spans = stored(whole.unionByName(part).select("doc", F.explode("spans").alias("span")).groupBy("doc").agg(F.collect_set("span").alias("spans")), "spans")
+    # A segment's spans go to its document as one list; lists of one document differ unless its row stands twice.
+    spans = stored(whole.unionByName(part).groupBy("doc").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
     for used in (met, kinds, runs, judged):
         discard(used)
     return spans

@@ -163,6 +163,16 @@ def test_repeated_passages(docs_of, hot):
         assert (sum(b - a + 1 for a, b in zip(runs[::2], runs[1::2], strict=True)), len(runs) // 2) == (n_removed, n_spans)
 
 
+def test_spans_of_a_common_passage_do_not_multiply(docs_of):
+    """However its segments are judged, a passage gives a document the same few spans, and not one for each window."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choices("klmnop", k=n))
+    shared = noise(400)
+    docs = docs_of([noise(90) + shared + noise(90) for _ in range(6)]).select(F.col("doc_id").alias("doc"), "text")
+    split, whole = ({r.doc: sorted(r.spans) for r in substrings.repeated_spans(docs, 60, hot).collect()} for hot in (1, substrings.HOT))
+    assert split == whole and len(split) == 6
+
+
 def test_passages_query_on_documents(spark):
     rows = {r.doc_id: r for r in substrings.op3_substrings(spark, SF).collect()}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
