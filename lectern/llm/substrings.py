@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.suffixes import PrefixHashes, permuted_common_prefixes, suffix_array
+from lectern.llm.suffixes import PrefixHashes, permuted_joins, suffix_array
 from lectern.llm.text import range_hashes, slices, utf8
 from lectern.sources import discard, stored, table
 
@@ -138,9 +138,8 @@ def shard_repeats(passages: list[bytes], length: int = LENGTH) -> tuple[np.ndarr
     text += 2
     text[stops] = 1
     order = suffix_array(np.append(text, 0))
-    prefix = permuted_common_prefixes(np.append(text, 0), order, length)
     # A prefix may run over the end of a passage; a window that lies in its passage has no such prefix.
-    joined = prefix[order] >= length
+    joined = permuted_joins(np.append(text, 0), order, length)[order]
     twice = joined.copy()
     twice[:-1] |= joined[1:]
     marks = np.zeros(len(text) + 1, bool)

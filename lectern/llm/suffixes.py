@@ -1,9 +1,8 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, on numpy arrays.
 
 Suffixes are classified as larger or smaller than their successor; the substrings between leftmost
-smaller ones are sorted by inducing, named, and sorted recursively where names repeat; the order of all
-suffixes is then induced from theirs in two linear scans. Over a small alphabet a scan handles a bucket
-at a time; over the names of a recursion it goes place by place.
+smaller ones are sorted by inducing and named; where names repeat, the string of names is sorted by
+doubling; the order of all suffixes is then induced from theirs in two linear scans, a bucket at a time.
 """
 
 from __future__ import annotations
@@ -20,17 +19,18 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n < 3:
         return np.arange(n)[::-1].copy()
+    if int(text.max()) >= _SMALL:
+        return _by_doubling(text)
     smaller = _smaller(text)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    induce = _induce_by_bucket if int(text.max()) < _SMALL else _induce_by_place
-    order = induce(text, smaller, lms)
+    order = _induce_by_bucket(text, smaller, lms)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ranked = order[is_lms[order]]
     names, kinds = _names(text, lms, ranked)
     if kinds < len(lms):
-        ranked = lms[suffix_array(names)]
-    return induce(text, smaller, ranked)
+        ranked = lms[_by_doubling(names)]
+    return _induce_by_bucket(text, smaller, ranked)
 
 
 def _smaller(text: np.ndarray) -> np.ndarray:
@@ -132,33 +132,29 @@ def _deal(out: np.ndarray, at: np.ndarray, symbols: np.ndarray, found: np.ndarra
     at += step * np.bincount(ordered, minlength=len(at))
 
 
-def _induce_by_place(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+def _by_doubling(text: np.ndarray) -> np.ndarray:
+    """Suffix array of a string of any symbols that ends in a single least one.
+
+    Suffixes that agree in so many symbols are ranked by what follows those, which twice as many then decide;
+    suffixes that stand alone are done.
+    """
     n = len(text)
-    counts = np.bincount(text)
-    ends = np.cumsum(counts).tolist()
-    symbols, small = text.tolist(), smaller.tolist()
-    out = [-1] * n
-    tail = list(ends)
-    for p in seeds[::-1].tolist():
-        c = symbols[p]
-        tail[c] -= 1
-        out[tail[c]] = p
-    head = [0, *ends[:-1]]
-    for k in range(n):
-        p = out[k] - 1
-        if p >= 0 and not small[p]:
-            c = symbols[p]
-            out[head[c]] = p
-            head[c] += 1
-    tail = list(ends)
-    for k in range(n - 1, -1, -1):
-        p = out[k] - 1
-        if p >= 0 and small[p]:
-            c = symbols[p]
-            tail[c] -= 1
-            out[tail[c]] = p
-    out[0] = n - 1
-    return np.array(out, np.int64)
+    order = np.argsort(text, kind="stable")
+    rank = np.empty(n, np.int64)
+    slots, key = np.arange(n), text[order].astype(np.int64)
+    step = 0
+    while len(slots):
+        places = order[slots]
+        if step:  # no such suffix ends within ``step`` symbols: the last symbol stands once
+            key = rank[places] * n + rank[places + step]
+            sort = np.argsort(key, kind="stable")
+            places, key = places[sort], key[sort]
+            order[slots] = places
+        head = np.append(True, key[1:] != key[:-1])
+        rank[places] = slots[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        slots = slots[~(head & np.append(head[1:], True))]
+        step = max(1, 2 * step)
+    return order
 
 
 class PrefixHashes:
@@ -177,6 +173,22 @@ class PrefixHashes:
     def of(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         return (self.total[start + size] - self.total[start]) * self.down[start]
 
+    def of_all(self, size: int) -> np.ndarray:
+        """``of`` for every start that has ``size`` symbols from it on."""
+        n = max(0, len(self.total) - size)
+        return (self.total[size:] - self.total[:n]) * self.down[:n]
+
+
+def permuted_joins(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """For each place in the text whether its suffix and the one before it in order have ``length`` symbols in common."""
+    n = len(text)
+    out = np.zeros(n, bool)
+    windows = PrefixHashes(text).of_all(length)
+    whole = order < len(windows)
+    both = np.flatnonzero(whole[1:] & whole[:-1]) + 1
+    out[order[both]] = windows[order[both]] == windows[order[both - 1]]
+    return out
+
 
 def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each place in the text the common prefix, up to ``most``, of its suffix with the one before it in order."""

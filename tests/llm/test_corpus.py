@@ -148,6 +148,20 @@ def test_suffix_array_by_place_is_the_same():
     assert suffixes.suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 3), min_size=0, max_size=200), st.integers(1, 9))
+def test_joins_are_common_prefixes_of_a_length(symbols, length):
+    text = np.array([*symbols, 0])
+    order = suffixes.suffix_array(text)
+    joins = suffixes.permuted_joins(text, order, length)
+    assert joins.tolist() == (suffixes.permuted_common_prefixes(text, order, length) >= length).tolist()
+
+
+def test_suffixes_of_many_symbols_that_repeat_at_length():
+    text = np.append(np.tile(np.r_[np.arange(1, 700), 5, 5], 6), 0)
+    assert suffixes.suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+
+
 @pytest.mark.parametrize("hot", [1, substrings.HOT])
 def test_repeated_passages(docs_of, hot):
     random.seed(hot)
