@@ -29,6 +29,8 @@ _RUNS = re.compile(r"\s\s\s|\s\s\Z")
 #: White space beside the blank and the line feed; and characters that a library's rules for white space may see otherwise.
 _ODD = [chr(i) for i in (0x00, 0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
+_WHITE = re.compile("[\\s" + "".join(map(re.escape, _ODD)) + "]")
+
 
 def leading_space_pieces(text: str) -> list[str] | None:
     """Pieces for vocabularies whose words carry one leading blank; None where the text must stay whole.
@@ -130,8 +132,9 @@ class PieceMemory:
 def library_memory(path: str, drops_space: bool) -> PieceMemory:
     """A memory over the ``tokenizers`` library for the vocabulary file at ``path``; one a Python worker.
 
-    Special tokens' strings in a text give those tokens, as the library does by itself. New pieces go to
-    it joined by a special token; pieces that could hold or make one, or are long, go singly.
+    Special tokens' strings in a text give those tokens, as the library does by itself. New words that carry
+    their blank go to it as one text, in which tokens are dealt to words by their bytes; other pieces joined by a
+    special token; pieces that could hold or make one, or are long, singly.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -140,21 +143,47 @@ def library_memory(path: str, drops_space: bool) -> PieceMemory:
     mark = "<|endoftext|>"
     mark_id = library.token_to_id(mark)
 
+    lengths = np.array([len(library.id_to_token(k) or "") for k in range(library.get_vocab_size())], np.int64)
+
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def in_a_row(group: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, how many each has) of words with a blank before each as one text; None where the tokens' bytes are not the words'."""
+        found = ids_of("".join(group))
+        at = np.append(0, np.cumsum(lengths[found]))
+        ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in group])
+        last = np.searchsorted(at, ends)
+        if at[-1] != ends[-1] or (at[last] != ends).any():
+            return None
+        return found, np.diff(last, prepend=0)
+
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        single = np.array([len(p) > 1000 or "<|" in p or "|>" in p or p[0] == ">" or p[-1] == "<" for p in pieces], bool)
-        joined, apart = np.flatnonzero(~single), np.flatnonzero(single)
-        ids, counts = [], []
+        words = np.array([not drops_space and p[0] == " " and 1 < len(p) <= LONGEST and not _WHITE.search(p, 1) and "<|" not in p and "|>" not in p for p in pieces], bool)
+        single = np.array([len(p) > 1000 or "<|" in p or "|>" in p or p[0] == ">" or p[-1] == "<" for p in pieces], bool) & ~words
+        ids, counts, order = [], [], []
+        places = np.flatnonzero(words)
+        for first in range(0, len(places), 4000):
+            own = places[first : first + 4000]
+            found = in_a_row([pieces[k] for k in own])
+            if found is None:  # no vocabulary of bytes: one by one
+                single[own] = True
+                continue
+            order.append(own)
+            ids.append(found[0])
+            counts.append(found[1])
+        joined, apart = np.flatnonzero(~single & ~words), np.flatnonzero(single)
         for first in range(0, len(joined), 4000):
             group = [pieces[k] for k in joined[first : first + 4000]]
-            found = np.array(library.encode_batch_fast([mark.join(group)], add_special_tokens=False)[0].ids, np.uint32)
+            found = ids_of(mark.join(group))
             breaks = found == mark_id
             ids.append(found[~breaks])
             counts.append(np.diff(np.flatnonzero(breaks), prepend=-1, append=len(found)) - 1)
             assert len(counts[-1]) == len(group)
         for k in apart:
-            ids.append(np.array(library.encode_batch_fast([pieces[k]], add_special_tokens=False)[0].ids, np.uint32))
+            ids.append(ids_of(pieces[k]))
             counts.append(np.array([len(ids[-1])]))
-        return np.concatenate([joined, apart]), np.concatenate(ids), np.concatenate(counts)
+        return np.concatenate([*order, joined, apart]), np.concatenate(ids), np.concatenate(counts)
 
     return PieceMemory(blank_pieces if drops_space else leading_space_pieces, encode)
 
