@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scores import engagement, first_state, repeated, review_grade, valid_grade
-from lectern.functions.values import LIKE_GRADE, REVIEWED_DAYS_LIMIT, REVIEW_TYPES
+from lectern.functions.values import CARD_ACTIONS, LIKE_GRADE, REVIEWED_DAYS_LIMIT, REVIEW_TYPES
 
 KEY = ("user_id", "card_id")
 COUNTERS = ("times_shown", "times_engaged", "times_skipped")
@@ -102,6 +102,33 @@ def active_actions(actions: DataFrame) -> DataFrame:
     return toggles.where(F.col("n") % 2 == 1).drop("n")
 
 
+def card_states(cards: DataFrame, impressions: DataFrame, actions: DataFrame, tasks: int) -> DataFrame:
+    """``cards`` (KEY, card_type, right_choice, ...) with counters, times_looked_at, last_shown_at, sr_repetition, sr_due_at and the sorted ``actions`` that are switched on.
+
+    The same as ``counters``, ``review_states`` and ``active_actions`` joined to the cards, but everything about
+    a card meets in one shuffle. Cards that were shown and are not in ``cards`` have a row too, its columns null.
+    """
+    own = [c for c in cards.columns if c not in KEY]
+    asked = F.col("was_sr_due") | F.col("self_grade").isNotNull() | F.col("quiz_selected_index").isNotNull()
+    shown = impressions.select(*KEY, F.lit(True).alias("_shown"), F.col("created_at").alias("_at"), "dwell_ms", asked.alias("_asked"), F.when(asked, F.col("event_id")).alias("event_id"), "self_grade", "quiz_selected_index")
+    rows = cards.unionByName(shown, allowMissingColumns=True).unionByName(actions.select(*KEY, "action"), allowMissingColumns=True).repartition(tasks, *KEY)
+    kind, review = engagement(F.col("dwell_ms")), F.struct(F.col("_at").alias("at"), "event_id", "self_grade", "quiz_selected_index", "dwell_ms")
+    found = rows.groupBy(*KEY).agg(
+        *(F.first(c, ignorenulls=True).alias(c) for c in own),
+        F.count("_shown").alias("times_shown"), F.count_if(kind == "engaged").alias("times_engaged"), F.count_if(kind == "scrolled_past").alias("times_skipped"), F.count_if(kind.isin("glanced", "engaged")).alias("times_looked_at"),
+        F.max("_at").alias("last_shown_at"), F.collect_list(F.when(F.col("_asked"), review)).alias("_reviews"), *(F.count_if(F.col("action") == a).alias(f"_{a}") for a in CARD_ACTIONS),
+    )
+    reviews = F.when(F.col("card_type").isin(*REVIEW_TYPES) & (F.size("_reviews") > 0), F.array_sort("_reviews"))
+    grade = lambda r: review_grade(r["self_grade"], r["quiz_selected_index"], F.col("right_choice"), F.col("card_type") == "quiz", r["dwell_ms"])
+    folded = F.aggregate("_reviews", first_state(), lambda state, r: repeated(state, grade(r)))
+    found = found.withColumn("_reviews", reviews).withColumn("_s", folded)
+    active = F.array_compact(F.array(*(F.when(F.col(f"_{a}") % 2 == 1, a) for a in sorted(CARD_ACTIONS))))
+    return found.select(
+        *KEY, *own, *COUNTERS, "times_looked_at", "last_shown_at",
+        F.coalesce("_s.repetition", F.lit(0)).alias("sr_repetition"), due_at(F.element_at("_reviews", -1)["at"], F.col("_s.interval")).alias("sr_due_at"), active.alias("actions"),
+    )
+
+
 def dwell_times(owners: DataFrame) -> DataFrame:
     """How long each card held the view: until the next card of its user took over (the last is still open).
 

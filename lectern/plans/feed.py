@@ -13,88 +13,95 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import scores as sc
-from lectern.functions.values import CARD_TYPE_ORDER, COMPANION_TYPES, FEED_LIMIT, INTRO_TYPES, OTHER_TYPE_ORDER, OVER_FETCH
+from lectern.functions.values import CARD_TYPE_ORDER, COMPANION_TYPES, FEED_LIMIT, INTRO_TYPES, MASTERED_ENGAGEMENTS, MASTERED_REPETITIONS, OTHER_TYPE_ORDER, OVER_FETCH
+from lectern.operators import events as ev
 from lectern.operators import gates
 from lectern.operators.events import counters
 from lectern.operators.search import featured
 from lectern.plans.engagement import _COOLDOWN, _MASTERY, _PREREQUISITE, affinity
 from lectern.plans.registry import query
 from lectern.plans.views import MANY, Views, as_of, with_views
-from lectern.sources import stored, table
+from lectern.sources import table
+from lectern.sources.tables import n_tasks
 
 KEYS = ["user_id", "card_id"]
+EVENTS_A_TASK = 100_000
 
 
 def _type_order(column: str = "card_type"):
     return F.coalesce(*(F.when(F.col(column) == t, k) for t, k in CARD_TYPE_ORDER.items()), F.lit(OTHER_TYPE_ORDER))
 
 
-def candidates(v: Views) -> DataFrame:
-    """Every card with what decides about it: eligible, excluded, dismissed, due, rested, and its score's parts.
+def offered(v: Views) -> DataFrame:
+    """Cards with what decides about them: may (passes the gates), excluded, dismissed, due, rested, draw and score; and whether they introduce their chunk.
 
-    Cards of mastered chunks, of books and types that don't go together, and review cards without a met
-    prerequisite are left out. Written once: later steps all start from it.
+    What is known of a card meets in one shuffle, what is known of a user in a second one; gates and shares
+    are windows within a chunk, a type or a user there. Left out are cards that do not pass and are not the
+    oldest of their chunk's cards that may introduce it either.
     """
-    events, actions, scores = v.feed_events(), v.card_actions(), stored(v.scores(), "scores")
-    all_cards = v.placed_cards()
-    own = scores.select(*KEYS, "times_shown", "times_engaged", "times_skipped", "last_shown_at", "sr_due_at")
-    tiers = scores.groupBy("user_id").agg(sc.eligible_types(F.count(F.lit(1))).alias("types"))
-    excluded = gates.excluded_cards(events, actions).withColumn("excluded", F.lit(True))
-    dismissed = actions.where("action = 'dismiss'").select(*KEYS, F.lit(True).alias("dismissed"))
-    liking = affinity(scores, v.cards()).select("user_id", "card_type", "affinity")
-    open_ = gates.not_mastered(all_cards, gates.chunk_mastery(v.cards(), scores))
-    open_ = gates.suits_goal(gates.prerequisites_met(open_, gates.introduced_chunks(v.cards(), events, actions)))
-    rows = open_.join(tiers, "user_id").where(F.array_contains("types", F.col("card_type"))).join(own, KEYS, "left").join(excluded, KEYS, "left").join(dismissed, KEYS, "left").join(liking, ["user_id", "card_type"], "left")
+    tasks = n_tasks(table(v.spark, v.folder, "events"), EVENTS_A_TASK)
+    states = ev.card_states(v.shelved_cards(), v.impressions(), v.actions(), tasks).where("user_id IS NOT NULL")
+    recent = gates.recent_events(v.impressions().select(*KEYS, "created_at", "event_id")).groupBy("user_id").agg(F.collect_set("card_id").alias("recent"))
+    rows = states.repartition(tasks, "user_id").join(recent, "user_id", "left")
+    of_type, user, chunk = (Window.partitionBy("user_id", *more) for more in (["card_type"], [], ["chunk_id"]))
+    liking = F.when(F.sum("times_shown").over(of_type) > 0, F.sum("times_engaged").over(of_type) / F.sum("times_shown").over(of_type))
+    rows = rows.withColumn("affinity", liking).withColumn("seen", F.count(F.when(F.col("times_shown") > 0, True)).over(user)).where("book_id IS NOT NULL AND seen > 0")
+    over = lambda agg: agg.over(chunk)
+    mastered = F.when(over(F.bool_or(gates.is_review())), over(F.bool_or(gates.is_review() & (F.col("sr_repetition") >= MASTERED_REPETITIONS)))).otherwise(over(F.bool_and(F.col("times_engaged") >= MASTERED_ENGAGEMENTS)))
+    introduced = over(F.bool_or(~gates.is_review() & ((F.col("times_looked_at") > 0) | F.array_contains("actions", "like"))))
+    suited = ~gates.is_review() | (introduced & ~F.col("reading_goal").eqNullSafe("casual"))
+    oldest = lambda types: F.col("card_type").isin(*types) & (over(F.min(F.when(F.col("card_type").isin(*types), F.struct("created_at", "card_id"))))["card_id"] == F.col("card_id"))
+    flags = {
+        "may": ~mastered & suited & F.array_contains(sc.eligible_types(F.col("seen")), F.col("card_type")),
+        "is_companion": oldest(COMPANION_TYPES), "is_oldest": oldest(INTRO_TYPES), "dismissed": F.array_contains("actions", "dismiss"), "lately": F.coalesce(F.array_contains("recent", F.col("card_id")), F.lit(False)),
+    }
+    rows = rows.withColumns(flags).where("may OR is_companion OR is_oldest")
     rested = sc.cooled_down(F.col("last_shown_at"), F.col("times_engaged"), F.col("times_skipped"), F.col("sr_due_at"), as_of())
     draw = lambda name: sc.jitter(F.lit(name), F.col("user_id").cast("string"), F.col("card_id").cast("string"))
-    out = rows.select(
-        *KEYS, "chunk_id", "book_id", "card_type", "created_at", "last_shown_at", "sr_due_at", F.coalesce("excluded", F.lit(False)).alias("excluded"), F.coalesce("dismissed", F.lit(False)).alias("dismissed"),
+    return rows.select(
+        *KEYS, "chunk_id", "book_id", "card_type", "created_at", "last_shown_at", "sr_due_at", "actions", "may", "is_companion", "is_oldest", "dismissed", (F.col("dismissed") | F.col("lately")).alias("excluded"),
         rested.alias("rested"), (gates.is_review() & F.coalesce(F.col("sr_due_at") <= as_of(), F.lit(False))).alias("due"), draw("order").alias("draw"), sc.feed_score(F.col("affinity"), F.col("times_shown"), draw("score")).alias("score"),
     )
-    return stored(out, "candidates")
-
-
-def due_pairs(rows: DataFrame, cards: DataFrame, limit: int) -> DataFrame:
-    """Due reviews, up to a third of the page, each chunk's first after the oldest card that introduces it."""
-    order = Window.partitionBy("user_id").orderBy("sr_due_at", "card_id")
-    reviews = rows.where("due AND NOT excluded").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= -(-limit // 3)).select(*KEYS, "chunk_id", "card_type", "nth", F.lit(1).alias("part"), F.lit(True).alias("is_sr_due"))
-    chunks = reviews.groupBy("user_id", "chunk_id").agg(F.min("nth").alias("nth"))
-    oldest = gates.first_by(cards.where(F.col("card_type").isin(*COMPANION_TYPES)), ["user_id", "chunk_id"], "created_at", "card_id")
-    companions = oldest.join(chunks, ["user_id", "chunk_id"]).select(*KEYS, "chunk_id", "card_type", "nth", F.lit(0).alias("part"), F.lit(False).alias("is_sr_due"))
-    return reviews.unionByName(companions)
 
 
-def drawn(rows: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
-    """The regular candidates by score: three times as many as there is room for, with ``place`` by score and ``slots``."""
-    used = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("used"))
-    free = rows.where("rested AND NOT excluded").join(pairs.select(*KEYS), KEYS, "left_anti").join(used, "user_id", "left").withColumn("slots", limit - F.coalesce("used", F.lit(0)))
-    pool = free.withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy("draw", "card_id"))).where(F.col("_r") <= OVER_FETCH * F.col("slots"))
-    return pool.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "card_id"))).select(*KEYS, "chunk_id", "card_type", "score", "place", "slots")
+def pages(v: Views, limit: int = FEED_LIMIT) -> DataFrame:
+    """``feed`` with book_id, created_at and actions of its cards. All steps are ranks and marks within a user or a chunk of theirs, so rows stay where ``offered`` has dealt them."""
+    user, chunk = Window.partitionBy("user_id"), Window.partitionBy("user_id", "chunk_id")
+    nth = lambda flag, *order: F.when(F.col(flag), F.row_number().over(user.orderBy(F.desc(flag), *order)))
+    true = lambda c: F.coalesce(c, F.lit(False))
+    is_intro, place = F.col("card_type").isin(*INTRO_TYPES), F.col("place")
+    # Due reviews, up to a third of the page, each chunk's first after the oldest card that introduces it.
+    rows = offered(v).withColumn("asked", F.col("may") & F.col("due") & ~F.col("excluded")).withColumn("nth", nth("asked", "sr_due_at", "card_id"))
+    rows = rows.withColumn("nth", F.when(F.col("nth") <= -(-limit // 3), F.col("nth"))).withColumn("is_sr_due", F.col("nth").isNotNull())
+    rows = rows.withColumn("pair", F.when(F.col("is_sr_due"), F.col("nth")).when(F.col("is_companion"), F.min("nth").over(chunk)))
+    # The others at random, three times as many as there is room for (the pool), then by score.
+    rows = rows.withColumn("slots", limit - F.count("pair").over(user)).withColumn("free", F.col("may") & F.col("rested") & ~F.col("excluded") & F.col("pair").isNull())
+    rows = rows.withColumn("pooled", true(nth("free", "draw", "card_id") <= OVER_FETCH * F.col("slots"))).withColumn("place", nth("pooled", F.desc("score"), "card_id"))
+    rows = rows.withColumn("chosen", true(place <= F.col("slots"))).withColumn("served", F.bool_or(F.col("pair").isNotNull() | F.col("chosen")).over(user))
+    # Where nothing is left, those shown longest ago.
+    rows = rows.withColumn("left", F.col("may") & ~F.col("dismissed") & ~F.col("served")).withColumn("lru", nth("left", F.asc_nulls_first("last_shown_at"), "card_id"))
+    rows = rows.withColumn("fallback", true(F.col("lru") <= limit)).withColumn("regular", F.col("chosen") | F.col("fallback")).withColumn("batch", F.col("regular") | F.col("pair").isNotNull())
+    rows = rows.where("batch OR pooled OR is_oldest")
+    # Review cards without an introduction get one: the best of the pool, else the oldest.
+    lacking = F.bool_or(F.col("batch") & gates.is_review()).over(chunk) & ~F.bool_or(F.col("batch") & is_intro).over(chunk)
+    first = F.min(F.when(F.col("pooled") & is_intro, place)).over(chunk)
+    rows = rows.withColumns({"lacking": lacking, "first": first})
+    from_pool = F.col("lacking") & true(F.col("pooled") & is_intro & (place == F.col("first")))
+    rows = rows.withColumn("from_pool", from_pool).withColumn("added", F.col("from_pool") | (F.col("lacking") & F.col("first").isNull() & F.col("is_oldest"))).where("batch OR added")
+    at = lambda part, n: F.struct(F.lit(part).alias("part"), n.cast("bigint").alias("nth"))
+    is_pair = F.col("pair").isNotNull()
+    rows = rows.withColumn("at", F.when(is_pair, None).when(F.col("chosen"), at(0, place)).when(F.col("fallback"), at(0, F.col("lru"))).when(F.col("from_pool"), at(1, place)).otherwise(at(2, F.col("chunk_id"))))
+    order = {
+        "section": F.when(is_pair, 0).otherwise(1), "o1": F.when(is_pair, at(0, F.col("pair"))).otherwise(F.min("at").over(chunk)), "o2": F.when(is_pair, F.col("is_sr_due").cast("int")).otherwise(_type_order()), "o3": F.coalesce("at", at(0, F.lit(0))),
+        "score": F.when(F.col("chosen") | F.col("from_pool"), F.round("score", 6)).otherwise(0.0),
+    }
+    position = F.row_number().over(user.orderBy("section", "o1", "o2", "o3", "card_id")).cast("bigint")
+    return rows.withColumns(order).select("user_id", position.alias("position"), "card_id", "chunk_id", "card_type", "is_sr_due", "score", "book_id", "created_at", "actions")
 
 
 def feed(v: Views, limit: int = FEED_LIMIT) -> DataFrame:
     """(user_id, position, card_id, chunk_id, card_type, is_sr_due, score) for all users."""
-    rows, cards = candidates(v), v.placed_cards()
-    pairs = stored(due_pairs(rows, cards, limit), "due-pairs")
-    pool = stored(drawn(rows, pairs, limit), "pool")
-    chosen = pool.where("place <= slots").select(*KEYS, "chunk_id", "card_type", "score", "place")
-    served = pairs.select("user_id").unionByName(chosen.select("user_id")).distinct()
-    lru = Window.partitionBy("user_id").orderBy(F.asc_nulls_first("last_shown_at"), "card_id")
-    fallback = rows.where("NOT dismissed").join(served, "user_id", "left_anti").withColumn("place", F.row_number().over(lru)).where(F.col("place") <= limit).select(*KEYS, "chunk_id", "card_type", F.lit(0.0).alias("score"), "place")
-    regular = chosen.unionByName(fallback)
-    batch = regular.select("user_id", "chunk_id", "card_type").unionByName(pairs.select("user_id", "chunk_id", "card_type"))
-    lacking = batch.groupBy("user_id", "chunk_id").agg(F.bool_or(gates.is_review()).alias("study"), F.bool_or(F.col("card_type").isin(*INTRO_TYPES)).alias("intro")).where("study AND NOT intro").select("user_id", "chunk_id")
-    is_intro = F.col("card_type").isin(*INTRO_TYPES)
-    pooled = gates.first_by(pool.where(is_intro).join(lacking, ["user_id", "chunk_id"], "left_semi"), ["user_id", "chunk_id"], "place")
-    oldest = gates.first_by(cards.where(is_intro).join(lacking, ["user_id", "chunk_id"], "left_semi").join(pooled.select("user_id", "chunk_id"), ["user_id", "chunk_id"], "left_anti"), ["user_id", "chunk_id"], "created_at", "card_id")
-    at = lambda part, place: F.struct(F.lit(part).alias("part"), place.cast("bigint").alias("nth")).alias("place")
-    intros = pooled.select(*KEYS, "chunk_id", "card_type", "score", at(1, F.col("place"))).unionByName(oldest.select(*KEYS, "chunk_id", "card_type", F.lit(0.0).alias("score"), at(2, F.col("chunk_id"))))
-    listed = regular.select(*KEYS, "chunk_id", "card_type", "score", at(0, F.col("place"))).unionByName(intros)
-    first_seen = F.min("place").over(Window.partitionBy("user_id", "chunk_id"))
-    listed = listed.select(*KEYS, "chunk_id", "card_type", "score", F.lit(False).alias("is_sr_due"), F.lit(1).alias("section"), first_seen.alias("o1"), _type_order().alias("o2"), F.col("place").alias("o3"))
-    first = pairs.select(*KEYS, "chunk_id", "card_type", F.lit(0.0).alias("score"), "is_sr_due", F.lit(0).alias("section"), at(0, F.col("nth")).alias("o1"), F.col("part").alias("o2"), at(0, F.lit(0)).alias("o3"))
-    order = Window.partitionBy("user_id").orderBy("section", "o1", "o2", "o3", "card_id")
-    return listed.unionByName(first).select("user_id", F.row_number().over(order).cast("bigint").alias("position"), "card_id", "chunk_id", "card_type", "is_sr_due", F.round("score", 6).alias("score"))
+    return pages(v, limit).drop("book_id", "created_at", "actions")
 
 
 _DIGEST = "CAST(('0x' || substr(md5('{0}:' || c.user_id || ':' || c.card_id), 1, 8)) AS BIGINT) / 4294967296.0"

@@ -67,10 +67,21 @@ class Views:
         ids = table(self.spark, self.folder, "events").select("user_id").distinct()
         return ids.select("user_id", F.when(F.col("user_id") % 4 == 0, "plus").otherwise("free").alias("tier"))
 
-    def cards(self) -> DataFrame:
-        rows = self._owned().withColumn("chunk_id", F.expr("card_id div 5"))
+    def _typed(self, rows: DataFrame, *others: str) -> DataFrame:
+        """``rows`` (user_id, card_id, chunk_id) with what a card's number tells."""
         kind = F.when(F.col("chunk_id") % 3 == 1, _pick(_PLAIN_TYPES, F.col("card_id") % 5)).otherwise(_pick(_TYPES, (F.col("card_id") * 3 + F.col("chunk_id")) % 7))
-        return rows.select("user_id", "card_id", "chunk_id", kind.alias("card_type"), (F.col("card_id") % 4).alias("right_choice"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("card_id").cast("int"))).alias("created_at"))
+        return rows.select("user_id", "card_id", "chunk_id", kind.alias("card_type"), (F.col("card_id") % 4).alias("right_choice"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("card_id").cast("int"))).alias("created_at"), *others)
+
+    def cards(self) -> DataFrame:
+        return self._typed(self._owned().withColumn("chunk_id", F.expr("card_id div 5")))
+
+    def _shelf(self) -> DataFrame:
+        """(chunk_id, book_id, reading_goal) of every chunk in a book."""
+        return self.chunks().select("chunk_id", "book_id").join(self.books().select("book_id", "reading_goal"), "book_id")
+
+    def shelved_cards(self) -> DataFrame:
+        """All cards with the book and goal of their chunk, null where it has none."""
+        return self.cards().join(self._shelf(), "chunk_id", "left")
 
     def chunks(self) -> DataFrame:
         """One for each document: chunk_id, book_id, chunk_index, content, word_count, chunk_type, language."""
@@ -135,12 +146,24 @@ class WholeViews(Views):
     def _card(self):
         return F.col("card_id")
 
-    def _owned(self) -> DataFrame:
+    def _met(self) -> DataFrame:
+        """(user_id, chunk_id) of every chunk that a user has cards of."""
         ids, user = self._picked("events", "user_id", F.col("doc_id"))
         given = table(self.spark, self.folder, "documents").select("doc_id").join(ids).select(user.alias("user_id"), F.col("doc_id").alias("chunk_id")).join(self.users().select("user_id"), "user_id", "left_semi")
         met = self._events().where("card_id IS NOT NULL").select("user_id", F.expr("card_id div 5").alias("chunk_id"))
+        return given.unionByName(met).distinct()
+
+    def _five(self, chunks: DataFrame, *others: str) -> DataFrame:
+        """The five cards of each row's chunk."""
         five = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint")))
-        return given.unionByName(met).distinct().select("user_id", "chunk_id", five.alias("j")).select("user_id", (F.col("chunk_id") * 5 + F.col("j")).alias("card_id"))
+        return chunks.select("user_id", "chunk_id", *others, five.alias("j")).select("user_id", (F.col("chunk_id") * 5 + F.col("j")).alias("card_id"), "chunk_id", *others)
+
+    def _owned(self) -> DataFrame:
+        return self._five(self._met()).select("user_id", "card_id")
+
+    def shelved_cards(self) -> DataFrame:
+        # Books are met by chunks, a fifth of the cards.
+        return self._typed(self._five(self._met().join(self._shelf(), "chunk_id", "left"), "book_id", "reading_goal"), "book_id", "reading_goal")
 
     def collections(self) -> tuple[DataFrame, DataFrame]:
         collections, _ = super().collections()
