@@ -45,36 +45,40 @@ def merged_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     return lines.select(*keys, "line", "top", F.when(F.col("total") > 0, F.col("weighted") / F.col("total")).otherwise(0.0).alias("font_size"), (F.col("mono") * 2 > F.col("total")).alias("is_mono"), "text")
 
 
-def paragraph_text(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, text: lines joined by a blank, paragraphs by an empty line, headings marked with ``##``.
-
-    The body's size is the one of most characters (the smaller of equal ones); the usual gap is the upper median.
-    """
-    order = Window.partitionBy(*keys).orderBy("line")
+def _pieces(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """``lines`` with ``piece``: what each adds to its text. Ranks and sums are windows within the keys, so that lines dealt by some of them stay where they are."""
+    all_, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("line")
     rows = lines.withColumns({"gap": F.col("top") - F.lag("top").over(order), "size": rounded(F.col("font_size"))})
-    sizes = rows.groupBy(*keys, "size").agg(F.sum(F.octet_length("text")).alias("n"))
-    body = sizes.groupBy(*keys).agg(F.max_by("size", F.struct(F.col("n"), -F.col("size"))).alias("body"))
-    gaps = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("gap") > 0, F.col("gap")))).alias("gaps"))
-    usual = F.coalesce(F.get("gaps", F.floor(F.size("gaps") / 2).cast("int")), F.lit(0))
-    rows = rows.join(body, keys).join(gaps.select(*keys, F.floor(usual * PARAGRAPH_GAP).alias("threshold")), keys)
+    rows = rows.withColumn("n", F.sum(F.octet_length("text")).over(Window.partitionBy(*keys, "size"))).withColumn("body", F.max_by("size", F.struct(F.col("n"), -F.col("size"))).over(all_))
+    positive = F.coalesce(F.col("gap") > 0, F.lit(False))
+    rows = rows.withColumns({"nth": F.row_number().over(all_.orderBy(F.desc(positive), "gap")), "n_gaps": F.count(F.when(positive, True)).over(all_)})
+    usual = F.coalesce(F.max(F.when(positive & (F.col("nth") == F.floor(F.col("n_gaps") / 2) + 1), F.col("gap"))).over(all_), F.lit(0))
+    rows = rows.withColumn("threshold", F.floor(usual * PARAGRAPH_GAP))
     is_heading = (F.col("font_size") > (F.col("body") * F.lit(HEADING_SIZE)).cast("double")) & (count_words(F.col("text")) <= HEADING_WORDS)
     rows = rows.withColumn("is_heading", is_heading)
     breaks = F.col("is_heading") | F.coalesce(F.lag("is_heading").over(order), F.lit(False)) | ((F.col("threshold") > 0) & (F.col("gap") > F.col("threshold")))
     before = F.when(F.lag("line").over(order).isNull(), "").when(breaks, "\n\n").otherwise(" ")
-    piece = F.concat(before, F.when(F.col("is_heading"), "## ").otherwise(""), F.trim("text"))
-    pieces = rows.withColumn("piece", piece)
-    return pieces.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    return rows.withColumn("piece", F.concat(before, F.when(F.col("is_heading"), "## ").otherwise(""), F.trim("text"))).select(*lines.columns, "piece")
+
+
+def paragraph_text(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, text: lines joined by a blank, paragraphs by an empty line, headings marked with ``##``.
+
+    The body's size is the one of most characters (the smaller of equal ones); the usual gap is the upper median.
+    """
+    return _pieces(lines, keys).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "piece"))), lambda x: x["piece"]), "").alias("text"))
 
 
 def code_and_prose(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, block, type, content: neighbouring monospaced lines as code, the others as prose by ``paragraph_text``."""
+    """keys, block, type, content: neighbouring monospaced lines as code, the others as prose like that of ``paragraph_text``."""
     order = Window.partitionBy(*keys).orderBy("line")
     new = ~F.col("is_mono").eqNullSafe(F.lag("is_mono").over(order))
-    rows = lines.withColumn("block", F.sum(new.cast("int")).over(order))
-    code = rows.where("is_mono").groupBy(*keys, "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))
-    prose = paragraph_text(rows.where(~F.col("is_mono")), [*keys, "block"]).withColumnRenamed("text", "content")
-    both = code.withColumn("type", F.lit("code")).unionByName(prose.withColumn("type", F.lit("text")))
-    return both.where(F.trim("content") != "").select(*keys, "block", "type", "content")
+    rows = _pieces(lines.withColumn("block", F.sum(new.cast("int")).over(order)), [*keys, "block"]).where(F.col("is_mono").isNotNull())
+    piece = F.when(F.col("is_mono"), F.col("text")).otherwise(F.col("piece"))
+    both = rows.groupBy(*keys, "block", "is_mono").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", piece.alias("piece")))), lambda x: x["piece"]).alias("pieces"))
+    content = F.when(F.col("is_mono"), F.array_join("pieces", "\n")).otherwise(F.array_join("pieces", ""))
+    both = both.select(*keys, "block", F.when(F.col("is_mono"), "code").otherwise("text").alias("type"), content.alias("content"))
+    return both.where(F.trim("content") != "")
 
 
 def mono_fonts(fonts: DataFrame, doc: str = "doc_id") -> DataFrame:
