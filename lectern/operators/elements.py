@@ -161,12 +161,15 @@ def with_figures(elements: DataFrame, figures: DataFrame) -> DataFrame:
     return both.withColumn("pos", (F.row_number().over(order) - 1).cast("int")).select(*elements.columns)
 
 
-def page_counts(elements: DataFrame, ext: DataFrame) -> DataFrame:
-    """(doc_id, pages): the largest spine index of an EPUB, else the number of distinct pages; 1 at least."""
-    rows = elements.join(ext, "doc_id")
+def page_counts(elements: DataFrame, ext: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(doc_id, pages): the largest spine index of an EPUB, else the number of distinct pages; 1 at least.
+
+    Elements are dealt to so many ``tasks`` (Spark's own number, if none is given) and counted before they meet ``ext``.
+    """
     own = F.coalesce(F.when(F.col("type") != "image", page_of(F.col("chapter"))), F.lit(1))
-    counted = rows.groupBy("doc_id", "ext").agg(F.max(F.coalesce("spine_index", F.lit(0))).alias("spine"), F.count_distinct(own).alias("pages"))
-    return counted.select("doc_id", F.greatest(F.when(F.col("ext").isin(".epub", ".kepub"), F.col("spine")).otherwise(F.col("pages")), F.lit(1)).cast("bigint").alias("pages"))
+    rows = elements.select("doc_id", F.coalesce("spine_index", F.lit(0)).alias("spine"), own.alias("page"))
+    counted = (rows.repartition(tasks, "doc_id") if tasks else rows).groupBy("doc_id").agg(F.max("spine").alias("spine"), F.count_distinct("page").alias("pages"))
+    return counted.join(ext, "doc_id").select("doc_id", F.greatest(F.when(F.col("ext").isin(".epub", ".kepub"), F.col("spine")).otherwise(F.col("pages")), F.lit(1)).cast("bigint").alias("pages"))
 
 
 def front_chunks(chunks: DataFrame, main_titles: DataFrame) -> DataFrame:

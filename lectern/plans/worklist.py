@@ -12,9 +12,10 @@ from lectern.operators.gates import first_by
 from lectern.operators.scheduler import MAX_RETRIES, affine_first, status_after_error, waiting_documents
 from lectern.operators.visibility import on_new_pages, own_through_parent, toggled
 from lectern.plans.registry import query
-from lectern.plans.texts import _RUNS_SQL, _TOC_SQL, contents, runs
+from lectern.plans.texts import _RUNS_SQL, _TOC_SQL, RUNS_A_TASK, contents, runs
 from lectern.plans.views import AS_OF, WholeViews, as_of, whole_views_sql
 from lectern.sources import table
+from lectern.sources.tables import n_tasks
 
 _STATUSES = ("pending", "chunking", "generating", "ready", "error")
 
@@ -127,7 +128,7 @@ def document_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of documents: the last spine index of an EPUB, else the distinct pages."""
     rows = _elements(spark, folder)
     ext = rows.select("doc_id").distinct().withColumn("ext", F.when(F.col("doc_id") % 2 == 0, ".epub").otherwise(".pdf"))
-    return el.page_counts(rows, ext)
+    return el.page_counts(rows, ext, n_tasks(table(spark, folder, "lineitem"), RUNS_A_TASK))
 
 
 @query("""
