@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from lectern.functions.text import count_words
 from lectern.operators import ingest as ig
 from lectern.operators.events import classified, counters, review_states, reviews, scores
 from lectern.operators.scheduler import fair_order
+from lectern.plans.catalog import ORACLE_SQL, QUERIES
+from lectern.streaming import affinity
 from lectern.streaming.affinity import affine_documents, affine_lists, affine_touches
 from lectern.streaming.feed_sync import FeedSync, accepted, arriving, flushed, run_to_end
 
@@ -165,3 +168,43 @@ def test_lines_are_elements_without_a_shuffle(spark):
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     want = [(0, "text", "a b", None), (1, "text", "# One", "One"), (2, "text", "c", "One"), (3, "code", "d", "One"), (4, "text", "CHAPTER TWO", "CHAPTER TWO"), (5, "text", "e", "CHAPTER TWO")]
     assert sorted((r.doc_id, r.pos, r.type, r.content, r.chapter) for r in rows.collect()) == [*((1, *w) for w in want), (2, 0, "text", "f", None)]
+
+
+def test_affine_lists_at_the_ends_of_slices(spark, monkeypatch):
+    monkeypatch.setattr(affinity, "TOUCHES_A_TASK", 50)
+    monkeypatch.setattr(affinity, "_BATCH_BYTES", 200)
+    rng = random.Random(6)
+    zero, tick = dt.datetime(1969, 12, 31, 23), dt.timedelta(microseconds=1)
+    times = [zero + dt.timedelta(minutes=rng.choice([0, 1, 14, 15, 16, 29, 30, 45, 60, 75])) + rng.choice([-1, 0, 0, 1]) * tick for _ in range(400)]
+    rows = [(i if i % 7 else None, rng.randrange(2), rng.choice([-3, 5, 40, 10**12, *range(100, 160)]), t) for i, t in enumerate(times)]
+    lists = affine_lists(spark.createDataFrame(rows, "event_id bigint, machine_id int, doc_id bigint, at timestamp_ntz").withColumn("at", F.col("at").cast("timestamp")))
+    assert dict(lists.dtypes) == {"event_id": "bigint", "machine_id": "int", "n_affine": "bigint", "documents": "string"}
+    assert "hashpartitioning(machine_id" in (plan := lists._jdf.queryExecution().executedPlan().toString()) and ", 8)" in plan and "REPARTITION_BY_NUM" in plan  # 400 touches in tasks of 50
+    near = [sorted({d2 for _, m2, d2, t2 in rows if m2 == m and dt.timedelta(0) <= t - t2 <= dt.timedelta(minutes=15)}) for _, m, _, t in rows]
+    want = [(e, m, len(n), ",".join(map(str, n))) for (e, m, _, _), n in zip(rows, near)]
+    assert sorted(map(tuple, lists.collect()), key=str) == sorted(want, key=str)
+
+
+def test_lists_of_a_busy_machine_are_small_files(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS event_id", "TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, 0, 0, id div 3 * 0.9) AS ts", "id * 4 AS user_id", "'view' AS event_type", "1D AS value", "'{\"k\": 3}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(100000).selectExpr("id AS doc_id", "'' AS text", "'en' AS lang", "'web' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    QUERIES["affine_at_events"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    con = duckdb.connect()
+    for name in ("events", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    columns = "event_id, machine_id, n_affine, documents"
+    got = con.execute(f"SELECT {columns} FROM '{tmp_path}/out/*.parquet' ORDER BY event_id").fetchall()
+    assert got == con.execute(f"SELECT {columns} FROM ({ORACLE_SQL['affine_at_events']}) ORDER BY event_id").fetchall()
+    text = sum(len(r[3]) for r in got)
+    assert text > 20_000_000 and sum(p.stat().st_size for p in tmp_path.glob("out/*.parquet")) < text / 20
+
+
+def test_a_session_keeps_the_codec_it_names(spark):
+    key = "spark.sql.parquet.compression.codec"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "gzip")
+    try:
+        QUERIES["affine_at_events"](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(key) == "gzip"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
